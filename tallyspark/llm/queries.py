@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, decontaminate, html_extract, language_id, merkle, sentencepiece_bpe, toxicity
+from tallyspark.llm import chat, decontaminate, html_extract, language_id, line_dedup, merkle, sentencepiece_bpe, toxicity
 from tallyspark.llm.common import fold_of, partitions, table
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -50,6 +50,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_edits(table(spark, sf_dir, "documents", "doc_id", "text"), partitions(spark))
 
