@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, decontaminate, html_extract, language_id, line_dedup, merkle, sentencepiece_bpe, toxicity
+from tallyspark.llm import chat, decontaminate, html_extract, jaccard_join, language_id, line_dedup, merkle, sentencepiece_bpe, toxicity
 from tallyspark.llm.common import fold_of, partitions, table
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -31,6 +31,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard_join.join(docs, n=4, per_cent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
