@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 
@@ -31,3 +32,9 @@ def checkpoints(spark: SparkSession) -> None:
     """Makes checkpoint() usable: the session's folder if it names one, else one of our own (tests, local runs)."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the session's cleaner drop the shuffle files of steps whose frames are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

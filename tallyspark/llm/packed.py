@@ -3,11 +3,14 @@
 A chunk is some rows that one task handles together.  It sends, for each bucket of keys,
 one row with its distinct keys and how often it has each; a bucket's task adds up the
 counts over all chunks and answers each chunk with the totals of its keys, in their order.
-A key travels once per chunk however common it is, and as 6 bytes beside the bucket number.
+A key travels once per chunk however common it is, and as 6 bytes beside the bucket number;
+counts and totals, most of them 1, are deflated.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,37 +49,47 @@ def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(at[order], np.arange(buckets + 1))
 
 
+def _deflated(numbers: np.ndarray) -> bytes:
+    small = not len(numbers) or int(numbers.max()) < 1 << 32
+    return (b"4" if small else b"8") + zlib.compress(numbers.astype(np.uint32 if small else np.uint64).tobytes(), 1)
+
+
+def _inflated(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), np.uint32 if data[:1] == b"4" else np.uint64).astype(np.int64)
+
+
 def requests(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
     """One row for each bucket, also for those of which the chunk has no key."""
     order, starts = dealt(keys, buckets)
     rows = []
     for b in range(buckets):
         part = order[starts[b] : starts[b + 1]]
-        rows.append((b, chunk, pack(keys[part]), counts[part].astype(np.uint32).tobytes()))
+        rows.append((b, chunk, pack(keys[part]), _deflated(counts[part])))
     return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "counts"])
 
 
 def totals(sent: DataFrame) -> DataFrame:
-    """Replies to requests."""
+    """Replies to requests; n_keys and n_counted are the bucket's distinct even keys and the sum of their counts."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(x) // 4 for x in rows["counts"]]
-        keys = np.concatenate([unpack(x) for x in rows["keys"]])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]])
+        parts = [unpack(x) for x in rows["keys"]]
+        ends = np.cumsum([len(x) for x in parts])
+        keys = np.concatenate(parts)
+        counts = np.concatenate([_inflated(x) for x in rows["counts"]])
         order = np.argsort(keys)
         sorted_ = keys[order]
         first = np.ones(len(keys), dtype=bool)
         first[1:] = sorted_[1:] != sorted_[:-1]
-        group = np.cumsum(first) - 1
-        sums = np.bincount(group, weights=counts[order]).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-        out = np.empty(len(keys), dtype=np.uint32)
-        out[order] = sums[group]
-        ends = np.cumsum(sizes)
+        starts = np.flatnonzero(first)
+        sums = np.add.reduceat(counts[order], starts) if len(keys) else counts
+        out = np.empty(len(keys), dtype=np.int64)
+        out[order] = np.repeat(sums, np.diff(np.append(starts, len(keys))))
+        even = (sorted_[starts] & np.uint64(1)) == 0
         return pd.DataFrame(
             {
                 "chunk": rows["chunk"], "bucket": rows["bucket"],
-                "totals": [out[e - n : e].tobytes() for n, e in zip(sizes, ends, strict=True)],
-                "n_keys": int((sums > 0).sum()), "n_counted": int(sums.sum()),
+                "totals": [_deflated(out[e - len(x) : e]) for x, e in zip(parts, ends, strict=True)],
+                "n_keys": int((sums[even] > 0).sum()), "n_counted": int(sums[even].sum()),
             }
         )
 
@@ -89,7 +102,7 @@ def answered(keys: np.ndarray, replies: pd.DataFrame, buckets: int) -> np.ndarra
     out = np.zeros(len(keys), dtype=np.int64)
     for b, data in zip(replies["bucket"], replies["totals"], strict=True):
         part = order[starts[b] : starts[b + 1]]
-        found = np.frombuffer(data, np.uint32)
+        found = _inflated(data)
         if len(found) != len(part):
             raise ValueError("a reply doesn't fit its request")
         out[part] = found

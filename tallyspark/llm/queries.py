@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, decontaminate, html_extract, jaccard_join, language_id, line_dedup, merkle, sentencepiece_bpe, toxicity
+from tallyspark.llm import chat, decontaminate, html_extract, jaccard_join, language_id, line_dedup, lm_score, merkle, sentencepiece_bpe, toxicity
 from tallyspark.llm.common import fold_of, partitions, table
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -55,6 +55,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return lm_score.score(docs, fold_of(F.col("doc_id"), 5) == 1)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
