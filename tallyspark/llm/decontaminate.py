@@ -124,7 +124,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         places = places.unionByName(again.select("__id", "__t", "__w", F.lit(1).alias("__kind"), F.posexplode_outer("__h").alias("__p", "__v")))
     tried = places.join(anchors, ["__kind", "__v"]).withColumn("__s", F.col("__p") - F.col("__off"))
     tried = tried.where((F.col("__s") >= 0) & (F.col("__s") + F.col("__size") <= F.size("__w"))).select(
-        "__id", "__t", "__s", "__size", F.array_join(F.slice("__w", F.col("__s") + 1, F.col("__size")), " ").alias("__window")
+        "__id", "__t", "__s", "__size", F.array_join(F.slice("__w", F.greatest(F.col("__s") + 1, F.lit(1)), F.col("__size")), " ").alias("__window")
     )
     texts = _sized(windows.select("__window", "__size", "__item").distinct(), n)
     real = tried.join(texts, ["__window", "__size"])
