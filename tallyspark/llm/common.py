@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,10 @@ def release(spark: SparkSession) -> None:
     """Lets the session's cleaner drop the shuffle files of steps whose frames are gone."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name beside the checkpoints, which all executors and the driver share."""
+    checkpoints(spark)
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
