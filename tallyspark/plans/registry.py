@@ -1,19 +1,295 @@
-"""Names of the queries, their plans and their SQL."""
+"""Names of the ledger queries, their plans and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.config import ReconConfig
+from tallyspark.functions import dates, money, scoring, text
+from tallyspark.operators import balances, pools, selection, standardize, subset_sum
+from tallyspark.operators import candidates as c
+from tallyspark.plans import fixtures, reconcile, reports
+
+CONFIG = ReconConfig()
+#: A band of 50 yuan, for the queries that would else return millions of pairs.
+NARROW = ReconConfig(clearly_trivial_threshold=Decimal("50.00"))
+
+AMOUNT_TEXTS = [
+    "1,234.56", "12,34.5", "(100)", "100CR", "100 DR", "￥１，２３４．５０", "CNY 88.005", "", "nan", "abc", "-5", "1e3", "5贷", "7借", "（8.5）",
+    "USD 1,000,000.10", "0.005", "-0.005", " 42 ",
+]
+AMOUNT_VALUES = [
+    "1234.56", None, "-100.00", "-100.00", "100.00", "1234.50", "88.01", "0.00", "0.00", None, "-5.00", "1000.00", "-5.00", "7.00", "-8.50",
+    "1000000.10", "0.01", "-0.01", "42.00",
+]
+DATE_TEXTS = ["2024-01-05", "2024/1/5", "20240105", "05-01-2024", "05/01/2024", "2024.1.5", "5.1.2024", "2024年1月5日", "45296", "2024", "13/25/2024", "12/25/2024", "x", ""]
+DATE_VALUES = ["2024-01-05"] * 8 + ["2024-01-05", "1905-07-16", None, "2024-12-25", None, None]
+SUMMARY_TEXTS = ["收到 ＡＢＣ公司 货款12345678", "转账  项目 一", "nan", "有限责任公司甲", "网银 手续费 2024", ""]
+SUMMARY_VALUES = ["abc 货款", "项目 一", "", "有限责任甲", "手续费 2024", ""]
+
+
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return fixtures.bank(spark, sf_dir), fixtures.journal(spark, sf_dir)
+
+
+def _literals(spark: SparkSession, texts: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), "id int, raw string")
+
+
+def standardize_amounts(spark, sf_dir):
+    own = _literals(spark, AMOUNT_TEXTS)
+    return own.select("id", money.clean_amount(F.col("raw")).cast("string").alias("amount"))
+
+
+def standardize_dates(spark, sf_dir):
+    return _literals(spark, DATE_TEXTS).select("id", dates.parse_date(F.col("raw")).cast("string").alias("date"))
+
+
+def normalize_text(spark, sf_dir):
+    return _literals(spark, SUMMARY_TEXTS).select("id", text.normalize_summary(F.col("raw")).alias("norm"))
+
+
+def amount_li(spark, sf_dir):
+    li = fixtures.bank(spark, sf_dir).select("rec_id", "amount_li", money.from_li(F.col("amount_li")).alias("yuan"))
+    return li.select("rec_id", money.to_li(F.col("yuan")).alias("amount_li"), F.col("yuan").cast("double").alias("yuan"))
+
+
+def standardized_ledger(spark, sf_dir):
+    """The ledger written out as raw text cells and standardised again."""
+    raw = fixtures.bank(spark, sf_dir).select(
+        F.col("original_idx").alias("__source_row__"), F.col("original_file_row").alias("__file_row__"),
+        F.date_format("date", "yyyy/M/d").alias("日期"), F.format_number(F.abs("amount_li") / 10000.0, 2).alias("金额"),
+        F.when(F.col("amount_li") < 0, "借").otherwise("贷").alias("方向"), F.col("summary").alias("摘要"),
+    )
+    mapping = standardize.ColumnMapping(date="日期", amount="金额", direction="方向", summary="摘要", mode="single_amount_with_direction")
+    ledger, _ = standardize.standardize(raw, mapping, "bank", gate=False)
+    return ledger.select("original_idx", "date", "amount_li", "summary")
+
+
+def daily_stats(spark, sf_dir):
+    return balances.daily_table(*_two(spark, sf_dir))
+
+
+def monthly_stats(spark, sf_dir):
+    return balances.monthly_table(balances.daily_table(*_two(spark, sf_dir)))
+
+
+def side_totals(spark, sf_dir):
+    b, j = _two(spark, sf_dir)
+    return balances.side_totals(b, "bank").unionByName(balances.side_totals(j, "journal"))
+
+
+def running_balance(spark, sf_dir):
+    return balances.running(fixtures.bank(spark, sf_dir), 1_000_000)
+
+
+def opening_balance(spark, sf_dir):
+    return balances.opening_balance(fixtures.bank(spark, sf_dir))
+
+
+def balance_continuity(spark, sf_dir):
+    return balances.continuity(fixtures.bank(spark, sf_dir))
+
+
+def balance_diff(spark, sf_dir):
+    return balances.balance_diff(*_two(spark, sf_dir)).drop("is_diff")
+
+
+def exact_1to1(spark, sf_dir):
+    return c.exact_pairs(*_two(spark, sf_dir), CONFIG, scored=False).select("b_min", "j_min", "first_date", "b_income", "b_expense")
+
+
+def tolerance_band(spark, sf_dir):
+    out = c.band_join(*_two(spark, sf_dir), NARROW)
+    return out.select("b_rec_id", "j_rec_id", "gap", "days")
+
+
+def tolerance_top(spark, sf_dir):
+    """Of each bank row, the best pairs in the wide band."""
+    few = ReconConfig(max_candidates=2)
+    return c.tolerance_pairs(*_two(spark, sf_dir), few, scored=False).select("ctype", "b_min", "j_min")
+
+
+def rule_candidates(spark, sf_dir):
+    return c.rule_pairs(*fixtures.fees(spark, sf_dir), CONFIG, scored=False).select("ctype", "b_min", "j_min", "structure_bonus")
+
+
+def batch_groups(spark, sf_dir):
+    return c.batch_groups(*fixtures.payroll(spark, sf_dir), CONFIG).select("b_n", "b_expense", "j_expense", "first_date", "last_date", "j_min")
+
+
+def summary_islands(spark, sf_dir):
+    b, j = fixtures.runs(spark, sf_dir)
+    return c.island_groups(b, j, CONFIG).select("b_n", "j_n", "b_min", "j_min", "b_income", "first_date", "last_date")
+
+
+def _clean(spark, sf_dir):
+    b, j = _two(spark, sf_dir)
+    return fixtures.clean(b), fixtures.clean(j)
+
+
+_GROUP = ("b_n", "j_n", "b_income", "b_expense", "first_date", "last_date")
+
+
+def daily_total(spark, sf_dir):
+    return c.total_groups(*_clean(spark, sf_dir), monthly=False).select("b_key", *_GROUP)
+
+
+def monthly_total(spark, sf_dir):
+    return c.total_groups(*_clean(spark, sf_dir), monthly=True).select("b_key", *_GROUP)
+
+
+def cross_month_total(spark, sf_dir):
+    b, j = _clean(spark, sf_dir)
+    narrow = F.dayofmonth("date") >= 25
+    b, j = b.where(narrow), fixtures.shifted(j.where(narrow), 8)
+    return c.cross_month_groups(b, j, CONFIG).select("b_key", "j_key", *_GROUP)
+
+
+def group_metrics(spark, sf_dir):
+    b, j = _two(spark, sf_dir)
+    sums = lambda side, p: side.groupBy("date").agg(F.sum(scoring.income(F.col("amount_li"))).alias(f"{p}_income"), F.sum(scoring.expense(F.col("amount_li"))).alias(f"{p}_expense"))
+    both = sums(b, "b").join(sums(j, "j"), "date")
+    m = scoring.metrics(*[F.col(x) for x in ("b_income", "b_expense", "j_income", "j_expense")])
+    return both.select("date", *[v.alias(k) for k, v in m.items()])
+
+
+def amount_buckets(spark, sf_dir):
+    return fixtures.bank(spark, sf_dir).groupBy("summary").agg(*money.bucket_counts(F.col("amount_li")))
+
+
+def _pairs(spark, sf_dir):
+    b, j = _two(spark, sf_dir)
+    return c.exact_pairs(b, j, NARROW, scored=False).unionByName(c.tolerance_pairs(b, j, NARROW, scored=False))
+
+
+def _rated(spark, sf_dir):
+    b, j = _two(spark, sf_dir)
+    found = _pairs(spark, sf_dir)
+    m = found.select("candidate_id", F.explode(F.array(F.struct(F.lit("B").alias("side"), F.col("b_min").alias("rec_id")), F.struct(F.lit("J").alias("side"), F.col("j_min").alias("rec_id")))).alias("m"))
+    members = m.select("candidate_id", "m.*")
+    return selection.scored(selection.ambiguity(found, members), NARROW), members
+
+
+def ambiguity_flags(spark, sf_dir):
+    return _rated(spark, sf_dir)[0].select("b_min", "j_min", "ambiguous")
+
+
+def score_no_text(spark, sf_dir):
+    return _rated(spark, sf_dir)[0].select("b_min", "j_min", "amount_score", "date_score", "structure_score", "score")
+
+
+def routing(spark, sf_dir):
+    rated, _ = _rated(spark, sf_dir)
+    return selection.routed(rated, NARROW).select("b_min", "j_min", "route_reason", "status")
+
+
+def select_matches(spark, sf_dir):
+    rated, members = _rated(spark, sf_dir)
+    rated, members = rated.persist(), members.persist()
+    chosen = selection.select(rated, members)
+    return selection.numbered(rated.join(chosen, "candidate_id", "left_semi")).select("match_id", "candidate_id", "score", "diff_li", "span")
+
+
+def difference_pools(spark, sf_dir):
+    rated, _ = _rated(spark, sf_dir)
+    return pools.pools(pools.components(rated, NARROW), NARROW)
+
+
+def unmatched_bank(spark, sf_dir):
+    """Bank rows that no exact pair has."""
+    b, j = _two(spark, sf_dir)
+    pairs = c.exact_pairs(b, j, CONFIG, scored=False)
+    m = pairs.select("candidate_id", F.lit("B").alias("side"), F.col("b_min").alias("rec_id"))
+    return selection.unmatched(b, "B", pairs, m).select("rec_id", "date", "amount_li")
+
+
+def unmatched_journal(spark, sf_dir):
+    b, j = _two(spark, sf_dir)
+    pairs = c.exact_pairs(b, j, CONFIG, scored=False)
+    m = pairs.select("candidate_id", F.lit("J").alias("side"), F.col("j_min").alias("rec_id"))
+    return selection.unmatched(j, "J", pairs, m).select("rec_id", "date", "amount_li")
+
+
+def bigram_dice(spark, sf_dir):
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    return customer.select("c_custkey", F.round(text.bigram_dice(F.col("c_name"), F.concat(F.lit("Customer#"), F.col("c_mktsegment"))), 9).alias("dice"))
+
+
+def text_similarity(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type")
+    distinct = part.select("p_name", "p_type").distinct().withColumn("similarity", text.text_similarity("p_name", "p_type"))
+    return part.join(distinct, ["p_name", "p_type"]).select("p_partkey", "similarity")
+
+
+def subset_sums(spark, sf_dir):
+    """Bank rows as sums of the journal's rows, on the rows that were split in two."""
+    b, j = _two(spark, sf_dir)
+    digit = F.floor(F.col("rec_id") / 10.0) % 10
+    found = subset_sum.solutions(b.where(digit == 6), j.where(digit == 6), NARROW)
+    return found.select("rec_id", "amount_li", F.array_join(F.transform("ids", lambda x: x.cast("string")), "+").alias("ids"))
+
+
+def calendar_days(spark, sf_dir):
+    return balances.calendar(balances.daily(fixtures.bank(spark, sf_dir)))
+
+
+def _reconciled(spark, sf_dir) -> reconcile.Reconciliation:
+    # the narrow band and no subset sums: the whole run is over both whole ledgers
+    return reconcile.reconcile(*_two(spark, sf_dir), NARROW, subsets=False)
+
+
+def match_groups(spark, sf_dir):
+    return reports.match_groups(_reconciled(spark, sf_dir))
+
+
+def match_members(spark, sf_dir):
+    done = _reconciled(spark, sf_dir)
+    return reports.match_members(done, *_two(spark, sf_dir))
+
+
+def pending_review(spark, sf_dir):
+    return reports.pending_review(_reconciled(spark, sf_dir))
+
+
+def kpi_summary(spark, sf_dir):
+    done = _reconciled(spark, sf_dir)
+    return reports.kpis(done)
+
+
+def small_differences(spark, sf_dir):
+    return reports.small_differences(_reconciled(spark, sf_dir))
+
+
+def streaming_daily(spark, sf_dir):
+    from tallyspark.streaming import daily
+
+    return daily.event_days(spark, sf_dir)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return match_groups(spark, sf_dir)
+
+
+_NOT_QUERIES = {"entry", "queries", "oracle_sql"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = [
+        standardize_amounts, standardize_dates, normalize_text, amount_li, standardized_ledger, daily_stats, monthly_stats, side_totals, running_balance,
+        opening_balance, balance_continuity, balance_diff, calendar_days, exact_1to1, tolerance_band, tolerance_top, rule_candidates, batch_groups, summary_islands,
+        daily_total, monthly_total, cross_month_total, group_metrics, amount_buckets, ambiguity_flags, score_no_text, routing, select_matches,
+        difference_pools, unmatched_bank, unmatched_journal, bigram_dice, text_similarity, subset_sums, match_groups, match_members, pending_review,
+        kpi_summary, small_differences, streaming_daily,
+    ]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tallyspark.plans import oracles
+
+    return oracles.sql()
