@@ -1,0 +1,91 @@
+"""Eight checks of the inputs before matching; each passes, warns or blocks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions import dates, text
+from tallyspark.operators.standardize import SUMMARY_LABELS, ColumnMapping
+
+PASS, WARN, BLOCK = "通过", "提示", "阻止"
+ITEMS = "item string, status string, bank string, journal string, detail string, advice string"
+
+# --- fixed values: words of rows that are no transactions -------------------------------
+NON_TRANSACTION = ["合计", "累计", "小计", "总计", "日计", "月计", "年计", "期初", "期末", "承前页", "过次页", "统计"]
+NOTES = ["注：", "说明：", "备注：", "单位：", "制表："]
+# ----------------------------------------------------------------------------------------
+COMPLETE = 0.8
+
+
+class Blocked(ValueError):
+    """A check blocks the run."""
+
+
+def non_transaction(raw: DataFrame, mapping: ColumnMapping) -> Column:
+    """True for rows that look like no transaction: empty, totals, notes, repeated headers, lone undated cells."""
+    names = [c for c in raw.columns if not c.startswith("__")]
+    cells = F.array(*[text.cell_text(F.col(f"`{c}`")) for c in names])
+    filled = F.filter(cells, lambda x: x != "")
+    date = text.cell_text(F.col(f"`{mapping.date}`")) if mapping.date else F.lit("")
+    undated = dates.parse_date(date).isNull()
+    joined = F.array_join(filled, " ")
+    worded = joined.rlike("|".join(NON_TRANSACTION)) | F.exists(filled, lambda x: x.rlike("^(" + "|".join(NOTES) + ")"))
+    label = F.exists(filled, lambda x: x.isin(SUMMARY_LABELS))
+    header = F.size(F.filter(F.zip_with(cells, F.array(*[F.lit(c) for c in names]), lambda a, b: a == b), lambda x: x)) >= min(2, len(names))
+    return (F.size(filled) == 0) | label | (worded & undated) | header | ((F.size(filled) == 1) & undated)
+
+
+def auxiliary_rates(raw: DataFrame, mapping: ColumnMapping) -> DataFrame:
+    """(column, rate): share of transaction rows in which an auxiliary column is filled."""
+    rows = raw.where(~non_transaction(raw, mapping))
+    pairs = [F.struct(F.lit(c).alias("column"), F.avg(F.when(text.cell_text(F.col(f"`{c}`")) != "", 1.0).otherwise(0.0)).alias("rate")) for c in mapping.auxiliary]
+    if not pairs:
+        return raw.sparkSession.createDataFrame([], "column string, rate double")
+    return rows.agg(F.array(*pairs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def checks(spark: SparkSession, sides: dict[str, dict]) -> DataFrame:
+    """The eight items.  sides: 'bank' and 'journal', each with path, structure, mapping, raw, ledger, errors."""
+    figures: dict[str, dict] = {}
+    for name, s in sides.items():
+        days = s["ledger"].agg(
+            F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"),
+            F.sum(F.when(F.col("amount_li") > 0, F.col("amount_li"))).alias("income"), F.sum(F.when(F.col("amount_li") < 0, -F.col("amount_li"))).alias("expense"),
+        ).first()
+        own = days.asDict()
+        own["errors"] = {r["kind"]: r["count"] for r in s["errors"].groupBy("kind").count().collect()}
+        own["others"] = s["raw"].agg(F.count_if(non_transaction(s["raw"], s["mapping"])).alias("n")).first()["n"]
+        own["rates"] = {r["column"]: r["rate"] for r in auxiliary_rates(s["raw"], s["mapping"]).collect()}
+        figures[name] = own
+    b, j = figures["bank"], figures["journal"]
+    rows = []
+
+    def item(name: str, status: str, of, detail: str = "", advice: str = "") -> None:
+        rows.append((name, status, str(of("bank")), str(of("journal")), detail, advice))
+
+    item("文件", PASS, lambda s: sides[s].get("path", ""))
+    unclear = [s for s in sides if sides[s].get("structure") is not None and sides[s]["structure"].ambiguous]
+    chosen = [s for s in sides if sides[s].get("structure") is not None and sides[s]["structure"].explanation.startswith("采用用户设置")]
+    item("表头结构", WARN if unclear or chosen else PASS, lambda s: getattr(sides[s].get("structure"), "header_rows", ""), "多个可能的表头" if unclear else "")
+    known = all(f["first"] is not None for f in figures.values())
+    apart = known and (b["last"] < j["first"] or j["last"] < b["first"])
+    item("日期范围", BLOCK if not known or apart else (PASS if (b["first"], b["last"]) == (j["first"], j["last"]) else WARN), lambda s: f"{figures[s]['first']}~{figures[s]['last']}", "两侧日期无重叠" if apart else "")
+    wrong = {s: figures[s]["errors"].get("方向解析失败", 0) for s in sides}
+    item("方向", WARN if any(wrong.values()) else PASS, lambda s: wrong[s])
+    same = (b["income"], b["expense"]) == (j["income"], j["expense"])
+    item("收支合计", PASS if same else WARN, lambda s: f"{figures[s]['income']}/{figures[s]['expense']}")
+    item("非交易行", WARN if b["others"] or j["others"] else PASS, lambda s: figures[s]["others"], "已识别")
+    missing = {s: sides[s]["mapping"].missing() for s in sides}
+    item("必需列", BLOCK if any(missing.values()) else PASS, lambda s: ",".join(missing[s]))
+    low = {s: [c for c, r in figures[s]["rates"].items() if r is None or r < COMPLETE] for s in sides}
+    item("辅助列完整度", WARN if any(low.values()) else PASS, lambda s: ",".join(low[s]))
+    return spark.createDataFrame(rows, ITEMS)
+
+
+def require(items: DataFrame) -> DataFrame:
+    """items, unless one blocks."""
+    blocked = [r["item"] for r in items.where(F.col("status") == BLOCK).collect()]
+    if blocked:
+        raise Blocked("、".join(blocked))
+    return items
