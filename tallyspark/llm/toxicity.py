@@ -9,10 +9,10 @@ descent (FISTA) with an L1 penalty, which leaves a short list of weights.
 Grades come from labels: 0 for toxic = 0, 1 for toxic = 1 with quality = 1, 2 for toxic = 1
 with quality = 0; grades that don't occur have no threshold.  The classifier is fitted on a
 bounded sample: SAMPLE toxic and SAMPLE other labelled documents at most, chosen by a hash
-of the id; intercepts are corrected for the share of each that was taken.
+of the id; in the loss both classes weigh the same.
 
-Cases: a null or empty text has no features and gets the severity of the thresholds alone;
-with no labelled row, or only one grade, every severity is 0.  A document with several labels
+Cases: a text without a word (null, empty) has severity 0; with no labelled row, or only one
+grade, every severity is 0.  A document with several labels
 trains once for each.  One output row for each input row; ties cannot arise.
 """
 
@@ -79,7 +79,7 @@ class Model:
         return sum(self.weights[h] for h in sorted(found))
 
     def score(self, text: str | None, known: dict) -> tuple[float, float, int, bool]:
-        if not self.thresholds:
+        if not self.thresholds or not text or not _WORD.search(text):
             return 0.0, 0.0, 0, False
         link = self.link(text, known)
         above = [1 / (1 + np.exp(-np.clip(link - t, -50, 50))) for t in self.thresholds]

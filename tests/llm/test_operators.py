@@ -1,0 +1,425 @@
+"""Each operator against a brute-force version, and on nulls, empty texts, ties, repeated rows, empty tables, further columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.llm import chat, decontaminate, graph, html_extract, jaccard_join, language_id, line_dedup, lm_score, merkle, packed, sentencepiece_bpe, toxicity
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string, lang string, fp int, words string, chunk string"
+
+
+def prose(rng, n):
+    syllables = ["the", "on", "er", "an", "re", "that", "ble", "st", "É", "ou"]
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, lang, 1, "w", "c") for i, t, lang in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = random.Random(5)
+    base = [prose(rng, rng.randint(5, 60)) for _ in range(60)]
+    rows = [(i, t, "en") for i, t in enumerate(base)]
+    rows += [(100 + i, t, "en") for i, t in enumerate(base[:15])]
+    rows += [(200 + i, t + " " + prose(rng, 1), "en") for i, t in enumerate(base[:15])]
+    rows += [(300 + i, base[i] + "\n" + base[i + 1] + "\nall of this is the shared last line", "en") for i in range(0, 20, 2)]
+    rows += [(400, None, "en"), (401, "", None), (402, "1 2 3 !", "en"), (403, "a", None), (None, base[0], "en"), (0, base[0], "en"), (404, base[0].replace(" ", "\t"), "en")]
+    return rows
+
+
+# --- 1
+
+
+def test_chat_round_trip_of_any_text():
+    rng = random.Random(1)
+    for _ in range(500):
+        role, text = ("".join(rng.choice("<[|]>\\/s\nINSTim_startend é漢") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        segment, start, end = chat.render_message(role, text)
+        assert chat.read_back(segment) == (role, text)
+        assert chat.unescape(segment[start:end]) == text
+        assert segment.count("<|im_start|>") == segment.count("<|im_end|>") == 1
+
+
+def test_chat_digests(spark):
+    turns = spark.createDataFrame(
+        [(1, 1, "assistant", "b<|im_end|>"), (1, 0, "user", "a"), (2, 0, "user", None), (1, 1, "assistant", "b<|im_end|>"), (3, None, None, "x"), (None, 0, "assistant", "é")],
+        "conv_id long, turn long, role string, text string",
+    )
+    got = {r["conv_id"]: r for r in chat.digests(chat.render(chat.fold(chat.events_of_turns(turns)))).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1]["n_turns"] == 3 and got[1]["turns_sha256"] == sha("user\na\n" + "assistant\nb<|im_end|>\n" * 2)
+    assert got[1]["loss_sha256"] == sha("b<|im_end|>" * 2) and got[1]["loss_chars"] == 22
+    assert got[2]["turns_sha256"] == sha("user\n\n") and got[2]["loss_chars"] == 0
+    assert got[3]["turns_sha256"] == sha("\nx\n") and got[None]["loss_sha256"] == sha("é")
+    assert chat.digests(chat.render(chat.fold(chat.events_of_turns(turns.limit(0))))).count() == 0
+
+
+def test_chat_folds_events(spark):
+    events = spark.createDataFrame(
+        [
+            (1, 1, "message", 0, "user", "hi"), (1, 2, "delta", 1, "assistant", "He"), (1, 3, "delta", 1, None, "llo"), (1, 6, "edit", 2, "user", "edited"),
+            (1, 5, "delta", 2, "user", "raw"), (1, 7, "delta", 3, "assistant", "no"), (1, 8, "regenerate", 3, None, None), (1, 9, "delta", 3, None, "yes"),
+            (1, 10, "delta", 4, "user", "gone"), (1, 11, "delete", 4, None, None),
+        ],
+        "conv_id long, seq long, kind string, msg long, role string, text string",
+    )
+    got = [(r["role"], r["text"]) for r in chat.fold(events).orderBy("msg").collect()]
+    assert got == [("user", "hi"), ("assistant", "Hello"), ("user", "edited"), ("assistant", "yes")]
+
+
+# --- 2
+
+
+def brute_hits(rows, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = {}
+    for item, text in items:
+        w = word.findall((text or "").translate(LOWER))
+        for s in range(max(1, len(w) - 12) if w else 0):
+            windows.setdefault(tuple(w[s : s + 13]), set()).add(str(item))
+    out = []
+    for i, text in rows:
+        w = word.findall((text or "").translate(LOWER))
+        hit, found = set(), set()
+        for m in {len(k) for k in windows}:
+            for s in range(len(w) - m + 1):
+                own = windows.get(tuple(w[s : s + m]))
+                if own:
+                    hit.update(range(s, s + m))
+                    found |= own
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+def test_decontamination_is_exact(spark, corpus):
+    rng = random.Random(7)
+    long = [t for _, t, _ in corpus if t and len(t.split()) > 20]
+    items = [(k, " ".join(rng.choice(long).split()[3 : 3 + n])) for k, n in enumerate((13, 14, 20, 12, 3, 1, 30))]
+    items += [(50, None), (51, ""), (52, "the same same same same same"), (53, items[0][1])]
+    rows = [(i, t) for i, t, _ in corpus] + [(900, "x " * 30 + items[2][1] + " y" * 600), (901, "The SAME same same same same same"), (902, "a a " * 40)]
+    docs = docs_of(spark, [(i, t, None) for i, t in rows])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate.report(docs, bench).collect()), key=str)
+    assert got == brute_hits(rows, items)
+    kept = decontaminate.mark(docs, bench)
+    assert [c for c in kept.columns if not c.startswith("__")] == docs.columns
+    assert decontaminate.report(docs.limit(0), bench).count() == 0
+    assert decontaminate.report(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+# --- 3
+
+
+def brute_components(rows, n, per_cent):
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= per_cent * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return sorted(((i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize(("n", "per_cent"), [(4, 85), (5, 80)])
+def test_jaccard_join_is_exact(spark, corpus, n, per_cent, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, t) for i, t, _ in corpus]
+    words = prose(rng, 80).split()
+    for k in range(40):  # a large group of near copies
+        own = list(words)
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(80)] = prose(rng, 1)
+        rows.append((1000 + k, " ".join(own)))
+    docs = docs_of(spark, [(i, t, None) for i, t in rows])
+    got = sorted((tuple(r) for r in jaccard_join.join(docs, n, per_cent).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute_components(rows, n, per_cent)
+    monkeypatch.setattr(jaccard_join, "UNIT_TOKENS", 500)  # large clusters in blocks
+    monkeypatch.setattr(jaccard_join, "CHUNK_DOCS", 7)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    again = sorted((tuple(r) for r in jaccard_join.join(docs, n, per_cent).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert again == got
+
+
+def test_jaccard_join_of_nothing(spark):
+    empty = docs_of(spark, [])
+    assert jaccard_join.join(empty).count() == 0
+    only = docs_of(spark, [(1, None, None), (2, "", None), (None, "", None)])
+    assert sorted((tuple(r) for r in jaccard_join.join(only).select("doc_id", "n_shingles", "component_id").collect()), key=str) == [(1, 0, 1), (2, 0, 2), (None, 0, None)]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
+    got = {r["v"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[102] == got[101] == got[100] == 100
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 4
+
+
+def test_toxicity_learns_words(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(300):
+        text, bad = prose(rng, 30), i % 3 == 0
+        rows.append((i, text + (" scumbag" if bad else ""), "en"))
+        labels.append((i, 1 if i % 6 else 0, int(bad)))
+    docs = docs_of(spark, [*rows, (900, None, None), (901, "", None), (None, "a scumbag", None), (902, "A SCUMBAG!", None)])
+    labelled = spark.createDataFrame([*labels, (None, 1, 1), (5000, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labelled)
+    assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 2
+    got = toxicity.score(docs, model).select("doc_id", "__toxicity.*").collect()
+    by = {r["doc_id"]: r for r in got}
+    assert sum(by[i]["toxic"] == (i % 3 == 0) for i in range(300)) >= 297
+    assert by[902]["toxic"] and by[None]["toxic"] and by[900]["severity"] == by[901]["severity"] == 0
+    assert all(0 <= r["severity"] <= 2 and 0 <= r["p_toxic"] <= 1 for r in got)
+    none = toxicity.train(docs, labelled.limit(0))
+    assert toxicity.score(docs.limit(2), none).select("__toxicity.severity").first()[0] == 0.0
+
+
+# --- 5
+
+
+def test_language_filter(spark):
+    rng = random.Random(4)
+    alphabets = {"xx": "abcde", "yy": "fghij", "zz": "éüñßø"}
+    rows = []
+    for k, (lang, letters) in enumerate(alphabets.items()):
+        rows += [(1000 * k + i, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(20)), lang) for i in range(60)]
+    docs = docs_of(spark, rows)
+    model = language_id.train(docs)
+    assert model.languages == ["xx", "yy", "zz"]
+    extra = docs_of(spark, [(1, None, None), (2, "12 34 !", None), (3, "", None), (4, "漢字 漢", None), (5, "²½", None)])
+    got = language_id.predict(docs.unionByName(extra), model).select("doc_id", "lang", "__lang.*").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["lang"])
+    rest = {r["doc_id"]: r for r in got if not r["lang"]}
+    assert [rest[i]["lang_pred"] for i in (1, 2, 3, 5)] == ["und"] * 4 and rest[4]["score"] == 0.0 and rest[4]["known"] == 0.0
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert language_id.predict(extra, language_id.train(docs.limit(0))).where("__lang.lang_pred <> 'und'").count() == 0
+
+
+def test_filter_returns_all_languages_of_a_gram():
+    import numpy as np
+
+    made = language_id.Filter([f"l{i:02}" for i in range(11)])
+    h = packed.mixed(np.arange(1, 200, dtype=np.uint64))
+    for language in (0, 3, 10):
+        made.add(language, h)
+    made.close()
+    first, second = made.masks(h)
+    assert (first == 0b1001).all() and (second == 0b100).all()
+
+
+# --- 6
+
+
+@pytest.fixture(scope="module")
+def model_path():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    return tokenizers.path("piece_bpe_32k.model")
+
+
+def test_encoding_equals_the_library(model_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    model = sentencepiece_bpe.loaded(sentencepiece_bpe.model_bytes(model_path))
+    rng = random.Random(6)
+    alphabet = "ab  \n\t▁<s>é漢\x00😀1.,'The in"
+    texts = ["", " ", "▁", "a" * 300, "the " * 50, prose(rng, 200)] + ["".join(rng.choice(alphabet) for _ in range(rng.choice((3, 25, 90)))) for _ in range(1500)]
+    for text in texts:
+        ids = library.encode(text)
+        assert model.encode(text) == ids, text
+        joined, decoded = model.both(text)
+        assert joined == ",".join(map(str, ids)) and decoded == library.decode(ids) == model.decode(ids), text
+
+
+def test_encoding_queries(spark, model_path):
+    docs = docs_of(spark, [(1, "a b", None), (2, None, None), (None, "", None), (1, "a b", None)])
+    got = sorted((tuple(r) for r in sentencepiece_bpe.digests(docs, model_path).collect()), key=str)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got[0][1] == 2 and got[0] == got[1] and got[2] == (2, 0, empty, empty) and got[3] == (None, 0, empty, empty)
+    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, model_path), model_path).orderBy("doc_id").collect()
+    assert [r["decoded"] for r in both] == ["", "a b", "a b", ""]
+
+
+# --- 7
+
+
+def test_lm_scores(spark, corpus):
+    rows = [(i, t) for i, t, _ in corpus]
+    docs = docs_of(spark, [(i, t, None) for i, t in rows])
+    got = lm_score.score(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1).collect()
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = Counter(
+        (i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)), 6)) for i, t in rows
+    )
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+    assert lm_score.score(docs.limit(0), F.lit(False)).count() == 0
+
+
+def test_lm_weights_are_a_mixture():
+    import numpy as np
+    import pandas as pd
+
+    weights = lm_score.learn(pd.DataFrame({"bucket": [5, 5, 0], "r1": [4, 8, 4], "r2": [40, lm_score.NEVER, lm_score.NEVER], "n": [90, 10, 5]}))
+    assert np.allclose(weights.sum(axis=1), 1) and weights[5, 2] > 0.7 and weights[0, 2] == 0
+
+
+# --- 8
+
+
+def brute_lines(rows):
+    """Exact recurrence of long lines only: what templates without variable fields must at least drop."""
+    first = {}
+    keyed = sorted({(i is not None, i if i is not None else 0, t) for i, t in rows if t is not None})
+    for some, i, t in keyed:
+        for line in t.split("\n"):
+            if len(line.split()) >= line_dedup.MIN_TOKENS:
+                first.setdefault(line.strip(), (some, i, t))
+    return first
+
+
+def test_line_dedup(spark):
+    rng = random.Random(9)
+    lines = [prose(rng, 12) for _ in range(12)]
+    rows = [(k, "\n".join(lines[k : k + 3])) for k in range(10)]
+    rows += [(20, "order 17 was sent to you on day 5\n" + prose(rng, 9)), (21, prose(rng, 9) + "\norder 99 was sent to you on day 1"), (22, None), (23, ""), (24, "\n\n"), (25, "of the\nof the"), (26, "of the")]
+    rows += [(30, "one two three four five six seven eight nine ten"), (31, "one two three four five six seven eight nine TEN"), (32, "one two three x y z a b c d")]
+    docs = docs_of(spark, [(i, t, None) for i, t in rows])
+    got = {r["doc_id"]: r for r in line_dedup.dedup(docs).collect()}
+    first = brute_lines([r for r in rows if r[0] < 20])
+    for k in range(10):
+        want = [x for x in rows[k][1].split("\n") if first[x.strip()][1] == k]
+        assert got[k]["text"] == "\n".join(want) and got[k]["__n_dropped"] == 3 - len(want)
+    assert "order 17" in got[20]["text"] and "order 99" not in got[21]["text"]
+    assert got[22]["text"] is None and got[23]["text"] == "" and got[24]["text"] == "\n\n" and got[25]["text"] == "of the\nof the"
+    assert got[30]["text"] and got[31]["text"] == "" and got[32]["text"]
+    assert line_dedup.dedup(docs.limit(0)).count() == 0
+    assert [c for c in line_dedup.dedup(docs).columns if not c.startswith("__")] == docs.columns
+
+
+# --- 9
+
+
+def test_fingerprints(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(0, 40)) + rng.choice(["", ".\n", "\n\n"]) + prose(rng, 5)) for i in range(40)] + [(50, ""), (51, None), (52, "x")]
+    docs = docs_of(spark, [(i, t, None) for i, t in rows])
+    for tasks in (1, 5):
+        got = {r["doc_id"]: r for r in merkle.with_edits(docs, tasks).collect()}
+        down = sorted(rows, reverse=True, key=lambda r: r[0])
+        assert len(got) == len(rows)
+        for k, (i, t) in enumerate(down):
+            t, after = t or "", down[(k + 1) % len(down)][1] or ""
+            new = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+            r = got[i]
+            assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+            assert r["fingerprint"] == merkle.fingerprint(t) and r["edited_fingerprint"] == merkle.fingerprint(new)
+            assert r["near_next"] == merkle.likeness(merkle.Tree(t), merkle.Tree(after)) and 0 <= r["near_edited"] <= 1
+    assert merkle.with_edits(docs.limit(0), 3).count() == 0
+    ties = docs_of(spark, [(1, "b", None), (1, "a", None), (1, "b", None), (None, "z", None)])
+    assert merkle.with_edits(ties, 3).count() == 4
+    alone = merkle.with_edits(docs_of(spark, [(None, "abc", None)]), 3).collect()
+    assert alone[0]["near_next"] == 1.0
+
+
+def test_tree_locates_edits():
+    a = merkle.Tree("one. two.\nthree.\n\nfour.\nfive.")
+    b = merkle.Tree("one. two.\nthree.\n\nfour!\nfive.")
+    assert merkle.differing(a, b) == [(1, 0)] and a.root != b.root and merkle.differing(a, a) == []
+    assert 0.5 < merkle.likeness(a, b) < 1 and merkle.likeness(a, a) == 1.0
+    rng = random.Random(1)
+    for _ in range(200):
+        line = "".join(rng.choice("ab .!?\t") for _ in range(rng.randint(0, 400)))
+        assert "".join(merkle.pieces(line)) == line
+
+
+# --- 10
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""),
+        ("", ""),
+        ("a &lt; b", "a < b"),
+        ("<p>hi", "hi"),
+        (
+            "<html><head><title>t</title></head><body><nav><a href=/>menu, of, links</a></nav><header>Site</header><article><h1>T&eacute;</h1><p><b>First</b>, para<br>graph.<p>Second,\n  one.</article>"
+            "<aside>side, side</aside><div class='cookie-notice'>We, use, cookies.</div><section id=comments><p>I, as, a, reader, think, so.</p></section><form>x<input></form><footer>&copy; f</footer><script>var a='</p>';</script></body></html>",
+            "Té First, para graph. Second, one.",
+        ),
+        ("<div id=main><p>One, two, three long text here and more text to be sure.</p><div class='comments'><p>reader, says, this.</p></div><p>Second &amp; last</p></div><div class=sidebar><p>x, y, z</p></div>", "One, two, three long text here and more text to be sure. Second & last"),
+        ("<table><tr><td>cell, one<td>cell two</table>", "cell, one cell two"),
+        ("<article><p>a</p><article class=comment><p>no</p></article></article>", "a"),
+        ("<p>x</p></div></p>stray<!-- c --><![CDATA[ raw ]]>", "x stray raw"),
+    ],
+)
+def test_extraction(page, text):
+    assert html_extract.extract(page) == text
+
+
+def test_extraction_of_tables(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (None, None, None), (1, "u", "<p>a")], "page_id long, url string, html string")
+    assert sorted(r["text"] for r in html_extract.extract_pages(pages).collect()) == ["", "a", "a"]
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_very_long_and_deep_texts():
+    deep = "<div>" * 3000 + "deep, text" + "</div>" * 3000
+    assert html_extract.extract(deep) == "deep, text"
+    long = "word " * 200_000
+    assert merkle.likeness(merkle.Tree(long), merkle.Tree(long)) == 1.0
+    assert len(jaccard_join.shingles(long, 4)) == 1
+    assert len(html_extract.extract(f"<article><p>{long}</article>")) == len(long) - 1
+
+
+# --- what several operators share
+
+
+def test_packed_totals(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    keys = packed.mixed(np.arange(1, 400, dtype=np.uint64))
+    sent, want = [], Counter()
+    chunks = {}
+    for chunk in range(5):
+        own = np.unique(rng.choice(keys, 100))
+        counts = rng.integers(0, 1 << 33, len(own))
+        chunks[chunk] = own
+        want.update(dict(zip(own.tolist(), counts.tolist(), strict=True)))
+        sent.append(packed.requests(chunk, own, counts, 3))
+    replies = packed.totals(spark.createDataFrame(pd.concat(sent), packed.REQUESTS)).toPandas()
+    for chunk, own in chunks.items():
+        got = packed.answered(own, replies[replies["chunk"] == chunk], 3)
+        assert got.tolist() == [want[k] for k in own.tolist()]
