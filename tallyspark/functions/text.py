@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: words and character maps ---------------------------------------------
 FULL_WIDTH = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９"
@@ -120,7 +121,7 @@ def similarity(a: str | None, b: str | None) -> int:
     return round(100 * max(ratio, dice))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict[tuple, int] = {}
     out = []
@@ -155,7 +156,9 @@ def evidence(bank: dict[str, str] | None, journal: dict[str, str] | None) -> tup
     return local, sorted(k for k, v in scores.items() if v >= 60), conflicts
 
 
-EVIDENCE = "local int, supporting array<string>, conflicts array<string>"
+EVIDENCE = T.StructType(
+    [T.StructField("local", T.IntegerType()), T.StructField("supporting", T.ArrayType(T.StringType())), T.StructField("conflicts", T.ArrayType(T.StringType()))]
+)
 
 
 @F.pandas_udf(EVIDENCE)
