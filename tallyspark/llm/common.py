@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +37,14 @@ def checkpoints(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the session's cleaner drop the shuffle files of steps whose frames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets the session's cleaner drop the shuffle files of steps whose frames are gone.
+
+    The JVM hears of the frames that Python dropped only after a moment, hence the rounds.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
