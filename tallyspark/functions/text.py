@@ -76,7 +76,7 @@ def confidence_label(score: Column) -> Column:
 def redact_sensitive(value: Column) -> Column:
     """Paths, tokens, key parameters and long digit runs masked."""
     text = F.regexp_replace(value, r"(?i)bearer\s+[A-Za-z0-9._\-]+", "Bearer ***")
-    text = F.regexp_replace(text, r"(?i)\b(api[_-]?key|key|token|secret|password)=([^&\s]+)", "$1=***")
+    text = F.regexp_replace(text, r"(?i)\b(api[_-]?key|key|token|secret|password)=([^&\s#]+)", "$1=***")
     text = F.regexp_replace(text, r"([A-Za-z]:\\[^\s]+|/(?:home|Users|root|tmp|var)/[^\s]+)", "[path]")
     return F.regexp_replace(text, r"\d{8,}", "********")
 

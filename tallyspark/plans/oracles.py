@@ -155,5 +155,13 @@ SELECT month, pool, count(*) AS n, CAST(sum(gap) AS BIGINT) AS total_li, sum(gap
         "bigram_dice": """WITH t AS (SELECT c_custkey, c_name AS a, 'Customer#' || c_mktsegment AS b FROM customer),
 g AS (SELECT c_custkey, list_distinct(list_transform(range(1, length(a)), lambda i: a[i : i + 1])) AS x, list_distinct(list_transform(range(1, length(b)), lambda i: b[i : i + 1])) AS y FROM t)
 SELECT c_custkey, round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 9) AS dice FROM g""",
+        "parse_error_counts": f"""{f}, x AS (SELECT CASE WHEN k % 17 = 0 THEN '被丢弃的汇总行' WHEN k % 11 = 0 THEN '日期解析失败' WHEN k % 7 = 0 THEN '金额解析失败' WHEN k % 13 = 0 THEN '方向解析失败' END AS kind
+  FROM (SELECT rec_id // 10 AS k FROM bank)) SELECT 'bank' AS source, kind, count(*) AS n FROM x WHERE kind IS NOT NULL GROUP BY kind""",
+        "masked_texts": "SELECT CAST(id AS INT) AS id, masked, url, cell FROM (VALUES "
+        + ", ".join(f"({i}, " + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for i, row in enumerate(registry.MASKED))
+        + ") t(id, masked, url, cell)",
+        "ledger_labels": f"""{f} SELECT rec_id, strftime(date, '%Y-%m') AS month, CAST(year(date) * 12 + month(date) AS BIGINT) AS month_no,
+  CASE WHEN rec_id % 101 >= 85 THEN '高' WHEN rec_id % 101 >= 70 THEN '中' ELSE '低' END AS confidence, CAST(sign(amount_li - rec_id) AS INT) AS compared, rec_id % 101 <= 100 AS same,
+  CASE WHEN rec_id % 101 % 3 = 0 THEN '账号' WHEN rec_id % 101 % 3 = 1 THEN '对方户名' END AS category FROM bank""",
         "streaming_daily": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, CAST(round(sum(CAST(round(value * 100) AS BIGINT))) AS BIGINT) AS cents FROM events GROUP BY 1, 2",
     }

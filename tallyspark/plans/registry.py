@@ -32,6 +32,13 @@ SUMMARY_TEXTS = ["收到 ＡＢＣ公司 货款12345678", "转账  项目 一",
 SUMMARY_VALUES = ["abc 货款", "项目 一", "", "有限责任甲", "手续费 2024", ""]
 
 
+MASK_TEXTS = ["Bearer abc.DEF-1", "k=v&token=xyz&a=1", "acct 6222021234567890 ok", "https://u:p@host:8443/a/b?key=1#f", "=SUM(A1)", "plain"]
+MASKED = [
+    ("Bearer ***", "", "Bearer abc.DEF-1"), ("k=v&token=***&a=1", "", "k=v&token=xyz&a=1"), ("acct ******** ok", "", "acct 6222021234567890 ok"),
+    ("https://u:p@host:8443/a/b?key=***#f", "https://host:8443/a/b", "https://u:p@host:8443/a/b?key=1#f"), ("=SUM(A1)", "", "'=SUM(A1)"), ("plain", "", "plain"),
+]
+
+
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return fixtures.bank(spark, sf_dir), fixtures.journal(spark, sf_dir)
 
@@ -70,6 +77,42 @@ def standardized_ledger(spark, sf_dir):
     return ledger.select("original_idx", "date", "amount_li", "summary")
 
 
+def parse_error_counts(spark, sf_dir):
+    """Rejected rows by kind, of a raw table with unreadable dates, amounts and directions."""
+    k = F.col("original_idx") / 10
+    raw = fixtures.bank(spark, sf_dir).select(
+        F.col("original_idx").alias("__source_row__"), F.col("original_file_row").alias("__file_row__"),
+        F.when(k % 11 == 0, "x").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("日期"), F.when(k % 7 == 0, "abc").otherwise("1.00").alias("金额"),
+        F.when(k % 13 == 0, "?").otherwise("贷").alias("方向"), F.when(k % 17 == 0, "合计").otherwise(F.col("summary")).alias("摘要"),
+    )
+    mapping = standardize.ColumnMapping(date="日期", amount="金额", direction="方向", summary="摘要", mode="single_amount_with_direction")
+    return standardize.error_counts(standardize.standardize(raw, mapping, "bank", gate=False)[1])
+
+
+def masked_texts(spark, sf_dir):
+    own = _literals(spark, MASK_TEXTS)
+    return own.select("id", text.redact_sensitive(F.col("raw")).alias("masked"), text.sanitize_url(F.col("raw")).alias("url"), text.clean_excel_string(F.col("raw")).alias("cell"))
+
+
+def ledger_labels(spark, sf_dir):
+    """Month key and number, category, confidence and comparison functions over the whole ledger."""
+    b = fixtures.bank(spark, sf_dir)
+    score = F.col("rec_id") % 101
+    return b.select(
+        "rec_id", dates.month_key(F.col("date")).alias("month"), dates.month_number(F.col("date")).cast("long").alias("month_no"),
+        text.confidence_label(score).alias("confidence"), money.compare_amounts(F.col("amount_li"), F.col("rec_id")).alias("compared"),
+        money.amounts_match(F.col("amount_li"), F.col("amount_li") + score).alias("same"),
+        text.critical_category(F.when(score % 3 == 0, "对方账号").when(score % 3 == 1, "客户名称").otherwise("摘要")).alias("category"),
+    )
+
+
+def side_components(spark, sf_dir):
+    """Connected components of the narrow candidates: their number of candidates by component."""
+    rated, members = _rated(spark, sf_dir)
+    rated, members = rated.persist(), members.persist()
+    return selection.components(rated, members).groupBy("component").agg(F.count("*").alias("n"))
+
+
 def daily_stats(spark, sf_dir):
     return balances.daily_table(*_two(spark, sf_dir))
 
@@ -284,7 +327,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         opening_balance, balance_continuity, balance_diff, calendar_days, exact_1to1, tolerance_band, tolerance_top, rule_candidates, batch_groups, summary_islands,
         daily_total, monthly_total, cross_month_total, group_metrics, amount_buckets, ambiguity_flags, score_no_text, routing, select_matches,
         difference_pools, unmatched_bank, unmatched_journal, bigram_dice, text_similarity, subset_sums, match_groups, match_members, pending_review,
-        kpi_summary, small_differences, streaming_daily,
+        kpi_summary, small_differences, streaming_daily, parse_error_counts, masked_texts, ledger_labels, side_components,
     ]
     return {f.__name__: f for f in own}
 
