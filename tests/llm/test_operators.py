@@ -326,6 +326,17 @@ def test_line_dedup(spark):
     assert [c for c in line_dedup.dedup(docs).columns if not c.startswith("__")] == docs.columns
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(10)
+    own = [prose(rng, 9) for _ in range(8)]
+    short = ["Les.", "And ornd.", "All rights reserved.", "one two three four", "漢字" * 40]
+    rows = [(1, "\n".join([*short, own[0]])), (2, "\n".join([own[1], *short])), (3, f"  Les. \n{own[2]}\nall rights reserved.")]
+    rows += [(4, f"Page 1\n{own[3]}\n \n\t"), (5, f"Page 2\n{own[4]}\n \n\t"), (6, f"Page 2\n{own[5]}\n\u3000"), (7, f"{own[6]}\none two three five\n\u3000")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, [(i, t, None) for i, t in rows])).collect()}
+    want = dict(rows) | {2: own[1], 3: f"{own[2]}\nall rights reserved.", 6: f"{own[5]}\n\u3000"}
+    assert got == want
+
+
 # --- 9
 
 
