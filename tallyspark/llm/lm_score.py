@@ -5,8 +5,8 @@ The model mixes maximum-likelihood estimates of a word w after a word v,
     P(w | v) = l2(b) c(v w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1),
 
 with weights for each bucket b of the context's frequency (the logarithm of c(v)).  They are
-learned by expectation-maximisation on held-out counts: of the training tokens of one chunk
-in FOLD, each is scored with the counts from which that very occurrence is deleted.
+learned by expectation-maximisation on held-out counts: each training token is scored with
+the counts from which that very occurrence is deleted.
 
 All counts are exact and over all training texts.  The texts are dealt out in chunks of some
 CHUNK_DOCS documents; each chunk asks for the totals of its distinct words and word pairs
@@ -30,7 +30,6 @@ from tallyspark.llm.common import checkpoints, partitions, release
 from tallyspark.llm.jaccard_join import Words
 
 CHUNK_DOCS = 1_500
-FOLD = 10
 BUCKETS = 40
 STEPS = 80
 STEP_SIZE = 4  # cells for each doubling of a ratio of estimates
@@ -150,10 +149,11 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         chunk = Chunk(group["text"].tolist())
         return _cells(chunk, ~group["held"].to_numpy(bool), chunk.seen(back, buckets))
 
-    fold = F.col("chunk") % FOLD == 0
-    cells = rows.where(fold).groupBy("chunk").cogroup(replies.where(fold).groupBy("chunk"))
+    cells = rows.groupBy("chunk").cogroup(replies.groupBy("chunk"))
     cells = cells.applyInPandas(delete, "bucket long, r1 long, r2 long, n long").groupBy("bucket", "r1", "r2").agg(F.sum("n").alias("n"))
     weights = learn(cells.toPandas().sort_values(["bucket", "r1", "r2"]))  # as many cells as buckets and steps at most
+    del cells
+    release(spark)
 
     def rate(group: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(group["text"].tolist())

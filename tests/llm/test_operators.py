@@ -285,6 +285,15 @@ def test_lm_scores(spark, corpus):
     assert lm_score.score(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_lm_weights_come_from_all_training_tokens(spark, corpus, monkeypatch):
+    docs = docs_of(spark, [(i, t, None) for i, t, _ in corpus])
+    scores = lambda: sorted(((r["doc_id"], r["score"]) for r in lm_score.score(docs, F.col("doc_id") % 5 == 1).collect()), key=str)
+    whole = scores()
+    monkeypatch.setattr(lm_score, "CHUNK_DOCS", 4)
+    parts = scores()
+    assert [i for i, _ in parts] == [i for i, _ in whole] and [x for _, x in parts] == pytest.approx([x for _, x in whole], abs=1e-6)
+
+
 def test_lm_weights_are_a_mixture():
     import numpy as np
     import pandas as pd
