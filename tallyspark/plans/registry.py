@@ -282,8 +282,8 @@ def calendar_days(spark, sf_dir):
 
 
 def _reconciled(spark, sf_dir) -> reconcile.Reconciliation:
-    # the narrow band and no subset sums: the whole run is over both whole ledgers
-    return reconcile.reconcile(*_two(spark, sf_dir), NARROW, subsets=False)
+    # the narrow band: the whole run is over both whole ledgers
+    return reconcile.reconcile(*_two(spark, sf_dir), NARROW)
 
 
 def match_groups(spark, sf_dir):

@@ -43,3 +43,18 @@ def test_query_equals_sql(spark, tables, name):
     got = sorted(tuple(plain(x) for x in r) for r in df.select(*columns).collect())
     rows = con.sql("SELECT " + ", ".join(f'"{x}"' for x in columns) + f" FROM ({registry.oracle_sql()[name]})").fetchall()
     assert got == sorted(tuple(plain(x) for x in r) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def split_rows(spark, tmp_path_factory):
+    """Three orders some months apart, each one bank row against two journal rows."""
+    top = tmp_path_factory.mktemp("split")
+    orders = [(k, 1, "O", 9000.0 * (k + 1), datetime.datetime(2024, 1 + k // 4, 5), "5-LOW") for k in (6, 16, 26)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{top}/orders.parquet")
+    spark.createDataFrame([(1, "Customer#1", "AUTO")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{top}/customer.parquet")
+    return str(top)
+
+
+def test_whole_run_has_subset_sums(spark, split_rows):
+    found = registry._reconciled(spark, split_rows).candidates.where("ctype = 'combination_dfs'")
+    assert sorted((r["b_n"], r["j_n"], r["b_min"]) for r in found.collect()) == [(1, 2, 60), (1, 2, 160), (1, 2, 260)]
