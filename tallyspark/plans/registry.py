@@ -15,7 +15,7 @@ from tallyspark.operators import candidates as c
 from tallyspark.plans import fixtures, reconcile, reports
 
 CONFIG = ReconConfig()
-#: A band of 50 yuan, for the queries that would else return millions of pairs.
+#: A band of 50 yuan, for the queries whose SQL has that band; all others have the 5,000 yuan of CONFIG.
 NARROW = ReconConfig(clearly_trivial_threshold=Decimal("50.00"))
 
 AMOUNT_TEXTS = [
@@ -107,8 +107,8 @@ def ledger_labels(spark, sf_dir):
 
 
 def side_components(spark, sf_dir):
-    """Connected components of the narrow candidates: their number of candidates by component."""
-    rated, members = _rated(spark, sf_dir)
+    """Connected components of the candidates: their number of candidates by component."""
+    rated, members = _rated(spark, sf_dir, CONFIG)
     rated, members = rated.persist(), members.persist()
     return selection.components(rated, members).groupBy("component").agg(F.count("*").alias("n"))
 
@@ -205,41 +205,40 @@ def amount_buckets(spark, sf_dir):
     return fixtures.bank(spark, sf_dir).groupBy("summary").agg(*money.bucket_counts(F.col("amount_li")))
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, config):
     b, j = _two(spark, sf_dir)
-    return c.exact_pairs(b, j, NARROW, scored=False).unionByName(c.tolerance_pairs(b, j, NARROW, scored=False))
+    return c.exact_pairs(b, j, config, scored=False).unionByName(c.tolerance_pairs(b, j, config, scored=False))
 
 
-def _rated(spark, sf_dir):
-    b, j = _two(spark, sf_dir)
-    found = _pairs(spark, sf_dir)
+def _rated(spark, sf_dir, config):
+    found = _pairs(spark, sf_dir, config)
     m = found.select("candidate_id", F.explode(F.array(F.struct(F.lit("B").alias("side"), F.col("b_min").alias("rec_id")), F.struct(F.lit("J").alias("side"), F.col("j_min").alias("rec_id")))).alias("m"))
     members = m.select("candidate_id", "m.*")
-    return selection.scored(selection.ambiguity(found, members), NARROW), members
+    return selection.scored(selection.ambiguity(found, members), config), members
 
 
 def ambiguity_flags(spark, sf_dir):
-    return _rated(spark, sf_dir)[0].select("b_min", "j_min", "ambiguous")
+    return _rated(spark, sf_dir, NARROW)[0].select("b_min", "j_min", "ambiguous")
 
 
 def score_no_text(spark, sf_dir):
-    return _rated(spark, sf_dir)[0].select("b_min", "j_min", "amount_score", "date_score", "structure_score", "score")
+    return _rated(spark, sf_dir, NARROW)[0].select("b_min", "j_min", "amount_score", "date_score", "structure_score", "score")
 
 
 def routing(spark, sf_dir):
-    rated, _ = _rated(spark, sf_dir)
+    rated, _ = _rated(spark, sf_dir, NARROW)
     return selection.routed(rated, NARROW).select("b_min", "j_min", "route_reason", "status")
 
 
 def select_matches(spark, sf_dir):
-    rated, members = _rated(spark, sf_dir)
+    rated, members = _rated(spark, sf_dir, CONFIG)
     rated, members = rated.persist(), members.persist()
     chosen = selection.select(rated, members)
     return selection.numbered(rated.join(chosen, "candidate_id", "left_semi")).select("match_id", "candidate_id", "score", "diff_li", "span")
 
 
 def difference_pools(spark, sf_dir):
-    rated, _ = _rated(spark, sf_dir)
+    rated, _ = _rated(spark, sf_dir, NARROW)
     return pools.pools(pools.components(rated, NARROW), NARROW)
 
 
@@ -282,8 +281,7 @@ def calendar_days(spark, sf_dir):
 
 
 def _reconciled(spark, sf_dir) -> reconcile.Reconciliation:
-    # the narrow band: the whole run is over both whole ledgers
-    return reconcile.reconcile(*_two(spark, sf_dir), NARROW)
+    return reconcile.reconcile(*_two(spark, sf_dir), CONFIG)
 
 
 def match_groups(spark, sf_dir):

@@ -58,3 +58,20 @@ def split_rows(spark, tmp_path_factory):
 def test_whole_run_has_subset_sums(spark, split_rows):
     found = registry._reconciled(spark, split_rows).candidates.where("ctype = 'combination_dfs'")
     assert sorted((r["b_n"], r["j_n"], r["b_min"]) for r in found.collect()) == [(1, 2, 60), (1, 2, 160), (1, 2, 260)]
+
+
+@pytest.fixture(scope="module")
+def near_amounts(spark, tmp_path_factory):
+    """Two orders 3,000 yuan and two days apart."""
+    top = tmp_path_factory.mktemp("near")
+    orders = [(k, 1, "O", 10000.0 + 3000.0 * (k - 1), datetime.datetime(2024, 1, 3 + 2 * k), "5-LOW") for k in (1, 2)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{top}/orders.parquet")
+    spark.createDataFrame([(1, "Customer#1", "AUTO")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{top}/customer.parquet")
+    return str(top)
+
+
+def test_whole_run_has_the_production_tolerance(spark, near_amounts):
+    found = registry._reconciled(spark, near_amounts).candidates.where("ctype = 'amount_difference'")
+    assert sorted((r["b_min"], r["j_min"], r["diff_li"]) for r in found.collect()) == [(10, 20, 30_000_000), (20, 10, 30_000_000)]
+    assert sum(r["n"] for r in registry.side_components(spark, near_amounts).collect()) == 4
+    assert registry.select_matches(spark, near_amounts).count() == 2
