@@ -2,14 +2,14 @@
 
 An event log has rows (conv_id, seq, kind, msg, role, text).  Kinds:
 
-* message: a whole message;
+* message: a whole message, the text that later events of msg act on;
 * delta: text to be added to message msg (the first one makes the message);
 * edit: new text for message msg;
 * regenerate: message msg is emptied, its next deltas write it anew;
 * delete: message msg is taken out.
 
 Folding deals out events by (conv_id, msg), so one long conversation is spread over many
-tasks, and reads each message's events as a sorted stream; whole messages pass through.
+tasks, and reads each message's events as a sorted stream.
 Rendering deals out messages by conversation and streams them in order: a task holds one
 message at a time and writes one rendered segment for each, so the length of a
 conversation is not bounded by memory.  Joined in order, the segments are the formatted
@@ -23,7 +23,8 @@ mask covers assistant texts.
 
 Cases: null text or role: empty.  Null conv_id: a conversation of its own.  Messages are
 ordered by msg, then seq, role and text (nulls first), so ties and repeated rows have one
-order, and each repeated row of kind message is a message.  Events of an unknown kind fail.
+order, and each repeated row of kind message is a message, until another event acts on msg:
+then the last one is what is left of them.  Of one seq, kind message comes first.  Events of an unknown kind fail.
 An empty log gives no row.  Other columns are dropped.
 """
 
@@ -76,15 +77,16 @@ def fold(events: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("msg").cast("long").alias("msg"), F.col("seq").cast("long").alias("seq"), "kind",
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    whole = events.where("kind = 'message'").drop("kind")
-    parts = events.where("kind is null or kind <> 'message'").repartition("conv_id", "msg").sortWithinPartitions("conv_id", "msg", "seq", "kind", "text")
+    order = ["conv_id", "msg", "seq", F.expr("kind is null or kind <> 'message'"), "kind", "text", "role"]
+    dealt = events.repartition("conv_id", "msg").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = None
         seq, role, texts = None, "", None
+        whole, copies = False, []  # whole: nothing has acted on the message yet; copies: whole rows of it before the last
 
         def done() -> list[tuple]:
-            return [(*key, seq, role, "".join(texts))] if key is not None and texts is not None else []
+            return copies + ([(*key, seq, role, "".join(texts))] if key is not None and texts is not None else [])
 
         for batch in batches:
             out: list[tuple] = []
@@ -95,6 +97,12 @@ def fold(events: DataFrame) -> DataFrame:
                 if now != key:
                     out += done()
                     key, seq, role, texts = now, int(at) if _known(at) else None, by, None
+                    whole, copies = False, []
+                if kind == "message":
+                    copies = done() if whole else []
+                    seq, role, texts, whole = int(at) if _known(at) else None, by, [text], True
+                    continue
+                whole, copies = False, []
                 role, fresh = by or role, texts is None
                 if kind == "delete":
                     texts = None
@@ -107,7 +115,7 @@ def fold(events: DataFrame) -> DataFrame:
             yield _messages(out)
         yield _messages(done())
 
-    return whole.unionByName(parts.mapInPandas(run, MESSAGES))
+    return dealt.mapInPandas(run, MESSAGES)
 
 
 def _messages(rows: list[tuple]) -> pd.DataFrame:

@@ -77,6 +77,20 @@ def test_chat_folds_events(spark):
     assert got == [("user", "hi"), ("assistant", "Hello"), ("user", "edited"), ("assistant", "yes")]
 
 
+def test_chat_events_act_on_whole_messages(spark):
+    events = spark.createDataFrame(
+        [
+            (1, 1, "message", 0, "user", "old"), (1, 9, "edit", 0, None, "new"), (1, 2, "message", 1, "assistant", "gone"), (1, 3, "delete", 1, None, None),
+            (1, 4, "message", 2, "assistant", "no"), (1, 5, "regenerate", 2, None, None), (1, 6, "delta", 2, None, "yes"), (1, 7, "message", 3, "user", "a"),
+            (1, 8, "delta", 3, None, "b"), (1, 10, "message", 4, "user", "twice"), (1, 10, "message", 4, "user", "twice"), (1, 11, "message", 5, "user", "x"),
+            (1, 11, "message", 5, "user", "x"), (1, 12, "delete", 5, None, None), (1, 13, "delta", 6, "user", "part"), (1, 14, "message", 6, "user", "all"),
+        ],
+        "conv_id long, seq long, kind string, msg long, role string, text string",
+    )
+    got = [(r["msg"], r["role"], r["text"]) for r in chat.fold(events).orderBy("msg").collect()]
+    assert got == [(0, "user", "new"), (2, "assistant", "yes"), (3, "user", "ab"), (4, "user", "twice"), (4, "user", "twice"), (6, "user", "all")]
+
+
 # --- 2
 
 
