@@ -269,10 +269,8 @@ def text_similarity(spark, sf_dir):
 
 
 def subset_sums(spark, sf_dir):
-    """Bank rows as sums of the journal's rows, on the rows that were split in two."""
-    b, j = _two(spark, sf_dir)
-    digit = F.floor(F.col("rec_id") / 10.0) % 10
-    found = subset_sum.solutions(b.where(digit == 6), j.where(digit == 6), NARROW)
+    """Bank rows as sums of the journal's rows."""
+    found = subset_sum.solutions(*_two(spark, sf_dir), CONFIG)
     return found.select("rec_id", "amount_li", F.array_join(F.transform("ids", lambda x: x.cast("string")), "+").alias("ids"))
 
 

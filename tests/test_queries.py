@@ -75,3 +75,11 @@ def test_whole_run_has_the_production_tolerance(spark, near_amounts):
     assert sorted((r["b_min"], r["j_min"], r["diff_li"]) for r in found.collect()) == [(10, 20, 30_000_000), (20, 10, 30_000_000)]
     assert sum(r["n"] for r in registry.side_components(spark, near_amounts).collect()) == 4
     assert registry.select_matches(spark, near_amounts).count() == 2
+
+
+def test_subset_sums_of_all_rows(spark, tmp_path):
+    """A bank row of key 17, which has no journal row, is the sum of the journal rows of keys 1 and 2."""
+    orders = [(k, 1, "O", price, datetime.datetime(2024, 1, 5), "5-LOW") for k, price in ((1, 40000.0), (2, 70000.0), (17, 110000.0))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "Customer#1", "AUTO")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [(r["rec_id"], r["ids"]) for r in registry.subset_sums(spark, str(tmp_path)).collect()] == [(170, "10+20")]
