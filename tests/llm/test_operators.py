@@ -360,6 +360,29 @@ def test_line_dedup_of_short_lines(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("held", [500, 0])
+def test_line_dedup_of_full_leaves(spark, monkeypatch, held):
+    """Lines of one opening: each of many families recurs, as when each line joins the first leader it agrees with."""
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", held)
+    rng = random.Random(11)
+    rows = []
+    for k in range(6):
+        words = [f"{c}{'abcdef'[k]}" for c in "pqrstuv"]
+        rows += [(10 * k + m, " ".join(["the", "same", "start", *words[:m], f"x{'ghij'[m]}", *words[m + 1 :]])) for m in range(rng.randint(2, 4))]
+    rows += [(100 + k, "the same start " + prose(rng, 7)) for k in range(20)]
+    docs = docs_of(spark, [(i, t, None) for i, t in rows])
+    parsed = line_dedup.places(docs)
+    found = line_dedup.templates(docs, parsed).join(parsed, ["__leaf", "__mask"]).collect()
+    text, lead, want = dict(rows), [], {}
+    of = {r["__id"]: r for r in found}
+    for i in sorted(of, key=lambda i: of[i]["__mask"]):  # each line is in one document
+        agree = lambda a, i=i: sum(x == y for x, y in zip(text[a].split(), text[i].split(), strict=True)) >= 8
+        want[i] = next((a for a in lead if agree(a)), i)
+        lead += [i] if want[i] == i else []
+    assert {i: r["__template"] for i, r in of.items()} == {i: of[a]["__mask"] for i, a in want.items()}
+    assert sum(i < 100 and a != i for i, a in want.items()) > 6
+
+
 # --- 9
 
 
