@@ -10,6 +10,9 @@ siblings whose own points, or whose long and link-poor text, show that they go o
 Cases: null or empty html, and pages without text, give ''.  Unclosed and stray tags,
 unknown entities and text outside any element are accepted.  No block is dropped for its
 length and nothing is cut.  One output row for each input row, repeated rows included.
+Other columns are kept; one that has the output column's name already is replaced.  Pages are
+read once from front to end, so a long page with unclosed or deeply nested tags takes time in
+proportion to its length.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 # --- fixed values: HTML element kinds -------------------------------------------------
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
-SKIPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "menu", "dialog", "figure", "video", "audio", "label", "fieldset"}
+SKIPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "menu", "dialog", "video", "audio", "label", "fieldset"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark",
     "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "ruby", "rt", "rp", "img",
@@ -33,29 +36,38 @@ INLINE = {
 PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: An open element of the value is closed by a start tag of the key.
 CLOSED_BY = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "a": {"a"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4",
     "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
-#: Words of class, id and role values that name parts beside the article.
+#: Words of class, id and role values that name parts beside the article, wherever they are.
 BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|subscribe|newsletter|"
-    r"sidebar|side|aside|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|site-header|page-header|topbar|masthead|comments?|comment-\w+|disqus|replies|reply|respond|"
-    r"share|sharing|social|related|recommended|widget|toolbar|login|signup|search|tags?|skip|contentinfo|complementary|tracking)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo|promotions?|banner|cookies?|consent|gdpr|popup|modal|overlay|subscribe|newsletter|"
+    r"sidebar|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|site-header|page-header|topbar|masthead|comments?|comment-\w+|disqus|replies|reply|respond|"
+    r"share|sharing|social|related|recommended|toolbar|login|signup|contentinfo|complementary)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words that name such parts outside the article only: inside, they are also said of its own boxes and remarks.
+BESIDE_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:notices?|alert|side|aside|widget|search|tags?|skip|tracking)(?=$|[\s_-])", re.IGNORECASE)
 #: Values that name the article itself and outweigh the words above.
 ARTICLE = {"article", "article-body", "post-body", "post-content", "entry-content", "content", "main-content", "main", "story", "story-body"}
 COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?=$|[\s_-])", re.IGNORECASE)
 # --------------------------------------------------------------------------------------
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|$)""", re.IGNORECASE)
+# Possessive throughout, so that each character is looked at a bounded number of times.  A tag
+# ends at > or, if that is missing, before the next one; quotes count only after =.
+_MARKUP = re.compile(
+    r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?|</(?P<end>[a-zA-Z][^\s/<>]*+)[^<>]*+>?|"""
+    r"""<(?P<start>[a-zA-Z][a-zA-Z0-9:_.-]*+)(?=[\s/<>]|\Z)(?P<rest>(?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="']|<(?![a-zA-Z/!?]))*+)>?""",
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"']++))?""")
+_NAMES = {"class", "id", "role"}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-_RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE) for name in RAW}
 COMMAS = re.compile("[,，、،;；]")
 
 LENGTH_POINT = 100  # characters a point
@@ -64,10 +76,10 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("children", "name", "parent", "points", "skipped")
+    __slots__ = ("children", "in_article", "name", "parent", "points", "skipped")
 
-    def __init__(self, name: str, parent: Node | None, skipped: bool = False) -> None:
-        self.name, self.parent, self.skipped = name, parent, skipped
+    def __init__(self, name: str, parent: Node | None, skipped: bool = False, in_article: bool = False) -> None:
+        self.name, self.parent, self.skipped, self.in_article = name, parent, skipped, in_article
         self.children: list[Node | str] = []
         self.points = 0.0
 
@@ -75,77 +87,103 @@ class Node:
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _beside(name: str, attributes: str, in_article: bool) -> bool:
+def _said(attributes: str) -> tuple[bool, str]:
+    """Whether an element is hidden, and its class, id and role together."""
     values = []
     for found in _ATTRIBUTE.finditer(attributes):
         key, value = found[1].lower(), (found[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-            return True
-        if key in ("class", "id", "role"):
+            return True, ""
+        if key in _NAMES:
             values.append(value)
-    if not values or name in ("html", "body"):
+    return False, _CAMEL.sub("-", " ".join(values))
+
+
+def _beside(name: str, said: str, in_article: bool) -> bool:
+    if not said or name in ("html", "body"):
         return False
-    joined = _CAMEL.sub("-", " ".join(values))
     if name in ("article", "main"):
-        return bool(COMMENT.search(joined))
-    words = set(joined.lower().split())
+        return bool(COMMENT.search(said))
+    words = set(said.lower().split())
     if words & ARTICLE:
         return False
-    return bool(BESIDE.search(joined)) or ("header" in words and not in_article)
+    return bool(BESIDE.search(said)) or not in_article and (bool(BESIDE_OUTSIDE.search(said)) or "header" in words)
+
+
+class _Open:
+    """The open elements, and at which depths each name is among them."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """Ends the element at this depth and all within it."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().name].pop()
+
+    def depth(self, name: str, within: frozenset[str] | tuple = ()) -> int:
+        """Where the innermost element of this name is; 0 if there is none, or one of within is open inside it."""
+        own = self.depths.get(name)
+        if not own or any((d := self.depths.get(w)) and d[-1] > own[-1] for w in within):
+            return 0
+        return own[-1]
+
+
+_P_ENDS_AT = ("table", "td", "li", "div", "article", "section", "body")
 
 
 def parse(page: str) -> Node:
     """The tree of a page; text children are raw, with their character references."""
-    root = at = Node("#root", None)
-    end, size = 0, len(page)
-    scan = _TAG.scanner(page, 0).search
-    position = 0
-    while (found := scan()) is not None:
-        if found.start() < position:
-            continue
-        if found.start() > position:
-            at.children.append(page[position : found.start()])
-        position = end = found.end()
-        name = (found[2] or "").lower()
-        if not name:
-            if found[0].startswith("<![CDATA["):
-                at.children.append(entities.escape(found[0][9:].removesuffix("]]>"), quote=False))
+    root = Node("#root", None)
+    opened = _Open(root)
+    stack = opened.stack
+    begin = position = 0
+    while (start := page.find("<", position)) >= 0:
+        found = _MARKUP.match(page, start)
+        if found is None:  # a plain <
+            position = start + 1
             continue
-        if found[1]:
-            if name == "p" and not _open(at, "p"):
-                at.children.append(Node("p", at))
-            elif (opened := _open(at, name)) is not None:
-                at = opened.parent or root
-            continue
-        if name in CLOSES_P and (opened := _open(at, "p", {"table", "td", "li", "div", "article", "section", "body"})) is not None:
-            at = opened.parent or root
-        if name in CLOSED_BY:
-            while at.name in CLOSED_BY[name] or at.name == "p" and at.parent is not None and at.parent.name in CLOSED_BY[name]:
-                at = at.parent or root
-        attributes = found[3] or ""
-        skipped = name in SKIPPED or (bool(attributes) and _beside(name, attributes, _open(at, "article") is not None))
-        node = Node(name, at, skipped)
-        at.children.append(node)
-        if name in RAW and not found[4]:
-            closing = _RAW_END[name].search(page, end)
-            position = closing.end() if closing else size
-        elif name not in VOID and not (found[4] and name not in CLOSES_P | INLINE):
-            at = node
-    if position < size:
-        at.children.append(page[position:])
+        if start > begin:
+            stack[-1].children.append(page[begin:start])
+        begin = position = found.end()
+        kind = found.lastgroup
+        if kind == "data":
+            stack[-1].children.append(entities.escape(found["data"], quote=False))
+        elif kind == "end":
+            name = found["end"].lower()
+            if depth := opened.depth(name):
+                opened.close(depth)
+            elif name == "p":
+                stack[-1].children.append(Node("p", stack[-1]))
+        elif kind == "rest":
+            name, attributes = found["start"].lower(), found["rest"]
+            if name in CLOSES_P and (depth := opened.depth("p", _P_ENDS_AT)):
+                opened.close(depth)
+            if name in CLOSED_BY:
+                while stack[-1].name in CLOSED_BY[name] or stack[-1].name == "p" and stack[-1].parent.name in CLOSED_BY[name]:
+                    opened.close(len(stack) - 1)
+            above = stack[-1]
+            hidden, said = _said(attributes) if attributes else (False, "")
+            skipped = name in SKIPPED or hidden or _beside(name, said, above.in_article)
+            inside = above.in_article or name in ("article", "main") or bool(said) and not ARTICLE.isdisjoint(said.lower().split())
+            node = Node(name, above, skipped or name == "header" and not (inside or "section" in opened.depths and bool(opened.depths["section"])), inside)
+            above.children.append(node)
+            alone = attributes.endswith("/")
+            if name in RAW and not alone:
+                closing = _RAW_END[name].search(page, position)
+                begin = position = closing.end() if closing else len(page)
+            elif name not in VOID and not (alone and name not in CLOSES_P | INLINE):
+                opened.push(node)
+    if begin < len(page):
+        stack[-1].children.append(page[begin:])
     return root
 
 
-def _open(at: Node | None, name: str, within: set[str] = frozenset()) -> Node | None:  # type: ignore[assignment]
-    while at is not None and at.parent is not None:
-        if at.name == name:
-            return at
-        if at.name in within:
-            return None
-        at = at.parent
-    return None
-
-
 def _text(raw: str) -> str:
     return entities.unescape(raw) if "&" in raw else raw
 
@@ -174,7 +212,7 @@ def blocks(node: Node) -> list[str]:
             run.append(_text(child))
         elif child.name == "br":
             run.append(" ")
-        elif not child.skipped and not _page_header(child):
+        elif not child.skipped:
             if child.name not in INLINE:
                 close()
             stack.append(iter(child.children))
@@ -183,18 +221,6 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def _page_header(node: Node) -> bool:
-    """A header of the page; one within an article belongs to the text."""
-    if node.name != "header":
-        return False
-    at = node.parent
-    while at is not None:
-        if at.name in ("article", "main", "section"):
-            return False
-        at = at.parent
-    return True
-
-
 def _measure(node: Node) -> dict[int, tuple[int, int]]:
     """Of each node, by id: length of its text and of the text in its links; points go up on the way."""
     sizes: dict[int, tuple[int, int]] = {}
@@ -203,7 +229,7 @@ def _measure(node: Node) -> dict[int, tuple[int, int]]:
         at, done = stack.pop()
         if not done:
             stack.append((at, True))
-            stack += [(c, False) for c in at.children if isinstance(c, Node) and not c.skipped and not _page_header(c)]
+            stack += [(c, False) for c in at.children if isinstance(c, Node) and not c.skipped]
             continue
         size = links = 0
         own = []
@@ -260,9 +286,8 @@ def extract(page: str | None) -> str:
             if child is best:
                 kept.append(child)
             elif isinstance(child, Node) and id(child) in sizes:
-                size = sizes[id(child)][0]
                 own = child.points >= max(10, SIBLING_SHARE * most)
-                goes_on = child.name == "p" and density(child) < 0.25 and size > 80
+                goes_on = child.name == "p" and density(child) < 0.25
                 if own or (goes_on and best.name not in ("article", "main")):
                     kept.append(child)
     return " ".join(block for node in kept for block in blocks(node))

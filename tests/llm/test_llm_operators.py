@@ -438,6 +438,14 @@ def test_tree_locates_edits():
         ("<table><tr><td>cell, one<td>cell two</table>", "cell, one cell two"),
         ("<article><p>a</p><article class=comment><p>no</p></article></article>", "a"),
         ("<p>x</p></div></p>stray<!-- c --><![CDATA[ raw ]]>", "x stray raw"),
+        ("<article><script>if (a<b) { /* don't */ }</script><p>It's here, and so on.</p></article>", "It's here, and so on."),
+        ("<article><figure><img src=a><figcaption>A caption.</figcaption></figure><p>Text, more text.</p></article>", "A caption. Text, more text."),
+        ("<article><div class=alert>Beware.</div><p>Text, more text.</p><div class='notice side'>Noted.</div><p class=tags>x, y</p></article>", "Beware. Text, more text. Noted. x, y"),
+        ("<div class=notice><p>Our, terms, have, changed.</p></div><article><p>Text.</p></article><div class=search>find</div>", "Text."),
+        ("<div><div id=x><p>A paragraph, with commas, that says some things.</p><p>Another one, as long as that, or longer.</p></div><p>The end.</p></div>", "A paragraph, with commas, that says some things. Another one, as long as that, or longer. The end."),
+        ("<p>a < b, c<d) <a href=x title='>'>e</a> it's <b class=\"x>f</b> g", "a < b, c<d) e it's f g"),
+        ("<header>Site</header><main><header><h1>Title</h1></header><p>Text, text.</p></main>", "Title Text, text."),
+        ("<p>one, two <a href=y", "one, two"),
     ],
 )
 def test_extraction(page, text):
@@ -459,6 +467,15 @@ def test_very_long_and_deep_texts():
     assert len(html_extract.extract(f"<article><p>{long}</article>")) == len(long) - 1
 
 
+@pytest.mark.parametrize("part", ["<a ", "<a x=\"", "<div>", "<p><td><i>", "<!--", "</", "<", "<a =   ", "<ul><li>", "<b></i>", "<p>it's ", "<header>", "&amp"])
+def test_extraction_time_is_linear(part):
+    import time
+
+    start = time.time()
+    html_extract.extract(part * (1_000_000 // len(part)))
+    assert time.time() - start < 20  # quadratic scans took minutes
+
+
 # --- what several operators share
 
 
