@@ -38,7 +38,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return toxicity.score(docs, model).select("doc_id", "__toxicity.*")
 
 

@@ -2,177 +2,254 @@
 
 Model: P(grade >= k | x) = sigmoid(w.x - t_k) for k = 1..K-1 with one weight vector w for
 all thresholds and t_1 < t_2 < ...; the output is the expected severity, the sum of these
-probabilities.  Features are the distinct words of a text and their first 4 and 5 letters,
-hashed to a fixed space, one each however often it occurs.  Training is proximal gradient
-descent (FISTA) with an L1 penalty, which leaves a short list of weights.
+probabilities.  w and t maximise the likelihood of the grades, P(grade = k) being the
+difference of neighbouring probabilities, less an L1 penalty that leaves a short list of
+weights (proximal gradient steps with momentum and a line search).
 
-Grades come from labels: 0 for toxic = 0, 1 for toxic = 1 with quality = 1, 2 for toxic = 1
-with quality = 0; grades that don't occur have no threshold.  The classifier is fitted on a
-bounded sample: SAMPLE toxic and SAMPLE other labelled documents at most, chosen by a hash
-of the id; in the loss both classes weigh the same.
+Features are the words of a text and their first PREFIXES letters; the value of one is its
+share of the text's words, so long texts don't gather severity by chance, and w.x is a sum
+over words.  A feature is learned from if LEAST_DOCS training documents have it.
+
+Grades are whole numbers in order, however many there are; labels have the two of `toxic`, 0
+and 1.  The classifier is fitted on a bounded sample: SAMPLE documents of the least grade and
+SAMPLE of the others at most, chosen by a hash of the id (of a doc_id with several texts,
+one); each counts for as many as it stands for, so probabilities are those of all labelled
+documents and not of the sample.
 
 Cases: a text without a word (null, empty) has severity 0; with no labelled row, or only one
-grade, every severity is 0.  A document with several labels
-trains once for each.  One output row for each input row; ties cannot arise.
+grade, every severity is 0.  Labels without a grade or doc_id are not used.  A document with
+several labels trains once for each.  One output row for each input row; ties cannot arise.
+Other columns of docs are kept, but for one of the name __toxicity, which is replaced.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 4_000
-SPACE = 1 << 22
-LEAST_DOCS = 5  # training documents that hold a feature
-STEPS = 250
-L1 = 2e-4
-CUT = 0.5  # of P(grade >= 1) for the toxic flag
+PREFIXES = range(3, 9)
+LEAST_DOCS = 3
+STEPS = 300
+L1 = 1e-4
+SETTLED = 1e-6  # relative change of the loss that ends the fit
+SCALE = 30.0  # a word in so many has the value 1
+CUT = 0.5  # of P(grade >= k) for the reported grade
+KNOWN_WORDS = 400_000
+BLOCK = 500  # documents
 
 SCORED = "severity double, p_toxic double, grade int, toxic boolean"
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _hash(word: str) -> int:
-    import zlib
-
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (SPACE - 1)
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
 
 
-class Features(dict):
-    """Word to the hashes of its features; kept for words met often."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        names = {word} | {f"{word[:n]}*" for n in (4, 5) if len(word) >= n}
-        out = tuple(_hash(n) for n in names)
-        if len(word) <= 32:
-            self[word] = out
-        return out
+def features(word: str) -> list[int]:
+    """Hashes of the word and of its beginnings."""
+    names = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names]
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 @dataclass
 class Model:
     weights: dict[int, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = ()
+    grades: tuple[int, ...] = ()
 
-    def link(self, text: str | None, known: dict[str, tuple[int, ...]]) -> float:
-        """w.x; known: words to those of their features that have a weight."""
-        found: set[int] = set()
-        for word in words_of(text):
-            own = known.get(word)
-            if own is None:
-                own = tuple(h for h in _FEATURES[word] if h in self.weights) if self.weights else ()
-                known[word] = own
-            if own:
-                found.update(own)
-        return sum(self.weights[h] for h in sorted(found))
-
-    def score(self, text: str | None, known: dict) -> tuple[float, float, int, bool]:
-        if not self.thresholds or not text or not _WORD.search(text):
+    def weight(self, word: str) -> float:
+        return sum(self.weights.get(h, 0.0) for h in features(word))
+
+    def score(self, text: str | None, known: Words) -> tuple[float, float, int, bool]:
+        """known: this model's weights of the words met so far."""
+        words = words_of(text) if self.thresholds else []
+        if not words:
             return 0.0, 0.0, 0, False
-        link = self.link(text, known)
-        above = [1 / (1 + np.exp(-np.clip(link - t, -50, 50))) for t in self.thresholds]
-        return float(sum(above)), float(above[0]), int(sum(p >= CUT for p in above)), bool(above[0] >= CUT)
+        link = SCALE * sum(map(known.__getitem__, words)) / len(words)
+        above = _sigmoid(link - np.array(self.thresholds))
+        return float(above.sum()), float(above[0]), int((above >= CUT).sum()), bool(above[0] >= CUT)
+
+
+class Words(dict):
+    """Word to its weight, for one model."""
 
+    def __init__(self, model: Model) -> None:
+        self.model = model
 
-_FEATURES = Features()
+    def __missing__(self, word: str) -> float:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        out = self[word] = self.model.weight(word)
+        return out
 
 
-def fit(rows: list[tuple[int, np.ndarray]], prior: dict[bool, float] | None = None) -> Model:
-    """A model of (grade, feature hashes) rows; prior: how many rows each sampled row of toxic False/True stands for."""
+class Sample:
+    """Texts as a sparse matrix of words, and words as one of features: x = (docs by words) (words by features)."""
+
+    def __init__(self, texts: list[Counter[str]]) -> None:
+        at: dict[str, int] = {}
+        doc, word, share = [], [], []
+        for i, counts in enumerate(texts):
+            n = sum(counts.values())
+            for w, c in counts.items():
+                doc.append(i)
+                word.append(at.setdefault(w, len(at)))
+                share.append(SCALE * c / n)
+        self.n, self.n_words = len(texts), len(at)
+        self.doc, self.word, self.share = np.array(doc, np.int64), np.array(word, np.int64), np.array(share)
+        hashes, of = [], []
+        for w, i in at.items():
+            own = features(w)
+            hashes += own
+            of += [i] * len(own)
+        names, feature = np.unique(np.array(hashes, np.int64), return_inverse=True)
+        of = np.array(of, np.int64)
+        # how many documents have a feature, some documents at a time
+        order = np.argsort(of, kind="stable")
+        start = np.searchsorted(of[order], np.arange(self.n_words + 1))
+        by_word, docs = feature[order], np.zeros(len(names), np.int64)
+        for low in range(0, self.n, BLOCK):
+            part = slice(*np.searchsorted(self.doc, (low, low + BLOCK)))
+            words = self.word[part]
+            size = start[words + 1] - start[words]
+            offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            pairs = by_word[np.repeat(start[words], size) + offset] * BLOCK + np.repeat(self.doc[part] - low, size)
+            docs += np.bincount(np.unique(pairs) // BLOCK, minlength=len(names))
+        keep = docs >= min(LEAST_DOCS, max(1, self.n // 20))
+        place = np.cumsum(keep) - 1
+        used = keep[feature]
+        self.names, self.of, self.feature = names[keep], of[used], place[feature[used]]
+
+    def link(self, w: np.ndarray) -> np.ndarray:
+        by_word = np.bincount(self.of, weights=w[self.feature], minlength=self.n_words)
+        return np.bincount(self.doc, weights=self.share * by_word[self.word], minlength=self.n)
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The gradient of w from that of the link."""
+        by_word = np.bincount(self.word, weights=self.share * r[self.doc], minlength=self.n_words)
+        return np.bincount(self.feature, weights=by_word[self.of], minlength=len(self.names))
+
+
+def likelihood(link: np.ndarray, t: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Minus the weighted log-likelihood of grades y (0..K-1), and its gradients by link and by thresholds."""
+    if len(t) > 1 and not (np.diff(t) > 0).all():
+        return np.inf, np.zeros_like(link), np.zeros_like(t)
+    cuts = np.concatenate([[-np.inf], t, [np.inf]])
+    low, high = link - cuts[y], link - cuts[y + 1]  # P = sigmoid(low) - sigmoid(high)
+    a, b = _sigmoid(low), _sigmoid(high)
+    p = np.maximum(np.where(y == 0, 1 - b, np.where(y == len(t), a, a - b)), 1e-15)
+    da, db = a * (1 - a), b * (1 - b)
+    da[y == 0], db[y == len(t)] = 0.0, 0.0
+    by_link = -weight * (da - db) / p
+    by_t = np.bincount(y, weights=weight * da / p, minlength=len(t) + 1)[1:] - np.bincount(y, weights=weight * db / p, minlength=len(t) + 1)[:-1]
+    return float(-(weight * np.log(p)).sum()), by_link, by_t
+
+
+def fit(rows: list[tuple[int, Counter[str]]], stands_for: dict[bool, float] | None = None) -> Model:
+    """A model of (grade, word counts) rows; stands_for: how many rows each one of grade 0 (False) or above (True) stands for."""
+    rows = [(g, c) for g, c in rows if c]
     grades = sorted({g for g, _ in rows})
     if len(grades) < 2:
         return Model()
-    every, counts = np.unique(np.concatenate([x for _, x in rows]), return_counts=True)
-    columns = every[counts >= min(LEAST_DOCS, max(1, len(rows) // 20))]
+    x = Sample([c for _, c in rows])
     y = np.array([grades.index(g) for g, _ in rows])
-    weight = np.array([(prior or {}).get(g > 0, 1.0) for g, _ in rows])
+    weight = np.array([(stands_for or {}).get(g > grades[0], 1.0) for g, _ in rows])
     weight /= weight.sum()
-    at, of = [], []
-    for i, (_, x) in enumerate(rows):
-        found = np.searchsorted(columns, x)
-        found = found[(found < len(columns)) & (columns[np.minimum(found, max(0, len(columns) - 1))] == x)] if len(columns) else found[:0]
-        at.append(found)
-        of.append(np.full(len(found), i))
-    at, of = np.concatenate(at), np.concatenate(of)
-    n, k = len(rows), len(grades) - 1
-    target = (y[:, None] > np.arange(k)[None, :]).astype(float)  # of the cumulative links
-    share = np.clip((weight[:, None] * target).sum(0), 1e-4, 1 - 1e-4)
-    t = -np.log(share / (1 - share))
-    w = np.zeros(len(columns))
-    # each threshold is one logistic loss on the shared w.x: convex, and t stays ordered as the targets are nested
-    balance = np.where(y > 0, 0.5 / max(1e-9, weight[y > 0].sum()), 0.5 / max(1e-9, weight[y == 0].sum())) * weight
-    size = np.bincount(of, minlength=n)
-    step = 1.0 / max(1e-9, 0.25 * k * float((balance * (size + 1)).sum()))
-    w0, t0, m0 = w.copy(), t.copy(), 1.0
-    step *= 4
+    above = np.array([weight[y > k].sum() for k in range(len(grades) - 1)])
+    t = -np.log(above / (1 - above))
+    w = np.zeros(len(x.names))
+    w0, t0, m0, step = w, t, 1.0, 1.0
+    last = np.inf
     for _ in range(STEPS):
-        link = np.bincount(of, weights=w[at], minlength=n)
-        p = 1 / (1 + np.exp(-np.clip(link[:, None] - t[None, :], -50, 50)))
-        miss = (p - target) * balance[:, None]
-        gw = np.bincount(at, weights=miss.sum(1)[of], minlength=len(columns))
-        w1 = w - step * gw
-        w1 = np.sign(w1) * np.maximum(np.abs(w1) - step * L1, 0)
-        t1 = np.maximum.accumulate(t + step * 4 * miss.sum(0))
+        loss, by_link, gt = likelihood(x.link(w), t, y, weight)
+        gw = x.back(by_link)
+        while True:  # the longest step that the quadratic bound allows
+            w1 = w - step * gw
+            w1 = np.sign(w1) * np.maximum(np.abs(w1) - step * L1, 0)
+            t1 = t - step * gt
+            new, _, _ = likelihood(x.link(w1), t1, y, weight)
+            dw, dt = w1 - w, t1 - t
+            if new <= loss + gw @ dw + gt @ dt + (dw @ dw + dt @ dt) / (2 * step) + 1e-12 or step < 1e-9:
+                break
+            step /= 2
         m1 = (1 + np.sqrt(1 + 4 * m0 * m0)) / 2
-        if float(((w1 - w0) * (w - w1)).sum()) > 0:  # restart when the momentum points uphill
+        whole = new + L1 * float(np.abs(w1).sum())
+        if whole > last:  # start the momentum anew
             m0 = m1 = 1.0
-        w, t = w1 + (m0 - 1) / m1 * (w1 - w0), np.maximum.accumulate(t1 + (m0 - 1) / m1 * (t1 - t0))
-        w0, t0, m0 = w1, t1, m1
-    keep = np.flatnonzero(np.abs(w0) > 1e-4)
-    return Model({int(columns[i]): float(w0[i]) for i in keep}, tuple(float(x) for x in t0))
+        if abs(last - whole) < SETTLED * max(1.0, whole):
+            w0, t0 = w1, t1
+            break
+        w, t = w1 + (m0 - 1) / m1 * (w1 - w0), t1 + (m0 - 1) / m1 * (t1 - t0)
+        if len(t) > 1 and not (np.diff(t) > 0).all():
+            t = t1
+        w0, t0, m0, last = w1, t1, m1, whole
+        step *= 1.5
+    kept = np.flatnonzero(np.abs(w0) > 1e-6)
+    return Model({int(x.names[i]): float(w0[i]) for i in kept}, tuple(float(v) for v in t0), tuple(grades))
+
+
+def _packed(text: str | None) -> bytes:
+    return zlib.compress("\n".join(f"{w} {n}" for w, n in sorted(Counter(words_of(text)).items())).encode("utf-8", "surrogatepass"), 1)
+
+
+def _unpacked(data: bytes) -> Counter[str]:
+    rows = (line.rsplit(" ", 1) for line in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n") if line)
+    return Counter({w: int(n) for w, n in rows})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of docs (doc_id, text) and labels (doc_id, quality, toxic)."""
-    graded = labels.where("doc_id is not null and toxic is not null").select(
-        F.col("doc_id").alias("__doc"),
-        F.when(F.col("toxic") == 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 2).otherwise(1).alias("__grade"),
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)).alias("__h"),
-    )
-    sizes = {r["toxic"]: r["n"] for r in graded.groupBy((F.col("__grade") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    """A model of docs (doc_id, text) and labels (doc_id, toxic: the grade)."""
+    h = F.xxhash64("doc_id")
+    graded = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("__doc"), F.col("toxic").cast("int").alias("__grade"), h.alias("__h"))
+    graded = graded.distinct()
+    (least,) = graded.agg(F.min("__grade")).first()
+    if least is None:
+        return Model()
+    graded = graded.withColumn("__above", F.col("__grade") > least)
+    sizes = {r["__above"]: r["n"] for r in graded.groupBy("__above").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model()
-    cut = {k: 1_000_003 * min(1.0, sample / n) for k, n in sizes.items()}
-    chosen = graded.where(F.col("__h") < F.when(F.col("__grade") > 0, cut[True]).otherwise(cut[False]))
-    # a bounded sample: 2 * sample ids and a few more
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc")).select("__grade", "text")
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # a threshold on the hash thins the rows before the exact cut, so no task ranks all of them
+    cut = {k: 1_000_003 * min(1.0, 1.3 * sample / n + 40 / n) for k, n in sizes.items()}
+    thin = graded.where(F.pmod("__h", F.lit(1_000_003)) < F.when(F.col("__above"), cut[True]).otherwise(cut[False]))
+    place = F.row_number().over(Window.partitionBy("__above").orderBy("__h", "__doc", "__grade"))
+    chosen = thin.withColumn("__r", place).where(F.col("__r") <= sample).select("__doc", "__grade")
+    # 2 * sample rows at most
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc"))
+    texts = texts.groupBy("__doc", "__grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("__grade", "x.text")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [sorted({h for w in words_of(t) for h in _FEATURES[w]}) for t in batch["text"]]
-            _FEATURES.clear()
-            yield pd.DataFrame({"grade": batch["__grade"].astype("int32"), "x": [np.array(x, dtype=np.int32).tobytes() for x in kept]})
+            yield pd.DataFrame({"grade": batch["__grade"].astype("int32"), "x": [_packed(t) for t in batch["text"]]})
 
-    rows = texts.mapInPandas(features, "grade int, x binary").toPandas()
-    rows = rows.sort_values(["grade", "x"], kind="stable")
-    parsed = [(int(g), np.frombuffer(x, dtype=np.int32)) for g, x in zip(rows["grade"], rows["x"], strict=True)]
-    return fit(parsed, {k: n / max(1, min(n, sample)) for k, n in sizes.items()})
+    rows = sorted((int(r["grade"]), bytes(r["x"])) for r in texts.mapInPandas(counted, "grade int, x binary").collect())
+    return fit([(g, _unpacked(x)) for g, x in rows], {k: n / min(n, sample) for k, n in sizes.items()})
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a struct column __toxicity (severity, p_toxic, grade, toxic)."""
+    """docs with a struct column __toxicity (severity, p_toxic, grade, toxic); p_toxic is P(grade >= 1)."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     @F.pandas_udf(SCORED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, known = pickle.loads(sent.value), {}
+        own = pickle.loads(sent.value)
+        known = Words(own)
         for batch in batches:
-            if len(known) > 400_000:
-                known.clear()
-                _FEATURES.clear()
             yield pd.DataFrame([own.score(t, known) for t in batch], columns=["severity", "p_toxic", "grade", "toxic"])
-            _FEATURES.clear()
 
     return docs.withColumn("__toxicity", run("text"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -195,24 +196,63 @@ def test_components(spark):
 # --- 4
 
 
-def test_toxicity_learns_words(spark):
+def test_toxicity_learns_ordered_grades(spark):
     rng = random.Random(2)
     rows, labels = [], []
-    for i in range(300):
-        text, bad = prose(rng, 30), i % 3 == 0
-        rows.append((i, text + (" scumbag" if bad else ""), "en"))
-        labels.append((i, 1 if i % 6 else 0, int(bad)))
-    docs = docs_of(spark, [*rows, (900, None, None), (901, "", None), (None, "a scumbag", None), (902, "A SCUMBAG!", None)])
-    labelled = spark.createDataFrame([*labels, (None, 1, 1), (5000, 1, None)], "doc_id long, quality int, toxic int")
+    insults = {0: [], 1: ["scumbag"], 2: ["scumbag", "scumbags", "scumbaggery", "vermin", "vermin", "vermin"]}
+    for i in range(450):
+        words = prose(rng, 40).split() + insults[i % 3]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, 1, i % 3))
+    docs = docs_of(spark, [*rows, (900, None, None), (901, "", None), (None, "a scumbag", None), (902, "A SCUMBAG!", None), (903, "1 2 !", None), (0, rows[0][1], None)])
+    labelled = spark.createDataFrame([*labels, (None, 1, 1), (5000, 1, None), (0, 1, 0), (0, 1, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labelled)
-    assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 2
-    got = toxicity.score(docs, model).select("doc_id", "__toxicity.*").collect()
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1] and model.grades == (0, 1, 2)
+    got = toxicity.score(docs.withColumn("__toxicity", F.lit(1)), model).select("doc_id", "__toxicity.*").collect()
+    assert len(got) == 456
     by = {r["doc_id"]: r for r in got}
-    assert sum(by[i]["toxic"] == (i % 3 == 0) for i in range(300)) >= 297
-    assert by[902]["toxic"] and by[None]["toxic"] and by[900]["severity"] == by[901]["severity"] == 0
-    assert all(0 <= r["severity"] <= 2 and 0 <= r["p_toxic"] <= 1 for r in got)
+    assert sum(by[i]["grade"] == i % 3 for i in range(450)) >= 440
+    means = [sum(by[i]["severity"] for i in range(450) if i % 3 == k) / 150 for k in range(3)]
+    assert means[0] < 0.2 < 0.8 < means[1] < 1.2 < 1.8 < means[2]
+    assert by[902]["toxic"] and by[None]["toxic"] and by[900]["severity"] == by[901]["severity"] == by[903]["severity"] == 0
+    assert all(0 <= r["severity"] <= 2 and 0 <= r["p_toxic"] <= 1 and r["toxic"] == (r["grade"] > 0) for r in got)
     none = toxicity.train(docs, labelled.limit(0))
     assert toxicity.score(docs.limit(2), none).select("__toxicity.severity").first()[0] == 0.0
+    assert toxicity.train(docs, labelled.where("toxic = 0")).thresholds == () and toxicity.score(docs.limit(0), model).count() == 0
+    few = toxicity.train(docs, labelled, sample=20)
+    assert few.thresholds[0] < few.thresholds[1]
+
+
+def test_toxicity_gradients():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    link, t, y, weight = rng.normal(size=30), np.array([-1.0, 0.2, 1.5]), rng.integers(0, 4, 30), rng.random(30)
+    loss, by_link, by_t = toxicity.likelihood(link, t, y, weight)
+    p = np.diff(np.concatenate([np.zeros((30, 1)), 1 / (1 + np.exp(link[:, None] - t)), np.ones((30, 1))], axis=1), axis=1)
+    assert abs(loss + (weight * np.log(p[np.arange(30), y])).sum()) < 1e-9
+    for i in range(30):
+        own = np.eye(30)[i] * 1e-6
+        assert abs((toxicity.likelihood(link + own, t, y, weight)[0] - loss) / 1e-6 - by_link[i]) < 1e-4
+    for k in range(3):
+        assert abs((toxicity.likelihood(link, t + np.eye(3)[k] * 1e-6, y, weight)[0] - loss) / 1e-6 - by_t[k]) < 1e-4
+    assert toxicity.likelihood(link, t[::-1], y, weight)[0] == np.inf
+
+
+def test_toxicity_of_held_out_documents():
+    pd = pytest.importorskip("pandas")
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    rows = pd.read_parquet(f"{folder}/documents.parquet").merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id").dropna(subset=["text"])
+    learned, judged = rows[rows["doc_id"] % 2 == 0], rows[rows["doc_id"] % 2 == 1]
+    model = toxicity.fit([(g, Counter(toxicity.words_of(t))) for g, t in zip(learned["toxic"], learned["text"], strict=True)])
+    known = toxicity.Words(model)
+    toxic = judged["toxic"].to_numpy() == 1
+    severity, _, _, flagged = (pd.Series(x).to_numpy() for x in zip(*(model.score(t, known) for t in judged["text"]), strict=True))
+    assert (flagged & toxic).sum() >= 0.9 * toxic.sum() and (flagged & toxic).sum() >= 0.9 * flagged.sum()
+    assert severity[toxic].mean() > 0.8 and severity[~toxic].mean() < 0.05
 
 
 # --- 5
