@@ -27,8 +27,9 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -101,37 +102,38 @@ class Words(dict):
 class Sample:
     """Texts as a sparse matrix of words, and words as one of features: x = (docs by words) (words by features)."""
 
-    def __init__(self, texts: list[Counter[str]]) -> None:
+    def __init__(self, texts: Iterable[Counter[str]]) -> None:
         at: dict[str, int] = {}
-        doc, word, share = [], [], []
-        for i, counts in enumerate(texts):
-            n = sum(counts.values())
+        doc, word, share = array("i"), array("i"), array("f")
+        self.n = 0
+        for counts in texts:
+            scale = SCALE / sum(counts.values())
             for w, c in counts.items():
-                doc.append(i)
+                doc.append(self.n)
                 word.append(at.setdefault(w, len(at)))
-                share.append(SCALE * c / n)
-        self.n, self.n_words = len(texts), len(at)
-        self.doc, self.word, self.share = np.array(doc, np.int64), np.array(word, np.int64), np.array(share)
-        hashes, of = [], []
-        for w, i in at.items():
+                share.append(c * scale)
+            self.n += 1
+        self.n_words = len(at)
+        self.doc, self.word, self.share = np.frombuffer(doc, np.int32), np.frombuffer(word, np.int32), np.frombuffer(share, np.float32)
+        hashes, sizes = array("I"), array("i")
+        for w in at:
             own = features(w)
-            hashes += own
-            of += [i] * len(own)
-        names, feature = np.unique(np.array(hashes, np.int64), return_inverse=True)
-        of = np.array(of, np.int64)
+            hashes.extend(own)
+            sizes.append(len(own))
+        del at
+        names, feature = np.unique(np.frombuffer(hashes, np.uint32), return_inverse=True)
+        feature, of = feature.astype(np.int32), np.repeat(np.arange(self.n_words, dtype=np.int32), np.frombuffer(sizes, np.int32))
         # how many documents have a feature, some documents at a time
-        order = np.argsort(of, kind="stable")
-        start = np.searchsorted(of[order], np.arange(self.n_words + 1))
-        by_word, docs = feature[order], np.zeros(len(names), np.int64)
+        start, docs = np.searchsorted(of, np.arange(self.n_words + 1)), np.zeros(len(names), np.int64)
         for low in range(0, self.n, BLOCK):
             part = slice(*np.searchsorted(self.doc, (low, low + BLOCK)))
             words = self.word[part]
             size = start[words + 1] - start[words]
             offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            pairs = by_word[np.repeat(start[words], size) + offset] * BLOCK + np.repeat(self.doc[part] - low, size)
+            pairs = feature[np.repeat(start[words], size) + offset].astype(np.int64) * BLOCK + np.repeat(self.doc[part] - low, size)
             docs += np.bincount(np.unique(pairs) // BLOCK, minlength=len(names))
         keep = docs >= min(LEAST_DOCS, max(1, self.n // 20))
-        place = np.cumsum(keep) - 1
+        place = (np.cumsum(keep) - 1).astype(np.int32)
         used = keep[feature]
         self.names, self.of, self.feature = names[keep], of[used], place[feature[used]]
 
@@ -160,15 +162,22 @@ def likelihood(link: np.ndarray, t: np.ndarray, y: np.ndarray, weight: np.ndarra
     return float(-(weight * np.log(p)).sum()), by_link, by_t
 
 
-def fit(rows: list[tuple[int, Counter[str]]], stands_for: dict[bool, float] | None = None) -> Model:
-    """A model of (grade, word counts) rows; stands_for: how many rows each one of grade 0 (False) or above (True) stands for."""
-    rows = [(g, c) for g, c in rows if c]
-    grades = sorted({g for g, _ in rows})
+def fit(rows: Iterable[tuple[int, Counter[str]]], stands_for: dict[bool, float] | None = None) -> Model:
+    """A model of (grade, word counts) rows; stands_for: how many rows each one of the least grade (False) or above (True) stands for."""
+    of: list[int] = []
+
+    def texts() -> Iterator[Counter[str]]:
+        for grade, counts in rows:
+            if counts:
+                of.append(grade)
+                yield counts
+
+    x = Sample(texts())
+    grades = sorted(set(of))
     if len(grades) < 2:
         return Model()
-    x = Sample([c for _, c in rows])
-    y = np.array([grades.index(g) for g, _ in rows])
-    weight = np.array([(stands_for or {}).get(g > grades[0], 1.0) for g, _ in rows])
+    y = np.searchsorted(grades, of)
+    weight = np.array([(stands_for or {}).get(g > grades[0], 1.0) for g in of])
     weight /= weight.sum()
     above = np.array([weight[y > k].sum() for k in range(len(grades) - 1)])
     t = -np.log(above / (1 - above))
@@ -238,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pd.DataFrame({"grade": batch["__grade"].astype("int32"), "x": [_packed(t) for t in batch["text"]]})
 
     rows = sorted((int(r["grade"]), bytes(r["x"])) for r in texts.mapInPandas(counted, "grade int, x binary").collect())
-    return fit([(g, _unpacked(x)) for g, x in rows], {k: n / min(n, sample) for k, n in sizes.items()})
+    return fit(((g, _unpacked(x)) for g, x in rows), {k: n / min(n, sample) for k, n in sizes.items()})
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
