@@ -119,12 +119,12 @@ def _live(docs: DataFrame, n: int, per_cent: int) -> DataFrame:
             alone[:-1] &= new[1:]
             owner = np.where(alone, owner, SHARED)[new]
             tokens = tokens[new]
-            part, starts = packed.dealt(tokens, buckets)
+            starts = packed.bounds(tokens, buckets)
             chunk = _chunk_id(closed, keys)
             rows = []
             for b in range(buckets):
-                at = part[starts[b] : starts[b + 1]]
-                if len(at):
+                at = slice(starts[b], starts[b + 1])
+                if starts[b] < starts[b + 1]:
                     rows.append((b, chunk, len(first), tokens[at].astype(np.uint32).tobytes(), owner[at].astype(np.uint16).tobytes(), None, None, None, None))
             local = np.array([classes[c] for c in of], dtype=np.int32)
             rows.append((chunk % buckets, chunk, len(first), None, None, ids, keys, of, [int(sizes[i]) << 16 | int(i) for i in local]))
@@ -214,7 +214,6 @@ def _representatives(found: DataFrame) -> DataFrame:
 def _prefixes(docs: DataFrame, n: int, per_cent: int) -> DataFrame:
     """(cls, n, tokens, p1, p2, p3) of the docs' classes: the set, and its prefix tokens in other sets under three orders."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -223,6 +222,7 @@ def _prefixes(docs: DataFrame, n: int, per_cent: int) -> DataFrame:
 
     classes = docs.mapInPandas(sets, "cls long, n long, tokens binary").dropDuplicates(["cls"]).checkpoint()
     size = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = packed.buckets_for(6 * size, partitions(spark))
     chunks = max(1, -(-size // CHUNK_TOKENS))
     classes = classes.withColumn("chunk", packed.chunk_of(F.xxhash64("cls"), chunks))
 
@@ -237,7 +237,7 @@ def _prefixes(docs: DataFrame, n: int, per_cent: int) -> DataFrame:
             return pd.DataFrame({c: [] for c in ("cls", "n", "tokens", "p1", "p2", "p3")})
         every = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
         keys = np.unique(np.concatenate(every))
-        total = packed.answered(keys, back, buckets)
+        total = packed.answered(back, len(keys))
         second, third = packed.mixed(keys + np.uint64(2)), packed.mixed(keys + np.uint64(3))
         out = []
         for cls, s in zip(rows["cls"], every, strict=True):

@@ -1,10 +1,13 @@
 """Counting of hashed keys over all chunks of a corpus, with the keys packed into arrays.
 
-A chunk is some rows that one task handles together.  It sends, for each bucket of keys,
-one row with its distinct keys and how often it has each; a bucket's task adds up the
-counts over all chunks and answers each chunk with the totals of its keys, in their order.
-A key travels once per chunk however common it is, and as 6 bytes beside the bucket number;
-counts and totals, most of them 1, are deflated.
+A chunk is some rows that one task handles together.  It sends, for each bucket of keys that
+it has any of, one row with its distinct keys and how often it has each; a bucket's task adds
+up the counts over all chunks and answers each chunk with the totals of its keys, in their
+order.  A key travels once per chunk however common it is.
+
+Buckets are ranges of the 64-bit keys, so a chunk's sorted keys are its buckets' one after
+another.  Keys are exact: 6 bytes each, and how many there are of each value of the upper 2
+bytes.  Counts and totals, most of them 1, are deflated.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REQUESTS = "bucket int, chunk long, keys binary, counts binary"
-REPLIES = "chunk long, bucket int, totals binary, n_keys long, n_counted long"
+REQUESTS = "bucket int, chunk long, keys binary, counts binary, told binary"
+REPLIES = "chunk long, bucket int, keys binary, totals binary, n_keys long, n_counted long, told binary"
+MOST_BUCKETS = 1 << 16
+BUCKET_BYTES = 16 << 20  # of text, whose keys a bucket's task holds at once
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -28,84 +33,106 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+def buckets_for(size: int, least: int) -> int:
+    """How many buckets the keys of so many bytes of text need."""
+    return min(MOST_BUCKETS, max(1, least, -(-size // BUCKET_BYTES)))
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """The lower 48 bits of each key."""
-    return keys.astype(np.uint32).tobytes() + (keys >> np.uint64(32)).astype(np.uint16).tobytes()
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    return np.frombuffer(data, np.uint32, n).astype(np.uint64) | np.frombuffer(data, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+def bounds(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted keys."""
+    return np.searchsorted(bucket_of(sorted_keys, buckets), np.arange(buckets + 1))
 
 
-def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of distinct keys by bucket, and where each bucket begins in it."""
-    at = bucket_of(keys, buckets)
-    order = np.argsort(at, kind="stable")
-    return order, np.searchsorted(at[order], np.arange(buckets + 1))
+def pack(sorted_keys: np.ndarray) -> bytes:
+    if not len(sorted_keys):
+        return b""
+    top, n = np.unique((sorted_keys >> np.uint64(48)).astype(np.uint16), return_counts=True)
+    head = zlib.compress(top.tobytes() + n.astype(np.uint32).tobytes(), 1)
+    low = sorted_keys.astype(np.uint32).tobytes() + (sorted_keys >> np.uint64(32)).astype(np.uint16).tobytes()
+    return len(head).to_bytes(4, "little") + head + low
 
 
-def _deflated(numbers: np.ndarray) -> bytes:
+def unpack(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    body = 4 + int.from_bytes(data[:4], "little")
+    head = zlib.decompress(data[4:body])
+    top, counts = np.frombuffer(head, np.uint16, len(head) // 6), np.frombuffer(head, np.uint32, len(head) // 6, len(head) // 3)
+    n = (len(data) - body) // 6
+    out = np.frombuffer(data, np.uint32, n, body).astype(np.uint64)
+    out |= np.frombuffer(data[body + 4 * n :], np.uint16, n).astype(np.uint64) << np.uint64(32)
+    return out | np.repeat(top.astype(np.uint64) << np.uint64(48), counts)
+
+
+def deflated(numbers: np.ndarray) -> bytes:
     small = not len(numbers) or int(numbers.max()) < 1 << 32
     return (b"4" if small else b"8") + zlib.compress(numbers.astype(np.uint32 if small else np.uint64).tobytes(), 1)
 
 
-def _inflated(data: bytes) -> np.ndarray:
+def inflated(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data[1:]), np.uint32 if data[:1] == b"4" else np.uint64).astype(np.int64)
 
 
-def requests(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
-    """One row for each bucket, also for those of which the chunk has no key."""
-    order, starts = dealt(keys, buckets)
-    rows = []
-    for b in range(buckets):
-        part = order[starts[b] : starts[b + 1]]
-        rows.append((b, chunk, pack(keys[part]), _deflated(counts[part])))
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "counts"])
+def requests(chunk: int, sorted_keys: np.ndarray, counts: np.ndarray, buckets: int, told: bytes | None = None) -> pd.DataFrame:
+    """One row for each bucket of which the chunk has a key; told is handed through to the chunk's replies."""
+    starts = bounds(sorted_keys, buckets)
+    rows = [(b, chunk, pack(sorted_keys[i:j]), deflated(counts[i:j]), None) for b, (i, j) in enumerate(zip(starts, starts[1:])) if i < j]
+    if told is not None:
+        rows.append((chunk % buckets, chunk, None, None, told))
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "counts", "told"])
+
 
+def totals(sent: DataFrame, keep: str | None = None) -> DataFrame:
+    """Replies to requests: totals of the chunk's keys of a bucket.
 
-def totals(sent: DataFrame) -> DataFrame:
-    """Replies to requests; n_keys and n_counted are the bucket's distinct even keys and the sum of their counts."""
+    keep='even': with the even ones among the keys, and for each bucket a row of the chunk
+    -1 - bucket with its number of distinct even keys counted and the sum of their counts.
+    """
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(x) for x in rows["keys"]]
-        ends = np.cumsum([len(x) for x in parts])
-        keys = np.concatenate(parts)
-        counts = np.concatenate([_inflated(x) for x in rows["counts"]])
-        order = np.argsort(keys)
-        sorted_ = keys[order]
-        first = np.ones(len(keys), dtype=bool)
-        first[1:] = sorted_[1:] != sorted_[:-1]
-        starts = np.flatnonzero(first)
-        sums = np.add.reduceat(counts[order], starts) if len(keys) else counts
-        out = np.empty(len(keys), dtype=np.int64)
-        out[order] = np.repeat(sums, np.diff(np.append(starts, len(keys))))
-        even = (sorted_[starts] & np.uint64(1)) == 0
-        return pd.DataFrame(
-            {
-                "chunk": rows["chunk"], "bucket": rows["bucket"],
-                "totals": [_deflated(out[e - len(x) : e]) for x, e in zip(parts, ends, strict=True)],
-                "n_keys": int((sums[even] > 0).sum()), "n_counted": int(sums[even].sum()),
-            }
-        )
+        asked = rows[rows["keys"].notna()]
+        told = rows.loc[rows["keys"].isna(), ["chunk", "bucket", "told"]]
+        parts = [unpack(x) for x in asked["keys"]]
+        out = [told]
+        if parts:
+            ends = np.cumsum([len(x) for x in parts])
+            keys = np.concatenate(parts)
+            counts = np.concatenate([inflated(x) for x in asked["counts"]])
+            order = np.argsort(keys, kind="stable")
+            by = keys[order]
+            first = np.ones(len(by), dtype=bool)
+            first[1:] = by[1:] != by[:-1]
+            starts = np.flatnonzero(first)
+            sums = np.add.reduceat(counts[order], starts)
+            total = np.empty(len(by), dtype=np.int64)
+            total[order] = np.repeat(sums, np.diff(np.append(starts, len(by))))
+            own = {"chunk": asked["chunk"], "bucket": asked["bucket"], "totals": [deflated(total[e - len(x) : e]) for x, e in zip(parts, ends, strict=True)]}
+            if keep == "even":
+                own["keys"] = [pack(x[(x & np.uint64(1)) == 0]) for x in parts]
+                even = (by[starts] & np.uint64(1)) == 0
+                bucket = int(asked["bucket"].iloc[0])
+                out.append(pd.DataFrame({"chunk": [-1 - bucket], "bucket": [bucket], "n_keys": [int((sums[even] > 0).sum())], "n_counted": [int(sums[even].sum())]}))
+            out.append(pd.DataFrame(own))
+        both = pd.concat(out, ignore_index=True)
+        for name in ("keys", "totals", "n_keys", "n_counted", "told"):
+            if name not in both:
+                both[name] = None
+        return both[["chunk", "bucket", "keys", "totals", "n_keys", "n_counted", "told"]].astype({"n_keys": "Int64", "n_counted": "Int64"})
 
     return sent.groupBy("bucket").applyInPandas(add, REPLIES)
 
 
-def answered(keys: np.ndarray, replies: pd.DataFrame, buckets: int) -> np.ndarray:
-    """The totals of distinct keys from the replies to the chunk that asked for exactly these."""
-    order, starts = dealt(keys, buckets)
-    out = np.zeros(len(keys), dtype=np.int64)
-    for b, data in zip(replies["bucket"], replies["totals"], strict=True):
-        part = order[starts[b] : starts[b + 1]]
-        found = _inflated(data)
-        if len(found) != len(part):
-            raise ValueError("a reply doesn't fit its request")
-        out[part] = found
+def answered(replies: pd.DataFrame, n: int) -> np.ndarray:
+    """The totals of a chunk's n sorted keys from the replies to it."""
+    replies = replies[replies["totals"].notna()].sort_values("bucket")
+    parts = [inflated(x) for x in replies["totals"]]
+    out = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    if len(out) != n:
+        raise ValueError("replies don't fit their requests")
     return out
 
 

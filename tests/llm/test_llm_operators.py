@@ -323,37 +323,87 @@ def test_encoding_queries(spark, model_path):
 # --- 7
 
 
-def test_lm_scores(spark, corpus):
-    rows = [(i, t) for i, t, _ in corpus]
+def _lm_tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)) + [None]
+
+
+def _lm_held(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
+
+
+def _lm_brute(rows, weights):
+    """base_score, score and seen_score of each row by plain counting."""
+    c, pairs, n = Counter(), Counter(), 0
+    for i, t in rows:
+        if not _lm_held(i):
+            words = _lm_tokens(t)
+            c.update(words)
+            pairs.update(zip(["^", *words], words))
+            n += len(words)
+    c["^"], size = c[None], len(c)
+
+    def mix(v, w, gone):
+        cv, cw, cvw = c[v] - gone, c[w] - gone, pairs[v, w] - gone
+        parts = (1 / (size + 1), cw / max(1, n - gone), cvw / cv if cv > 0 else 0.0)
+        return math.log10(sum(x * p for x, p in zip(weights[min(39, int(math.log2(cv + 1)))], parts)))
+
+    out = []
+    for i, t in rows:
+        words = _lm_tokens(t)
+        gone = 0 if _lm_held(i) else 1
+        out.append(
+            (
+                str(i), _lm_held(i), len(words), sum(c[w] > 0 for w in words), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (size + 1))) for w in words), 6),
+                round(sum(mix(v, w, gone) for v, w in zip(["^", *words], words)), 6), round(sum(mix(v, w, 0) for v, w in zip(["^", *words], words)), 6),
+            )
+        )
+    return Counter(out)
+
+
+@pytest.mark.parametrize("tokens", [600_000, 50])
+def test_lm_scores_equal_plain_counting(spark, corpus, monkeypatch, tokens):
+    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", tokens)
+    monkeypatch.setattr(lm_score.packed, "BUCKET_BYTES", tokens * 10)
+    rows = [(i, t) for i, t, _ in corpus] + [(500, "The the THE \x0b the\u2003x"), (501, "long " * 30_000)]
     docs = docs_of(spark, [(i, t, None) for i, t in rows])
-    got = lm_score.score(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1).collect()
-    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
-    n, v = sum(c.values()), len(c)
-    want = Counter(
-        (i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)), 6)) for i, t in rows
-    )
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
+    counted = lm_score.Counted(docs, held)
+    weights = counted.weights()
+    got = counted.scores(weights).collect()
+    assert Counter((str(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6), round(r[7], 6)) for r in got) == _lm_brute(rows, weights)
     assert lm_score.score(docs.limit(0), F.lit(False)).count() == 0
+    nothing = lm_score.score(docs.where("doc_id < 3"), F.lit(True)).collect()
+    assert len(nothing) == 4 and all(r["score"] == 0 and r["train_tokens"] == 0 for r in nothing)
 
 
 def test_lm_weights_come_from_all_training_tokens(spark, corpus, monkeypatch):
     docs = docs_of(spark, [(i, t, None) for i, t, _ in corpus])
     scores = lambda: sorted(((r["doc_id"], r["score"]) for r in lm_score.score(docs, F.col("doc_id") % 5 == 1).collect()), key=str)
     whole = scores()
-    monkeypatch.setattr(lm_score, "CHUNK_DOCS", 4)
+    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", 40)
     parts = scores()
     assert [i for i, _ in parts] == [i for i, _ in whole] and [x for _, x in parts] == pytest.approx([x for _, x in whole], abs=1e-6)
 
 
-def test_lm_weights_are_a_mixture():
+def test_lm_weights_are_the_likeliest_mixture():
     import numpy as np
-    import pandas as pd
 
-    weights = lm_score.learn(pd.DataFrame({"bucket": [5, 5, 0], "r1": [4, 8, 4], "r2": [40, lm_score.NEVER, lm_score.NEVER], "n": [90, 10, 5]}))
-    assert np.allclose(weights.sum(axis=1), 1) and weights[5, 2] > 0.7 and weights[0, 2] == 0
+    rng = np.random.default_rng(3)
+    estimate, context = np.stack([np.full(400, 1e-4), rng.random(400) * 1e-2, rng.random(400) * (rng.random(400) < 0.5)]), np.full(400, 5)
+    cell, n = np.unique(lm_score.cells(estimate, context), return_counts=True)
+    weights = lm_score.learn(cell, n)
+    assert np.allclose(weights.sum(axis=1), 1) and weights[0, 2] == 0
+    likely = lambda w: np.log((w[:, None] * estimate).sum(0)).sum()
+    best = max((likely(np.array([a, b, 1 - a - b])), a, b) for a in np.linspace(0.01, 0.98, 98) for b in np.linspace(0.01, 0.98, 98) if a + b < 0.995)
+    assert likely(weights[5]) > best[0] - 1.0  # the cells are rounded
+
+
+def test_lm_tells_repeated_texts_apart(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 60)) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_score.score(docs_of(spark, [(i, t, None) for i, t in rows]), F.lit(False)).collect()}
+    assert min(got[1000 + i] for i in range(20)) > max(got[i] for i in range(20, 200))
 
 
 # --- 8
@@ -532,8 +582,23 @@ def test_packed_totals(spark):
         counts = rng.integers(0, 1 << 33, len(own))
         chunks[chunk] = own
         want.update(dict(zip(own.tolist(), counts.tolist(), strict=True)))
-        sent.append(packed.requests(chunk, own, counts, 3))
-    replies = packed.totals(spark.createDataFrame(pd.concat(sent), packed.REQUESTS)).toPandas()
+        sent.append(packed.requests(chunk, own, counts, 300, b"told" if chunk else None))
+    replies = packed.totals(spark.createDataFrame(pd.concat(sent), packed.REQUESTS), keep="even").toPandas()
     for chunk, own in chunks.items():
-        got = packed.answered(own, replies[replies["chunk"] == chunk], 3)
-        assert got.tolist() == [want[k] for k in own.tolist()]
+        back = replies[replies["chunk"] == chunk]
+        assert packed.answered(back, len(own)).tolist() == [want[k] for k in own.tolist()]
+        even = np.concatenate([packed.unpack(x) for x in back[back["keys"].notna()].sort_values("bucket")["keys"]])
+        assert even.tolist() == [k for k in own.tolist() if k % 2 == 0] and back["told"].notna().sum() == (chunk > 0)
+    figures = replies[replies["chunk"] < 0]
+    assert figures["n_keys"].sum() == sum(k % 2 == 0 and n > 0 for k, n in want.items()) and figures["n_counted"].sum() == sum(n for k, n in want.items() if k % 2 == 0)
+
+
+def test_packed_keys_are_whole():
+    import numpy as np
+
+    for n in (0, 1, 1000):
+        keys = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (packed.unpack(packed.pack(keys)) == keys).all()
+        at = packed.bounds(keys, 7)
+        assert at[0] == 0 and at[-1] == len(keys) and all((packed.bucket_of(keys[i:j], 7) == b).all() for b, (i, j) in enumerate(zip(at, at[1:])))
+    assert packed.buckets_for(0, 8) == 8 and packed.buckets_for(1 << 60, 8) == packed.MOST_BUCKETS
