@@ -10,12 +10,14 @@ largest remaining count is predicted.
 Training takes a bounded sample of the labelled rows (SAMPLE rows a language, chosen by a
 hash of the text); n-grams enter a language's filter if they are seen in it at least
 LEAST times and at least SHARE as often, relatively, as in the language where they are
-most usual.  The filter's size is fixed by SLOTS, so it can be broadcast.
+most usual; all that do enter.  The filter has SLOTS slots, or GRAM_SLOTS for each n-gram of
+the fullest language if that is more: the sample bounds both, so it can be broadcast.
 
 Cases: a null text, or one without a letter, is `und` with score 0; rows without a
 language aren't learned from; with no training row at all every text is `und`.  One
 output row for each input row, repeated rows included; ties between languages go to the
-first in alphabetical order.  Other columns are not read.
+first in alphabetical order.  Other columns are not read but kept; one of the name __lang is
+replaced.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 SAMPLE = 1_000
 GRAMS = (2, 3, 4)
 SLOTS = 1 << 20
+GRAM_SLOTS = 8
 HASHES = 2
 LEAST = 4
 SHARE = 0.5
-KEPT_GRAMS = 60_000  # a language, the most frequent first
 BATCH_CHARS = 400_000
 
 UNKNOWN = "und"
@@ -88,33 +90,33 @@ def gram_hashes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield _mixed(h[good]), owner[:size][good]
 
 
-def _slots(h: np.ndarray) -> list[np.ndarray]:
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        return [((h + np.uint64(k) * step) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)]
-
-
 class Filter:
     """Bit-sliced Bloom filters of several languages."""
 
-    def __init__(self, languages: list[str]) -> None:
+    def __init__(self, languages: list[str], most_grams: int = 0) -> None:
         self.languages = languages
-        self.slices = np.zeros((max(1, -(-len(languages) // 8)), SLOTS), dtype=np.uint8)
+        self.size = max(SLOTS, 1 << (GRAM_SLOTS * most_grams - 1).bit_length() if most_grams else 0)
+        self.slices = np.zeros((max(1, -(-len(languages) // 8)), self.size), dtype=np.uint8)
         self.false = np.zeros(len(languages))
 
+    def slots(self, h: np.ndarray) -> list[np.ndarray]:
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        with np.errstate(over="ignore"):
+            return [((h + np.uint64(k) * step) & np.uint64(self.size - 1)).astype(np.int64) for k in range(HASHES)]
+
     def add(self, language: int, hashes: np.ndarray) -> None:
-        for at in _slots(hashes):
+        for at in self.slots(hashes):
             self.slices[language // 8][at] |= np.uint8(1 << language % 8)
 
     def close(self) -> None:
         """Works out each language's false-positive rate from how full its filter is."""
         for i in range(len(self.languages)):
-            full = np.count_nonzero(self.slices[i // 8] & np.uint8(1 << i % 8)) / SLOTS
+            full = np.count_nonzero(self.slices[i // 8] & np.uint8(1 << i % 8)) / self.size
             self.false[i] = full**HASHES
 
     def masks(self, hashes: np.ndarray) -> list[np.ndarray]:
         """For each slice, the bitmask of the languages that contain each n-gram."""
-        at = _slots(hashes)
+        at = self.slots(hashes)
         out = []
         for part in self.slices:
             mask = part[at[0]]
@@ -155,9 +157,8 @@ def train(labelled: DataFrame) -> Filter:
     rows = rows.withColumn("h", F.xxhash64("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    made = Filter(languages)
     if not languages:
-        return made
+        return Filter(languages)
     # a hash threshold thins the rows before the exact cut, so no task sees all rows of a language
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, 1.3 * SAMPLE / sizes[k] + 40 / sizes[k])))])
     thin = rows.where(F.pmod("h", F.lit(1_000_003)) < F.lit(1_000_003) * share[F.col("lang")])
@@ -178,10 +179,9 @@ def train(labelled: DataFrame) -> Filter:
         grams.withColumn("rate", F.col("n") / F.sum("n").over(total))
         .withColumn("most", F.max("rate").over(best))
         .where((F.col("n") >= LEAST) & (F.col("rate") >= SHARE * F.col("most")))
-        .withColumn("r", F.row_number().over(total.orderBy(F.desc("n"), "h")))
-        .where(F.col("r") <= KEPT_GRAMS)
     )
     kept = grams.select("lang", "h").toPandas()
+    made = Filter(languages, int(kept["lang"].value_counts().max()) if len(kept) else 0)
     for lang, group in kept.groupby("lang"):
         made.add(languages.index(lang), group["h"].to_numpy(np.int64).view(np.uint64))
     made.close()
