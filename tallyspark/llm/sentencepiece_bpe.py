@@ -7,7 +7,10 @@ it and its left neighbour re-merge to themselves, falls back to the next shorter
 and marks positions from which no continuation exists in a bitfield.
 
 Texts are first cut where no vocabulary piece can span; pieces of text that recur are
-encoded once per Python worker and kept in a bounded cache.
+encoded, and their ids decoded, once per Python worker and kept in a bounded cache.
+
+Only BPE models with byte fallback, identity normalisation and a leading space are read;
+others are refused.
 
 Cases: a null text counts as empty; an empty text has no ids and decodes to ''; characters
 outside the vocabulary become byte pieces.  Each input row gives one output row, so ties
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MAX_MODEL_BYTES = 64 << 20
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 250_000
 LONGEST_CACHED = 64
 SHORT = 48
 NEVER = float("-inf")
@@ -121,8 +124,10 @@ class Model:
         self.fast = not inner and alone
         self.fits_memo: dict[int, bool] = {}
         self.written = [str(i) for i in range(len(self.pieces))]
+        #: What a piece is decoded to; a byte's meaning depends on its neighbours.
+        shown = {NORMAL: lambda p: p.replace(SPACE, " "), UNKNOWN: lambda p: " ⁇ ", CONTROL: lambda p: "", BYTE: lambda p: None}
+        self.shown = [shown[k](p) for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.after_space, self.bare = Encoded(self, SPACE), Encoded(self, "")
-        self.odd = 0  # chunks met so far that decoding does not give back
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE: the best adjacent merge first, the leftmost of equals."""
@@ -222,15 +227,15 @@ class Model:
 
     def raw(self, ids: list[int]) -> str:
         """The text of ids with its leading space still there."""
+        shown = [self.shown[i] for i in ids]
+        if None not in shown:
+            return "".join(shown)
         out = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == BYTE:
+        for i, text in zip(ids, shown, strict=True):
+            if text is None:
                 out.append(int(self.pieces[i][1:-1], 16))
-            elif kind == UNKNOWN:
-                out += " ⁇ ".encode()
-            elif kind == NORMAL:
-                out += self.pieces[i].replace(SPACE, " ").encode("utf-8", "surrogatepass")
+            else:
+                out += text.encode("utf-8", "surrogatepass")
         return out.decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
@@ -252,36 +257,26 @@ class Model:
                     found += map(self.after_space.__getitem__, words)
         else:
             found = [self.bare[c] for c in self.chunks(text)]
-        joined = ",".join(found)
-        if self.odd:
-            decoded = self.decode([int(x) for x in joined.split(",")])
-        else:  # each chunk has been decoded from its ids and compared
-            decoded = text.replace(SPACE, " ")
+        # no byte run or piece reaches beyond a chunk, so the parts' decoded texts make up that of all ids
+        joined, decoded = ",".join([ids for ids, _ in found]), "".join([raw for _, raw in found]).removeprefix(" ")
         for kept in (self.after_space, self.bare):
             kept.age()
         return joined, decoded
 
 
 class Encoded(dict):
-    """Chunk (without its prefix) to its ids in decimal, joined by commas; old chunks are let go."""
+    """Chunk (without its prefix) to its ids in decimal, joined by commas, and the text that these ids decode to; old chunks are let go."""
 
     def __init__(self, model: Model, prefix: str) -> None:
         self.model, self.prefix = model, prefix
-        self.old: dict[str, str] = {}
+        self.old: dict[str, tuple[str, str]] = {}
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str) -> tuple[str, str]:
         out = self.old.get(word)
         if out is None:
-            model, chunk = self.model, self.prefix + word
-            tokens = model.tokens(chunk)
-            if max(tokens) < OUTSIDE:
-                out = ",".join([model.written[t] for t in tokens])
-                back = "".join([model.pieces[t] for t in tokens]).replace(SPACE, " ")
-            else:
-                ids = [i for t in tokens for i in model.token_ids(t)]
-                out, back = ",".join(map(str, ids)), model.raw(ids)
-            if back != chunk.replace(SPACE, " "):
-                model.odd += 1
+            model = self.model
+            ids = [i for t in model.tokens(self.prefix + word) for i in ((t,) if t < OUTSIDE else model.token_ids(t))]
+            out = ",".join([model.written[i] for i in ids]), model.raw(ids)
         if len(word) <= LONGEST_CACHED:
             self[word] = out
         return out

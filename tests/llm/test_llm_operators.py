@@ -288,6 +288,23 @@ def test_filter_returns_all_languages_of_a_gram():
     assert (first == 0b1001).all() and (second == 0b100).all()
 
 
+def test_filter_grows_with_its_grams():
+    assert language_id.Filter(["a"]).size == language_id.SLOTS
+    assert language_id.Filter(["a"], language_id.SLOTS).size == language_id.SLOTS * language_id.GRAM_SLOTS
+
+
+def test_languages_of_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = language_id.train(docs.where(~held))
+    judged = language_id.predict(docs.where(held & F.col("lang").isNotNull()), model).where(F.col("__lang.lang_pred") != language_id.UNKNOWN)
+    right, n = judged.agg(F.count_if(F.col("__lang.lang_pred") == F.col("lang")), F.count("*")).first()
+    assert n > 2000 and right >= 0.99 * n
+
+
 # --- 6
 
 
