@@ -493,13 +493,13 @@ def test_line_dedup_of_full_leaves(spark, monkeypatch, held):
 # --- 9
 
 
-def test_fingerprints(spark):
-    rng = random.Random(8)
-    rows = [(i, prose(rng, rng.randint(0, 40)) + rng.choice(["", ".\n", "\n\n"]) + prose(rng, 5)) for i in range(40)] + [(50, ""), (51, None), (52, "x")]
-    docs = docs_of(spark, [(i, t, None) for i, t in rows])
-    for tasks in (1, 5):
+def test_fingerprints(spark, corpus):
+    rows = [(i, t) for i, t, _ in corpus if i is not None]
+    rows = list({i: t for i, t in rows}.items()) + [(None, "last of all, with no id"), (-5, "x")]
+    docs = docs_of(spark, [(i, t, None) for i, t in rows]).withColumn("fingerprint", F.lit("clash"))
+    for tasks in (1, 3, 40):
         got = {r["doc_id"]: r for r in merkle.with_edits(docs, tasks).collect()}
-        down = sorted(rows, reverse=True, key=lambda r: r[0])
+        down = sorted(rows, reverse=True, key=lambda r: (r[0] is not None, r[0] or 0))
         assert len(got) == len(rows)
         for k, (i, t) in enumerate(down):
             t, after = t or "", down[(k + 1) % len(down)][1] or ""
@@ -507,23 +507,53 @@ def test_fingerprints(spark):
             r = got[i]
             assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
             assert r["fingerprint"] == merkle.fingerprint(t) and r["edited_fingerprint"] == merkle.fingerprint(new)
-            assert r["near_next"] == merkle.likeness(merkle.Tree(t), merkle.Tree(after)) and 0 <= r["near_edited"] <= 1
+            # the likeness can be had from the fingerprints returned
+            assert r["near_next"] == merkle.likeness(r["fingerprint"], merkle.fingerprint(after)) and r["near_edited"] == merkle.likeness(r["fingerprint"], r["edited_fingerprint"])
+            assert r["first_difference"] == merkle.first_difference(t and merkle.fingerprint(t) or merkle.fingerprint(""), merkle.fingerprint(new))
     assert merkle.with_edits(docs.limit(0), 3).count() == 0
     ties = docs_of(spark, [(1, "b", None), (1, "a", None), (1, "b", None), (None, "z", None)])
     assert merkle.with_edits(ties, 3).count() == 4
     alone = merkle.with_edits(docs_of(spark, [(None, "abc", None)]), 3).collect()
     assert alone[0]["near_next"] == 1.0
+    assert [r["fingerprint"] for r in merkle.fingerprints(docs.where("doc_id = -5")).collect()] == [merkle.fingerprint("x")]
+
+
+def test_fingerprint_ranges_split_a_frequent_id(spark):
+    rows = [(7, f"text {k}", None) for k in range(400)] + [(None, f"none {k}", None) for k in range(300)] + [(k, "a", None) for k in range(100)]
+    docs = docs_of(spark, rows).select("doc_id", "text")
+    ranges = merkle.Ranges(docs, 16)
+    dealt = docs.withColumn("h", F.xxhash64("text")).withColumn("r", ranges.of())
+    sizes = [r["count"] for r in dealt.groupBy("r").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) <= 120
+    down = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["r"]) for r in dealt.collect()))
+    assert [x[3] for x in down] == sorted(x[3] for x in down)  # ranges follow the order
+    assert merkle.with_edits(docs, 16).count() == 800
 
 
 def test_tree_locates_edits():
-    a = merkle.Tree("one. two.\nthree.\n\nfour.\nfive.")
-    b = merkle.Tree("one. two.\nthree.\n\nfour!\nfive.")
-    assert merkle.differing(a, b) == [(1, 0)] and a.root != b.root and merkle.differing(a, a) == []
-    assert 0.5 < merkle.likeness(a, b) < 1 and merkle.likeness(a, a) == 1.0
-    rng = random.Random(1)
-    for _ in range(200):
-        line = "".join(rng.choice("ab .!?\t") for _ in range(rng.randint(0, 400)))
-        assert "".join(merkle.pieces(line)) == line
+    a, b = "one. two.\nthree.\n\nfour.\nfive.", "one. two.\nthree.\n\nfour!\nfive."
+    x, y = merkle.fingerprint(a), merkle.fingerprint(b)
+    assert x != y and merkle.differing(x, y) == [(1, 0)] and merkle.differing(x, x) == [] and a[merkle.first_difference(x, y) :].startswith("r.")
+    assert 0.8 < merkle.likeness(x, y) < 1 and merkle.likeness(x, x) == 1.0 and merkle.first_difference(x, x) is None
+    empty = merkle.fingerprint("")
+    assert merkle.likeness(x, empty) == 0.0 and merkle.likeness(empty, merkle.fingerprint(None)) == 1.0 and merkle.first_difference(empty, x) is None
+    assert merkle.differing(empty, x) == [] and merkle.differing(x, empty) == [(0, 0)] and merkle.first_difference(x, empty) == 0
+
+
+def test_likeness_is_that_of_what_stays():
+    rng = random.Random(3)
+    for _ in range(300):
+        words, n = prose(rng, rng.choice((3, 20, 200, 1500))).split(), rng.choice((1, 7, 40))
+        text = "".join(w + (rng.choice(("\n", "\n\n", "\n \n")) if k % n == n - 1 else " ") for k, w in enumerate(words))
+        tree, same = merkle.Tree(text), merkle.Tree.loads(merkle.fingerprint(text))
+        assert (tree.root, tree.length) == (same.root, same.length) == (same.root, len(text)) and all((p == q).all() for p, q in zip(tree.hashes, same.hashes, strict=True))
+        cut = len(text) * 2 // 3
+        other = merkle.fingerprint(text[:cut] + "".join(rng.choice("0123456789 ") for _ in range(len(text) - cut)))
+        assert 2 / 3 - 260 / len(text) <= merkle.likeness(merkle.fingerprint(text), other) <= 2 / 3 + 20 / len(text)
+        assert merkle.likeness(other, merkle.fingerprint(text)) == merkle.likeness(merkle.fingerprint(text), other)
+        assert merkle.first_difference(merkle.fingerprint(text), other) <= cut + 30
+    assert merkle.likeness(merkle.fingerprint("For " * 8000), merkle.fingerprint("For " * 6000 + "so " * 2000)) > 0.7
+    assert len({merkle.fingerprint(t) for t in ("a b", "b a", "a  b", "a b ", "a\nb", "a\n\nb", "", " ", "\n")}) == 9
 
 
 # --- 10
@@ -569,7 +599,7 @@ def test_very_long_and_deep_texts():
     deep = "<div>" * 3000 + "deep, text" + "</div>" * 3000
     assert html_extract.extract(deep) == "deep, text"
     long = "word " * 200_000
-    assert merkle.likeness(merkle.Tree(long), merkle.Tree(long)) == 1.0
+    assert merkle.likeness(merkle.fingerprint(long), merkle.fingerprint(long[5:])) > 0.99
     assert len(jaccard_join.shingles(long, 4)) == 1
     assert len(html_extract.extract(f"<article><p>{long}</article>")) == len(long) - 1
 
