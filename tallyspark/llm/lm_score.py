@@ -14,10 +14,10 @@ the counts, so that training and held-out texts can be compared; `seen_score` le
 A text that the corpus holds twice keeps its other copy's counts and is told apart by that.
 
 All counts are exact (but for collisions of 63-bit hashes) and over all training texts.  A
-task cuts its texts into chunks of some CHUNK_TOKENS tokens and asks for the totals of each
+task cuts its texts into chunks of some CHUNK_BYTES bytes and asks for the totals of each
 chunk's distinct words and word pairs (see `packed`), so no task or broadcast holds the
 corpus's vocabulary.  Texts are read and cut into words once; what travels with a chunk is
-its tokens as numbers of its distinct words.
+its tokens as numbers of its distinct words, the most frequent first.
 
 Cases: a null text counts as empty; every text ends with an end token, so an empty one has
 one token.  A null doc_id is in no held-out fold.  With no training text the model is
@@ -42,7 +42,7 @@ from tallyspark.llm import packed
 from tallyspark.llm.common import checkpoints, partitions
 from tallyspark.llm.jaccard_join import Words
 
-CHUNK_TOKENS = 600_000
+CHUNK_BYTES = 9_000_000
 BUCKETS = 40
 STEPS = 80
 STEP_SIZE = 4  # cells for each doubling of a ratio of estimates
@@ -59,7 +59,7 @@ _WORDS = Words()
 
 
 class Chunk:
-    """Some texts as a stream of numbers of their distinct words."""
+    """Some texts as a stream of numbers of their distinct words, which are in order of their count, then of their key."""
 
     def __init__(self, ids: list, held: np.ndarray, sizes: np.ndarray, stream: np.ndarray, n_words: int) -> None:
         self.ids, self.held, self.sizes, self.stream, self.n_words = ids, held, sizes, stream, n_words
@@ -67,22 +67,29 @@ class Chunk:
         self.before = np.empty_like(stream)
         self.before[1:] = stream[:-1]
         self.before[starts] = n_words  # no word: the start of a text
-        self.codes, self.pair = np.unique(self.before * (n_words + 1) + stream, return_inverse=True)
+        self.codes, pair = np.unique(self.before.astype(np.int64) * (n_words + 1) + stream, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.own = np.repeat(~held, sizes)  # tokens to learn from
 
     @classmethod
     def of(cls, ids: list, held: list[bool], texts: list[bytes]) -> tuple[Chunk, np.ndarray]:
-        """The chunk of texts already lower-cased, and its sorted word keys."""
-        parts, sizes = [], []
+        """The chunk of texts already lower-cased, and the keys of its words."""
+        tokens, sizes, at = np.empty(sum(len(t) // 2 + 2 for t in texts), np.uint64), [], 0
         for text in texts:
             words = text.split()
-            parts += [np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)), np.zeros(1, np.uint64)]
+            tokens[at : at + len(words)] = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+            at += len(words) + 1
             sizes.append(len(words) + 1)
         size = np.array(sizes)
-        tokens = packed.mixed(np.concatenate(parts)) & _EVEN
+        tokens = packed.mixed(tokens[:at]) & _EVEN
         tokens[np.cumsum(size) - 1] = _END
         words, stream = np.unique(tokens, return_inverse=True)
-        return cls(ids, np.array(held, dtype=bool), size, stream.astype(np.int64), len(words)), words
+        del tokens
+        gone = np.array(held, dtype=bool)
+        order = by_count(np.bincount(stream[np.repeat(~gone, size)], minlength=len(words)))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        return cls(ids, gone, size, rank[stream], len(words)), words[order]
 
     def pair_keys(self, words: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -94,13 +101,19 @@ class Chunk:
         return np.bincount(self.stream[self.own], minlength=self.n_words), np.bincount(self.pair[self.own], minlength=len(self.codes))
 
     def dumps(self) -> bytes:
-        small = np.uint16 if self.n_words <= 1 << 16 else np.uint32
-        return zlib.compress(pickle.dumps((self.ids, self.held, self.sizes, self.stream.astype(small), self.n_words), 5), 1)
+        planes = self.stream.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()  # upper bytes apart: nearly all are 0
+        return zlib.compress(pickle.dumps((self.ids, self.held, self.sizes.astype(np.int32), planes, self.n_words), 5), 1)
 
     @classmethod
     def loads(cls, data: bytes) -> Chunk:
-        ids, held, sizes, stream, n_words = pickle.loads(zlib.decompress(data))
-        return cls(ids, held, sizes, stream.astype(np.int64), n_words)
+        ids, held, sizes, planes, n_words = pickle.loads(zlib.decompress(data))
+        stream = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+        return cls(ids, held, sizes.astype(np.int64), stream.astype(np.int32), n_words)
+
+
+def by_count(counts: np.ndarray) -> np.ndarray:
+    """The order of words, given in the order of their keys, from the most frequent on."""
+    return np.argsort(-counts, kind="stable")
 
 
 def requests(number: int, chunk: Chunk, words: np.ndarray, buckets: int) -> pd.DataFrame:
@@ -120,10 +133,11 @@ def gathered(rows: pd.DataFrame) -> pd.DataFrame:
     words = np.concatenate([packed.unpack(x) for x in replies["keys"]])
     if len(words) != chunk.n_words:
         raise ValueError("replies don't fit their requests")
+    words = words[by_count(np.concatenate([packed.inflated(x) for x in replies["counts"]]))]
     order = np.argsort(np.concatenate([words, chunk.pair_keys(words)]))
     total = np.empty(len(order), dtype=np.int64)
     total[order] = packed.answered(replies, len(order))
-    end = int(np.searchsorted(words, _END[0]))
+    end = int(np.flatnonzero(words == _END)[0])
     seen = np.append(total[: len(words)], total[end])  # a start is as frequent as an end
     return pd.DataFrame({"chunk": [number], "told": [told], "words": [packed.deflated(seen)], "pairs": [packed.deflated(total[len(words) :])], "n_keys": [None], "n_counted": [None]})
 
@@ -194,7 +208,7 @@ class Counted:
             for batch in batches:
                 for doc_id, text, out in zip(batch["doc_id"], batch["text"], batch["held"], strict=True):
                     text = text.encode("utf-8", "surrogatepass").lower() if text else b""
-                    if size + len(text) > 6 * CHUNK_TOKENS and ids:
+                    if size + len(text) > CHUNK_BYTES and ids:
                         yield close()
                         ids, held, texts, size, closed = [], [], [], 0, closed + 1
                     ids.append(None if pd.isna(doc_id) else int(doc_id))

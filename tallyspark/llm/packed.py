@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REQUESTS = "bucket int, chunk long, keys binary, counts binary, told binary"
-REPLIES = "chunk long, bucket int, keys binary, totals binary, n_keys long, n_counted long, told binary"
+REPLIES = "chunk long, bucket int, keys binary, counts binary, totals binary, n_keys long, n_counted long, told binary"
 MOST_BUCKETS = 1 << 16
 BUCKET_BYTES = 16 << 20  # of text, whose keys a bucket's task holds at once
 
@@ -89,8 +89,9 @@ def requests(chunk: int, sorted_keys: np.ndarray, counts: np.ndarray, buckets: i
 def totals(sent: DataFrame, keep: str | None = None) -> DataFrame:
     """Replies to requests: totals of the chunk's keys of a bucket.
 
-    keep='even': with the even ones among the keys, and for each bucket a row of the chunk
-    -1 - bucket with its number of distinct even keys counted and the sum of their counts.
+    keep='even': with the even ones among the keys and the counts sent of these, and for each
+    bucket a row of the chunk -1 - bucket with its number of distinct even keys counted and the
+    sum of their counts.
     """
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -101,27 +102,29 @@ def totals(sent: DataFrame, keep: str | None = None) -> DataFrame:
         if parts:
             ends = np.cumsum([len(x) for x in parts])
             keys = np.concatenate(parts)
-            counts = np.concatenate([inflated(x) for x in asked["counts"]])
+            counts = [inflated(x) for x in asked["counts"]]
             order = np.argsort(keys, kind="stable")
             by = keys[order]
             first = np.ones(len(by), dtype=bool)
             first[1:] = by[1:] != by[:-1]
             starts = np.flatnonzero(first)
-            sums = np.add.reduceat(counts[order], starts)
+            sums = np.add.reduceat(np.concatenate(counts)[order], starts)
             total = np.empty(len(by), dtype=np.int64)
             total[order] = np.repeat(sums, np.diff(np.append(starts, len(by))))
             own = {"chunk": asked["chunk"], "bucket": asked["bucket"], "totals": [deflated(total[e - len(x) : e]) for x, e in zip(parts, ends, strict=True)]}
             if keep == "even":
-                own["keys"] = [pack(x[(x & np.uint64(1)) == 0]) for x in parts]
+                evens = [(x & np.uint64(1)) == 0 for x in parts]
+                own["keys"] = [pack(x[e]) for x, e in zip(parts, evens, strict=True)]
+                own["counts"] = [deflated(n[e]) for n, e in zip(counts, evens, strict=True)]
                 even = (by[starts] & np.uint64(1)) == 0
                 bucket = int(asked["bucket"].iloc[0])
                 out.append(pd.DataFrame({"chunk": [-1 - bucket], "bucket": [bucket], "n_keys": [int((sums[even] > 0).sum())], "n_counted": [int(sums[even].sum())]}))
             out.append(pd.DataFrame(own))
         both = pd.concat(out, ignore_index=True)
-        for name in ("keys", "totals", "n_keys", "n_counted", "told"):
+        for name in ("keys", "counts", "totals", "n_keys", "n_counted", "told"):
             if name not in both:
                 both[name] = None
-        return both[["chunk", "bucket", "keys", "totals", "n_keys", "n_counted", "told"]].astype({"n_keys": "Int64", "n_counted": "Int64"})
+        return both[["chunk", "bucket", "keys", "counts", "totals", "n_keys", "n_counted", "told"]].astype({"n_keys": "Int64", "n_counted": "Int64"})
 
     return sent.groupBy("bucket").applyInPandas(add, REPLIES)
 

@@ -377,10 +377,10 @@ def _lm_brute(rows, weights):
     return Counter(out)
 
 
-@pytest.mark.parametrize("tokens", [600_000, 50])
-def test_lm_scores_equal_plain_counting(spark, corpus, monkeypatch, tokens):
-    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", tokens)
-    monkeypatch.setattr(lm_score.packed, "BUCKET_BYTES", tokens * 10)
+@pytest.mark.parametrize("size", [9_000_000, 300])
+def test_lm_scores_equal_plain_counting(spark, corpus, monkeypatch, size):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", size)
+    monkeypatch.setattr(lm_score.packed, "BUCKET_BYTES", size)
     rows = [(i, t) for i, t, _ in corpus] + [(500, "The the THE \x0b the\u2003x"), (501, "long " * 30_000)]
     docs = docs_of(spark, [(i, t, None) for i, t in rows])
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
@@ -397,7 +397,7 @@ def test_lm_weights_come_from_all_training_tokens(spark, corpus, monkeypatch):
     docs = docs_of(spark, [(i, t, None) for i, t, _ in corpus])
     scores = lambda: sorted(((r["doc_id"], r["score"]) for r in lm_score.score(docs, F.col("doc_id") % 5 == 1).collect()), key=str)
     whole = scores()
-    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", 40)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 250)
     parts = scores()
     assert [i for i, _ in parts] == [i for i, _ in whole] and [x for _, x in parts] == pytest.approx([x for _, x in whole], abs=1e-6)
 
