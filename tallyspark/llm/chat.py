@@ -9,11 +9,12 @@ An event log has rows (conv_id, seq, kind, msg, role, text).  Kinds:
 * delete: message msg is taken out.
 
 Folding deals out events by (conv_id, msg), so one long conversation is spread over many
-tasks, and reads each message's events as a sorted stream.
+tasks, and reads each message's events as a sorted stream, the last one first: what has been
+overwritten is passed over, and a task holds the deltas of one message at a time.
 Rendering deals out messages by conversation and streams them in order: a task holds one
 message at a time and writes one rendered segment for each, so the length of a
-conversation is not bounded by memory.  Joined in order, the segments are the formatted
-conversation.
+conversation is not bounded by memory (its digests, which are of one stream, are one task's
+work).  Joined in order, the segments are the formatted conversation.
 
 The template opens each turn with <|im_start|>role, newline, ends it with <|im_end|>,
 newline.  Control strings begin with `<` or `[`; inside roles and texts these characters,
@@ -24,8 +25,8 @@ mask covers assistant texts.
 Cases: null text or role: empty.  Null conv_id: a conversation of its own.  Messages are
 ordered by msg, then seq, role and text (nulls first), so ties and repeated rows have one
 order, and each repeated row of kind message is a message, until another event acts on msg:
-then the last one is what is left of them.  Of one seq, kind message comes first.  Events of an unknown kind fail.
-An empty log gives no row.  Other columns are dropped.
+then the last one is what is left of them.  Of one seq, kind message comes first.  Events of a
+null or unknown kind change nothing.  An empty log gives no row.  Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLES = frozenset({"assistant"})
-KINDS = frozenset({"message", "delta", "edit", "regenerate", "delete"})
+KINDS = ("message", "delta", "edit", "regenerate", "delete")
 
 MESSAGES = "conv_id long, msg long, seq long, role string, text string"
 SEGMENTS = "conv_id long, part long, segment string, loss_start long, loss_end long"
@@ -77,47 +78,64 @@ def fold(events: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("msg").cast("long").alias("msg"), F.col("seq").cast("long").alias("seq"), "kind",
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    order = ["conv_id", "msg", "seq", F.expr("kind is null or kind <> 'message'"), "kind", "text", "role"]
+    events = events.where(F.col("kind").isin(*KINDS))
+    order = ["conv_id", "msg", F.desc("seq"), F.col("kind") == "message", *(F.desc(c) for c in ("kind", "text", "role"))]
     dealt = events.repartition("conv_id", "msg").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = None
-        seq, role, texts = None, "", None
-        whole, copies = False, []  # whole: nothing has acted on the message yet; copies: whole rows of it before the last
-
-        def done() -> list[tuple]:
-            return copies + ([(*key, seq, role, "".join(texts))] if key is not None and texts is not None else [])
-
         for batch in batches:
             out: list[tuple] = []
             for conv, msg, at, kind, by, text in zip(*(batch[c] for c in ("conv_id", "msg", "seq", "kind", "role", "text")), strict=True):
-                if kind not in KINDS:
-                    raise ValueError(f"unknown event kind {kind!r}")
                 now = (int(conv) if _known(conv) else None, int(msg) if _known(msg) else None)
+                at = int(at) if _known(at) else None
                 if now != key:
-                    out += done()
-                    key, seq, role, texts = now, int(at) if _known(at) else None, by, None
-                    whole, copies = False, []
-                if kind == "message":
-                    copies = done() if whole else []
-                    seq, role, texts, whole = int(at) if _known(at) else None, by, [text], True
-                    continue
-                whole, copies = False, []
-                role, fresh = by or role, texts is None
-                if kind == "delete":
-                    texts = None
-                elif kind == "delta":
-                    texts = [text] if texts is None else texts
-                    if not fresh:
-                        texts.append(text)
-                else:
-                    texts = [text] if kind == "edit" else []
+                    if key is not None:
+                        out += last.rest()
+                    key, last = now, _Last(*now)
+                out += last.add(at, kind, by, text)
             yield _messages(out)
-        yield _messages(done())
+        if key is not None:
+            yield _messages(last.rest())
 
     return dealt.mapInPandas(run, MESSAGES)
 
 
+class _Last:
+    """What is left of one message, its events coming from the last one to the first."""
+
+    def __init__(self, conv: int | None, msg: int | None) -> None:
+        self.key, self.deltas, self.base = (conv, msg), [], None
+        self.role, self.seq = "", None
+        self.acted = self.whole = self.settled = self.over = False  # settled: the text is known; over: so is all else
+
+    def add(self, seq: int | None, kind: str, role: str, text: str) -> list[tuple]:
+        if self.over:
+            return []
+        if kind == "message" and not self.acted:  # nothing acts on it later
+            self.whole = True
+            return [(*self.key, seq, role, text)]
+        if self.whole:  # overwritten by the whole messages after it
+            self.over = True
+            return []
+        self.acted, self.seq = True, seq
+        if kind == "message":
+            self.role, self.over = self.role or role, True
+        self.role = self.role or role
+        if not self.settled:
+            if kind == "delta":
+                self.deltas.append(text)
+            else:
+                self.settled = True
+                self.base = {"delete": None, "regenerate": ""}.get(kind, text)
+        return []
+
+    def rest(self) -> list[tuple]:
+        if not self.acted or self.base is None and not self.deltas:
+            return []
+        return [(*self.key, self.seq, self.role, (self.base or "") + "".join(reversed(self.deltas)))]
+
+
 def _messages(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["conv_id", "msg", "seq", "role", "text"])
     return out.astype({"conv_id": "Int64", "msg": "Int64", "seq": "Int64"})
@@ -157,9 +175,12 @@ def render(messages: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, SEGMENTS)
 
 
-def digests(segments: DataFrame) -> DataFrame:
-    """Of each conversation, read back from its segments: turns, text under the loss mask, length."""
-    dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+def digests(segments: DataFrame, in_order: bool = False) -> DataFrame:
+    """Of each conversation, read back from its segments: turns, text under the loss mask, length.
+
+    in_order: the segments come straight from `render`, which leaves each conversation in one partition and in order.
+    """
+    dealt = segments if in_order else segments.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: list | None = None
@@ -191,6 +212,22 @@ def digests(segments: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, DIGESTS)
 
 
+#: The query's result in DuckDB SQL: the control conversation and all others, turn by turn.
+ORACLE = r"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\b'), chr(10), '\n') AS r,
+         replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\b') AS x FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(r) + length(x) + length('<|im_start|>') + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def _digests(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
     return out.astype({"conv_id": "Int64", "n_turns": "int64", "loss_chars": "int64", "formatted_chars": "int64"})

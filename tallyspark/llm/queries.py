@@ -24,7 +24,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], "conv_id long, turn long, role string, text string"
     )
     events = chat.events_of_turns(turns).unionByName(chat.events_of_turns(extra))
-    return chat.digests(chat.render(chat.fold(events)))
+    return chat.digests(chat.render(chat.fold(events)), in_order=True)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

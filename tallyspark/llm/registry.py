@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallyspark.llm import decontaminate
+from tallyspark.llm import chat, decontaminate
 from tallyspark.llm import queries as q
 
 
@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "op2_decontaminate": decontaminate.ORACLE}

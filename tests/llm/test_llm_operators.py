@@ -92,6 +92,47 @@ def test_chat_events_act_on_whole_messages(spark):
     assert got == [(0, "user", "new"), (2, "assistant", "yes"), (3, "user", "ab"), (4, "user", "twice"), (4, "user", "twice"), (6, "user", "all")]
 
 
+def sequential_fold(events):
+    """Final (conv, msg, role, text) of events one after another; None orders before all."""
+    place = lambda x: (x is not None, x or 0)
+    left = {}
+    for conv, seq, kind, msg, role, text in sorted(events, key=lambda e: (place(e[1]), e[2] != "message", e[2] or "", e[5] or "", e[4] or "")):
+        found, role, text = left.setdefault((conv, msg), []), role or "", text or ""
+        if kind == "message":
+            left[conv, msg] = [*(m for m in found if m[2]), [role, text, True]]
+        elif kind in ("delta", "edit", "regenerate", "delete"):
+            was, now, _ = found[-1] if found else ["", None, False]
+            now = {"delta": (now or "") + text, "edit": text, "regenerate": "", "delete": None}[kind]
+            left[conv, msg] = [[role or was, now, False]]
+    return Counter((*key, role, text) for key, found in left.items() for role, text, _ in found if text is not None)
+
+
+def test_chat_fold_equals_a_sequential_one(spark):
+    rng = random.Random(12)
+    kinds = ["message", "delta", "delta", "edit", "regenerate", "delete", None, "shout"]
+    events = [
+        (rng.choice([1, 2, None]), rng.choice([None, *range(40)]), rng.choice(kinds), rng.choice([None, *range(25)]), rng.choice(["user", "assistant", None]), rng.choice([None, "a", "b", "cd"]))
+        for _ in range(600)
+    ]
+    events += [(3, 5, "message", 0, "user", "same")] * 50
+    frame = spark.createDataFrame(events, "conv_id long, seq long, kind string, msg long, role string, text string").withColumn("part", F.lit(0))
+    got = Counter((r["conv_id"], r["msg"], r["role"], r["text"]) for r in chat.fold(frame).collect())
+    assert got == sequential_fold(events)
+
+
+def test_chat_query_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tallyspark.llm import queries
+
+    rng = random.Random(13)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(30)]), rng.choice(["user", "assistant", "sys<tem\n", None]), rng.choice([None, "", "é [INST] <|im_end|> \\ ", "plain\n"])) for _ in range(300)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((tuple(r) for r in queries.op1_chat_format(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == sorted(con.execute(chat.ORACLE).fetchall(), key=str)
+
+
 # --- 2
 
 
