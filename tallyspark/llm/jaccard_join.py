@@ -78,7 +78,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
             out = out * _A + h[k : len(h) - size + 1 + k]
         if len(h) < n:  # a short sequence is no n-gram of a longer one
             out += np.uint64(len(h))
-    return np.unique(packed.mixed(out))
+    return np.unique(packed.key_of(out))
 
 
 def class_of(tokens: np.ndarray) -> int:

@@ -13,7 +13,7 @@ rounded to STEP_SIZE steps for each doubling, so that a bounded table of them is
 the counts, so that training and held-out texts can be compared; `seen_score` leaves it in.
 A text that the corpus holds twice keeps its other copy's counts and is told apart by that.
 
-All counts are exact (but for collisions of 63-bit hashes) and over all training texts.  A
+All counts are exact (but for collisions of 55-bit hashes) and over all training texts.  A
 task cuts its texts into chunks of some CHUNK_BYTES bytes and asks for the totals of each
 chunk's distinct words and word pairs (see `packed`), so no task or broadcast holds the
 corpus's vocabulary.  Texts are read and cut into words once; what travels with a chunk is
@@ -54,7 +54,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 _A = np.uint64(0xD6E8FEB86659FD93)
 _EVEN = ~np.uint64(1)
 _START = np.uint64(0x2AF7398005AAA5C7)
-_END = packed.mixed(np.array([0x9D39247E33776D41], np.uint64)) & _EVEN
+_END = packed.key_of(np.array([0x9D39247E33776D41], np.uint64)) & _EVEN
 _WORDS = Words()
 
 
@@ -81,7 +81,7 @@ class Chunk:
             at += len(words) + 1
             sizes.append(len(words) + 1)
         size = np.array(sizes)
-        tokens = packed.mixed(tokens[:at]) & _EVEN
+        tokens = packed.key_of(tokens[:at]) & _EVEN
         tokens[np.cumsum(size) - 1] = _END
         words, stream = np.unique(tokens, return_inverse=True)
         del tokens
@@ -94,21 +94,19 @@ class Chunk:
     def pair_keys(self, words: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             first = np.append(words, _START)[self.codes // (self.n_words + 1)] * _A
-            return packed.mixed(first + words[self.codes % (self.n_words + 1)]) | ~_EVEN
+            return packed.key_of(first + words[self.codes % (self.n_words + 1)]) | ~_EVEN
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of words and of pairs in the texts to learn from."""
         return np.bincount(self.stream[self.own], minlength=self.n_words), np.bincount(self.pair[self.own], minlength=len(self.codes))
 
     def dumps(self) -> bytes:
-        planes = self.stream.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()  # upper bytes apart: nearly all are 0
-        return zlib.compress(pickle.dumps((self.ids, self.held, self.sizes.astype(np.int32), planes, self.n_words), 5), 1)
+        return packed.squeezed(pickle.dumps((self.ids, self.held, self.sizes.astype(np.int32), packed.planes(self.stream.astype(np.uint32)), self.n_words), 5))
 
     @classmethod
     def loads(cls, data: bytes) -> Chunk:
         ids, held, sizes, planes, n_words = pickle.loads(zlib.decompress(data))
-        stream = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-        return cls(ids, held, sizes.astype(np.int64), stream.astype(np.int32), n_words)
+        return cls(ids, held, sizes.astype(np.int64), packed.unplanes(planes, np.uint32).astype(np.int32), n_words)
 
 
 def by_count(counts: np.ndarray) -> np.ndarray:

@@ -5,9 +5,10 @@ it has any of, one row with its distinct keys and how often it has each; a bucke
 up the counts over all chunks and answers each chunk with the totals of its keys, in their
 order.  A key travels once per chunk however common it is.
 
-Buckets are ranges of the 64-bit keys, so a chunk's sorted keys are its buckets' one after
-another.  Keys are exact: 6 bytes each, and how many there are of each value of the upper 2
-bytes.  Counts and totals, most of them 1, are deflated.
+Keys are hashes of KEY_BITS = 56 bits (of 10^11 different ones, one in 10^6 shares its hash with
+another) and sent whole: 5 bytes each, and how many there are of each value of the upper 2
+bytes.  Buckets are ranges of keys, so a chunk's sorted keys are its buckets' one after
+another.  Counts and totals, most of them small, are deflated by planes of bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 REQUESTS = "bucket int, chunk long, keys binary, counts binary, told binary"
 REPLIES = "chunk long, bucket int, keys binary, counts binary, totals binary, n_keys long, n_counted long, told binary"
+KEY_BITS = 56
+_LOW = KEY_BITS - 16
 MOST_BUCKETS = 1 << 16
 BUCKET_BYTES = 16 << 20  # of text, whose keys a bucket's task holds at once
 
@@ -33,13 +36,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def key_of(x: np.ndarray) -> np.ndarray:
+    """Keys of 64-bit hashes."""
+    return mixed(x) >> np.uint64(64 - KEY_BITS)
+
+
 def buckets_for(size: int, least: int) -> int:
     """How many buckets the keys of so many bytes of text need."""
     return min(MOST_BUCKETS, max(1, least, -(-size // BUCKET_BYTES)))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+    return ((keys >> np.uint64(_LOW)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
 
 
 def bounds(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -47,12 +55,27 @@ def bounds(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket_of(sorted_keys, buckets), np.arange(buckets + 1))
 
 
+def squeezed(data: bytes) -> bytes:
+    """Deflated bytes of which runs are the only repeats."""
+    out = zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_RLE)
+    return out.compress(data) + out.flush()
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """The bytes of unsigned numbers by place: all lowest ones first, the upper ones, nearly all 0, last."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def pack(sorted_keys: np.ndarray) -> bytes:
     if not len(sorted_keys):
         return b""
-    top, n = np.unique((sorted_keys >> np.uint64(48)).astype(np.uint16), return_counts=True)
+    top, n = np.unique((sorted_keys >> np.uint64(_LOW)).astype(np.uint16), return_counts=True)
     head = zlib.compress(top.tobytes() + n.astype(np.uint32).tobytes(), 1)
-    low = sorted_keys.astype(np.uint32).tobytes() + (sorted_keys >> np.uint64(32)).astype(np.uint16).tobytes()
+    low = sorted_keys.astype(np.uint32).tobytes() + (sorted_keys >> np.uint64(32)).astype(np.uint8).tobytes()
     return len(head).to_bytes(4, "little") + head + low
 
 
@@ -62,19 +85,19 @@ def unpack(data: bytes) -> np.ndarray:
     body = 4 + int.from_bytes(data[:4], "little")
     head = zlib.decompress(data[4:body])
     top, counts = np.frombuffer(head, np.uint16, len(head) // 6), np.frombuffer(head, np.uint32, len(head) // 6, len(head) // 3)
-    n = (len(data) - body) // 6
+    n = (len(data) - body) // 5
     out = np.frombuffer(data, np.uint32, n, body).astype(np.uint64)
-    out |= np.frombuffer(data[body + 4 * n :], np.uint16, n).astype(np.uint64) << np.uint64(32)
-    return out | np.repeat(top.astype(np.uint64) << np.uint64(48), counts)
+    out |= np.frombuffer(data, np.uint8, n, body + 4 * n).astype(np.uint64) << np.uint64(32)
+    return out | np.repeat(top.astype(np.uint64) << np.uint64(_LOW), counts)
 
 
 def deflated(numbers: np.ndarray) -> bytes:
     small = not len(numbers) or int(numbers.max()) < 1 << 32
-    return (b"4" if small else b"8") + zlib.compress(numbers.astype(np.uint32 if small else np.uint64).tobytes(), 1)
+    return (b"4" if small else b"8") + squeezed(planes(numbers.astype(np.uint32 if small else np.uint64)))
 
 
 def inflated(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), np.uint32 if data[:1] == b"4" else np.uint64).astype(np.int64)
+    return unplanes(zlib.decompress(data[1:]), np.uint32 if data[:1] == b"4" else np.uint64).astype(np.int64)
 
 
 def requests(chunk: int, sorted_keys: np.ndarray, counts: np.ndarray, buckets: int, told: bytes | None = None) -> pd.DataFrame:

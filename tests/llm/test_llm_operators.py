@@ -662,7 +662,7 @@ def test_packed_totals(spark):
     import pandas as pd
 
     rng = np.random.default_rng(0)
-    keys = packed.mixed(np.arange(1, 400, dtype=np.uint64))
+    keys = packed.key_of(np.arange(1, 400, dtype=np.uint64))
     sent, want = [], Counter()
     chunks = {}
     for chunk in range(5):
@@ -685,7 +685,7 @@ def test_packed_keys_are_whole():
     import numpy as np
 
     for n in (0, 1, 1000):
-        keys = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+        keys = np.unique(np.random.default_rng(n).integers(0, 1 << packed.KEY_BITS, n, dtype=np.uint64))
         assert (packed.unpack(packed.pack(keys)) == keys).all()
         at = packed.bounds(keys, 7)
         assert at[0] == 0 and at[-1] == len(keys) and all((packed.bucket_of(keys[i:j], 7) == b).all() for b, (i, j) in enumerate(zip(at, at[1:])))
