@@ -36,7 +36,8 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -176,41 +177,58 @@ class Tree:
         return out[::-1][:depth]
 
 
-def _told_apart(hashes: np.ndarray) -> np.ndarray:
-    """Hashes with the number of equal ones before, so that repeated nodes are matched one by one."""
-    order = np.argsort(hashes, kind="stable")
-    by = hashes[order]
-    new = np.ones(len(by), dtype=bool)
-    new[1:] = by[1:] != by[:-1]
-    starts = np.flatnonzero(new)
-    before = np.empty(len(by), np.uint64)
-    before[order] = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
-    return hashes.astype(np.uint64) << np.uint64(32) | before
-
-
-def unmatched(a: Tree, b: Tree) -> tuple[list[np.ndarray], int]:
-    """The nodes of each level of a under differing branches that find no equal one in b's, and the characters in matched ones."""
-    depth = min(len(a.hashes), len(b.hashes))
-    if a.root == b.root:
-        return [np.zeros(0, np.int64) for _ in range(depth)], a.length
-    spans, out, alike = a.spans(depth), [], 0
-    x, y = (np.arange(len(t.hashes[0])) if depth else np.zeros(0, np.int64) for t in (a, b))
-    for level in range(depth):
-        if level:
-            x, y = (_below(t.children[level - 1], nodes) for t, nodes in ((a, x), (b, y)))
-        own, other = _told_apart(a.hashes[level][x]), _told_apart(b.hashes[level][y])
-        _, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
-        alike += int(spans[level][x[i]].sum())
-        x, y = np.delete(x, i), np.delete(y, j)
-        out.append(x)
-    return out, alike
-
-
-def _below(children: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+class Match:
+    """What two trees have in common.  alike: characters in branches of equal hash; rest: of each level of a, the nodes that found no equal one under b's differing branches."""
+
+    def __init__(self, a: Tree, b: Tree) -> None:
+        self.a = a
+        self.same = a.root == b.root
+        depth = min(len(a.hashes), len(b.hashes))
+        self.spans = [x.tolist() for x in a.spans(depth)]
+        self.alike, self.rest = (a.length, [[] for _ in range(depth)]) if self.same else (0, [])
+        if self.same or not depth:
+            return
+        x, y = range(len(a.hashes[0])), range(len(b.hashes[0]))
+        for level in range(depth):
+            if level:
+                x, y = (_below(t.children[level - 1], nodes) for t, nodes in ((a, x), (b, y)))
+            left, right = a.hashes[level].tolist(), b.hashes[level].tolist()
+            span, offered, wanted = self.spans[level], Counter([right[n] for n in y]), Counter([left[n] for n in x])
+            rest = []
+            for n in x:
+                h = left[n]
+                if offered.get(h, 0) > 0:
+                    offered[h] -= 1
+                    self.alike += span[n]
+                else:
+                    rest.append(n)
+            other = []
+            for n in y:
+                h = right[n]
+                if wanted.get(h, 0) > 0:
+                    wanted[h] -= 1
+                else:
+                    other.append(n)
+            x, y = rest, other
+            self.rest.append(rest)
+
+    def likeness(self, length: int) -> float:
+        return 1.0 if self.same else min(1.0, 2.0 * self.alike / max(1, self.a.length + length))
+
+    def paragraphs(self) -> list[int]:
+        """Paragraphs of a without a match, numbered through the text."""
+        return self.rest[1] if self.rest else list(range(len(self.a.hashes[1]))) if self.a.hashes else []
+
+    def first_difference(self) -> int | None:
+        if not self.rest:
+            return 0 if self.a.hashes else None
+        return sum(self.spans[-1][: self.rest[-1][0]]) if self.rest[-1] else None
+
+
+def _below(children: np.ndarray, nodes: Iterable[int]) -> list[int]:
     """The children of some nodes of a level."""
-    size = children[nodes]
-    starts = (np.cumsum(children) - children)[nodes]
-    return np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    ends = np.cumsum(children).tolist()
+    return [n for node in nodes for n in range(ends[node - 1] if node else 0, ends[node])]
 
 
 def _tree(fingerprint: str | Tree) -> Tree:
@@ -220,30 +238,23 @@ def _tree(fingerprint: str | Tree) -> Tree:
 def likeness(a: str | Tree, b: str | Tree) -> float:
     """How much of two fingerprinted texts is alike: 1 for equal roots."""
     a, b = _tree(a), _tree(b)
-    return 1.0 if a.root == b.root else min(1.0, 2.0 * unmatched(a, b)[1] / max(1, a.length + b.length))
+    return Match(a, b).likeness(b.length)
 
 
 def differing(a: str | Tree, b: str | Tree) -> list[tuple[int, int]]:
     """(section, paragraph) of a's paragraphs that have no equal in b's differing branches: where an edit is."""
     a = _tree(a)
-    nodes, _ = unmatched(a, _tree(b))
-    if not a.hashes or not nodes:
-        return [(0, 0)] if a.hashes and not nodes else []
+    if not a.hashes:
+        return []
     starts = np.cumsum(a.children[0]) - a.children[0]
-    section = np.searchsorted(starts, nodes[1], side="right") - 1
-    return [(int(s), int(p - starts[s])) for s, p in zip(section, nodes[1], strict=True)]
+    found = np.array(Match(a, _tree(b)).paragraphs(), dtype=np.int64)
+    section = np.searchsorted(starts, found, side="right") - 1
+    return [(int(s), int(p - starts[s])) for s, p in zip(section, found, strict=True)]
 
 
 def first_difference(a: str | Tree, b: str | Tree) -> int | None:
     """The character of a at which the first leaf without a match begins; None if there is none."""
-    a = _tree(a)
-    nodes, _ = unmatched(a, _tree(b))
-    if not nodes:
-        return 0 if a.hashes else None
-    if not len(nodes[-1]):
-        return None
-    spans = a.spans(len(nodes))[-1]
-    return int((np.cumsum(spans) - spans)[nodes[-1][0]])
+    return Match(_tree(a), _tree(b)).first_difference()
 
 
 def fingerprint(text: str | None) -> str:
@@ -329,7 +340,7 @@ def with_edits(docs: DataFrame, tasks: int) -> DataFrame:
                     at, held, first = r, None, None
                 elif after and held is None:
                     continue  # a repeat of the row after the range
-                now = (doc_id, text, fingerprint(text))
+                now = (doc_id, text, Tree(text))
                 if held is not None:
                     out.append(_row(held, now))
                 held = None if after else now
@@ -343,13 +354,14 @@ def with_edits(docs: DataFrame, tasks: int) -> DataFrame:
 
 
 def _row(own: tuple, following: tuple) -> tuple:
-    doc_id, text, known = own
+    """A row of the result.  A tree and the one that its fingerprint is read back to are the same."""
+    doc_id, text, tree = own
     new = edited(text, following[1])
-    changed = known if new == text else fingerprint(new)
-    a, b = Tree.loads(known), Tree.loads(changed)
+    changed = tree if new == text else Tree(new)
+    match = Match(tree, changed)
     return (
-        None if pd.isna(doc_id) else int(doc_id), len(text), hashlib.sha256(_bytes(new)).hexdigest(), known, changed,
-        likeness(a, b), likeness(a, following[2]), len(differing(a, b)), first_difference(a, b),
+        None if pd.isna(doc_id) else int(doc_id), len(text), hashlib.sha256(_bytes(new)).hexdigest(), tree.dumps(), changed.dumps(),
+        match.likeness(changed.length), likeness(tree, following[2]), len(match.paragraphs()), match.first_difference(),
     )
 
 

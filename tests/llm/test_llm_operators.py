@@ -578,7 +578,7 @@ def test_tree_locates_edits():
     assert 0.8 < merkle.likeness(x, y) < 1 and merkle.likeness(x, x) == 1.0 and merkle.first_difference(x, x) is None
     empty = merkle.fingerprint("")
     assert merkle.likeness(x, empty) == 0.0 and merkle.likeness(empty, merkle.fingerprint(None)) == 1.0 and merkle.first_difference(empty, x) is None
-    assert merkle.differing(empty, x) == [] and merkle.differing(x, empty) == [(0, 0)] and merkle.first_difference(x, empty) == 0
+    assert merkle.differing(empty, x) == [] and merkle.differing(x, empty) == [(0, 0), (0, 1), (1, 0), (1, 1)] and merkle.first_difference(x, empty) == 0
 
 
 def test_likeness_is_that_of_what_stays():
