@@ -12,9 +12,12 @@ BANK_SIGNS = {
     "借": -1, "借方": -1, "支": -1, "支出": -1, "往账": -1, "付": -1, "出": -1, "转出": -1, "取出": -1, "退": -1, "付款": -1,
     "DEBIT": -1, "D": -1, "DR": -1, "EXPENSE": -1, "OUT": -1,
 }
-#: In a journal, debit is money in and credit money out.
-TURNED = {"贷", "贷方", "CREDIT", "C", "CR", "借", "借方", "DEBIT", "D", "DR"}
-JOURNAL_SIGNS = {word: -sign if word in TURNED else sign for word, sign in BANK_SIGNS.items()}
+JOURNAL_SIGNS = {
+    "借": 1, "借方": 1, "收": 1, "收入": 1, "来账": 1, "收款": 1, "入": 1, "转入": 1, "存入": 1, "进": 1,
+    "DEBIT": 1, "D": 1, "DR": 1, "INCOME": 1, "IN": 1,
+    "贷": -1, "贷方": -1, "支": -1, "支出": -1, "往账": -1, "付": -1, "出": -1, "转出": -1, "取出": -1, "退": -1, "付款": -1,
+    "CREDIT": -1, "C": -1, "CR": -1, "EXPENSE": -1, "OUT": -1,
+}
 SYMBOLS = r"[¥$￥€£₩\s]"
 CURRENCY_CODES = r"(?i)JP¥|CNY|USD|EUR|GBP|JPY|KRW"
 THOUSANDS = r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"
@@ -61,19 +64,19 @@ def normalize_amount_text(value: Column) -> Column:
 def clean_amount(value: Column, suffix_sign: bool = True) -> Column:
     """Yuan with 2 places of an amount cell: 0.00 if empty, null if unreadable.
 
-    (x) is negative; with suffix_sign, CR and 贷 make it negative, DR and 借 positive.
+    One pair of ASCII brackets about the whole cell turns the sign; any other bracket makes the
+    cell unreadable.  With suffix_sign, CR and 贷 at the end turn it as well, DR and 借 don't.
     """
     text = F.trim(value)
     empty = value.isNull() | (text == "") | (F.lower(text) == "nan")
-    sign = F.lit(1)
+    bracketed = text.rlike(r"(?s)^\(.*\)$")
+    text = F.when(bracketed, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    sign = F.when(bracketed, -1).otherwise(1)
     if suffix_sign:
-        sign = F.when(text.rlike(r"(?i)(CR|贷)\s*$"), -1).otherwise(1)
-        text = F.regexp_replace(text, r"(?i)(CR|DR|贷|借)\s*$", "")
-    bracketed = text.rlike(r"^\s*[(（].*[)）]\s*$")
-    plain = normalize_amount_text(F.regexp_replace(text, "[()（）]", ""))
-    number = F.round(decimal(plain), 2)
-    signed = F.when(bracketed, -F.abs(number)).otherwise(number) * sign
-    return F.when(empty, F.lit(0)).otherwise(signed).cast("decimal(20,2)")
+        sign = sign * F.when(text.rlike(r"((?i:CR)|贷)$"), -1).otherwise(1)
+        text = F.trim(F.regexp_replace(text, r"((?i:CR|DR)|贷|借)$", ""))
+    number = F.round(decimal(normalize_amount_text(text)), 2)
+    return F.when(empty, F.lit(0)).otherwise(number * sign).cast("decimal(20,2)")
 
 
 def direction_sign(value: Column, source: str) -> Column:
@@ -95,6 +98,17 @@ def source_amount(value: Column, source: str, suffix_sign: bool = True) -> Colum
     return F.when(suffix == "", plain).otherwise((body * direction_sign(suffix, source)).cast("decimal(20,2)"))
 
 
+def round_decimal(value: Column, places: int = 2) -> Column:
+    """The number in a text to so many places, halves away from zero, as a double; 0.0 for what is no number."""
+    return F.coalesce(F.round(decimal(value), places).cast("double"), F.lit(0.0))
+
+
+def restored_number(value: Column) -> Column:
+    """The number in a cell that may have commas, as a double; null if there is none."""
+    plain = F.replace(F.trim(value), F.lit(","), F.lit(""))
+    return F.when((plain != "") & (F.lower(plain) != "nan"), plain.try_cast("double"))
+
+
 def bucket_counts(li: Column, prefix: str = "bucket") -> list[Column]:
     """Counts of amounts in [0,100), [100,1k), [1k,10k), [10k,100k), [100k,...) yuan."""
     edges = [0, 100, 1_000, 10_000, 100_000]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -108,6 +109,7 @@ def plain(text: str | None) -> str:
     return "" if text in ("nan", "none", "null") else _KEPT.sub("", text)
 
 
+@lru_cache(maxsize=200_000)
 def similarity(a: str | None, b: str | None) -> int:
     """0 to 100: the better of the matching-block ratio and the bigram Dice coefficient."""
     a, b = plain(a), plain(b)
@@ -115,10 +117,12 @@ def similarity(a: str | None, b: str | None) -> int:
         return 0
     if a == b:
         return 100
-    ratio = difflib.SequenceMatcher(None, a, b).ratio()
     x, y = {a[i : i + 2] for i in range(len(a) - 1)}, {b[i : i + 2] for i in range(len(b) - 1)}
-    dice = 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
-    return round(100 * max(ratio, dice))
+    best = 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+    blocks = difflib.SequenceMatcher(None, a, b)
+    if blocks.real_quick_ratio() > best and blocks.quick_ratio() > best:  # bounds that are had at once
+        best = max(best, blocks.ratio())
+    return round(100 * best)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -136,6 +140,26 @@ def _category(label: str) -> str | None:
     return next((name for name, words in CATEGORIES if any(w in label for w in words)), None)
 
 
+def _by_category(fields: dict[str, str] | None) -> dict[str, set[str]]:
+    """Plain values of account fields by category."""
+    own: dict[str, set[str]] = {}
+    for label, value in (fields or {}).items():
+        if (kind := _category(label)) and plain(value):
+            own.setdefault(kind, set()).add(plain(value))
+    return own
+
+
+def signals(bank: dict[str, str] | None, journal: dict[str, str] | None) -> list[str]:
+    """Of each category that both sides have, whether their values agree; never a value itself."""
+    b, j = _by_category(bank), _by_category(journal)
+    return [f"{kind}:{'相同' if b[kind] & j[kind] else '不同'}" for kind in sorted(b.keys() & j.keys())]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def text_signals(bank: pd.Series, journal: pd.Series) -> pd.Series:
+    return pd.Series([signals(dict(a) if a is not None else {}, dict(b) if b is not None else {}) for a, b in zip(bank, journal, strict=True)], dtype=object)
+
+
 def evidence(bank: dict[str, str] | None, journal: dict[str, str] | None) -> tuple[int, list[str], list[str]]:
     """Local score 0-100 of two records' labelled texts, the labels that support it, and categories in conflict."""
     scores: dict[str, int] = {}
@@ -145,14 +169,8 @@ def evidence(bank: dict[str, str] | None, journal: dict[str, str] | None) -> tup
             scores[label] = max(scores.get(label, 0), similarity(a, b))
     best = sorted(scores.values(), reverse=True)[:3]
     local = round(0.6 * best[0] + 0.4 * sum(best) / len(best)) if best else 0
-    sides: list[dict[str, set[str]]] = []
-    for fields in (bank or {}, journal or {}):
-        own: dict[str, set[str]] = {}
-        for label, value in fields.items():
-            if (kind := _category(label)) and plain(value):
-                own.setdefault(kind, set()).add(plain(value))
-        sides.append(own)
-    conflicts = sorted(k for k in sides[0] if k in sides[1] and not sides[0][k] & sides[1][k])
+    b, j = _by_category(bank), _by_category(journal)
+    conflicts = sorted(k for k in b if k in j and not b[k] & j[k])
     return local, sorted(k for k, v in scores.items() if v >= 60), conflicts
 
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions import dates
+from tallyspark.functions import dates, money, text
 from tallyspark.functions.scoring import expense, income
 
-#: Words that mark a row stating an opening balance.
-OPENING_WORDS = ["期初", "年初", "上年结转", "结转", "承前"]
+# --- fixed values: words of rows that state an opening balance --------------------------
+OPENING_WORDS = ["上期结转", "期初余额", "年初余额", "月初余额", "期初", "结转"]
+# ----------------------------------------------------------------------------------------
 
 
 def daily(side: DataFrame, prefix: str = "") -> DataFrame:
@@ -58,12 +59,21 @@ def monthly_table(days: DataFrame) -> DataFrame:
     )
 
 
-def opening_balance(side: DataFrame) -> DataFrame:
-    """One row (opening_li): a stated opening balance, else the first balance less all movements up to its row."""
-    words = F.lit(False)
-    for word in OPENING_WORDS:
-        words = words | F.col("summary").contains(word)
-    stated = side.where(F.col("date").isNull() & words & F.col("balance_li").isNotNull()).agg(F.min_by("balance_li", "original_idx").alias("stated"))
+def stated_opening(raw: DataFrame, date: str, summary: str, balance: str) -> DataFrame:
+    """One row (stated): the balance of a raw table's first undated row whose summary says that it is the opening one, in li; null if there is none."""
+    cell = lambda name: text.cell_text(F.col(f"`{name}`"))
+    amount = F.when(cell(balance) != "", money.clean_amount(cell(balance), suffix_sign=False))
+    rows = raw.where(dates.parse_date(cell(date)).isNull() & cell(summary).rlike("|".join(OPENING_WORDS)) & amount.isNotNull())
+    return rows.agg(F.min_by((amount * 10_000).cast("bigint"), F.col("__source_row__")).alias("stated"))
+
+
+def opening_balance(side: DataFrame, stated: DataFrame | None = None) -> DataFrame:
+    """One row (opening_li): a stated opening balance, else the first balance less all movements up to its row; null without any balance.
+
+    stated: one row (stated), see `stated_opening`; a ledger itself has no undated rows.
+    """
+    if stated is None:
+        stated = side.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("stated"))
     rows = side.where("date is not null")
     # only days up to the first balance matter: the running sum is over days, then within that day
     first = rows.where("balance_li is not null").agg(F.min(F.struct("date", "original_idx", "balance_li")).alias("f")).select("f.*")
@@ -72,9 +82,8 @@ def opening_balance(side: DataFrame) -> DataFrame:
         F.struct("date", "original_idx") <= F.struct(F.col("__d").alias("date"), F.col("__i").alias("original_idx")),
     )
     moved = before.agg(F.sum("amount_li").alias("moved"))
-    return first.crossJoin(moved).join(stated, F.lit(True), "full_outer").select(
-        F.coalesce("stated", F.col("balance_li") - F.coalesce("moved", F.lit(0))).alias("opening_li")
-    )
+    derived = first.crossJoin(moved).agg(F.max(F.col("balance_li") - F.coalesce("moved", F.lit(0))).alias("derived"))  # one row by one row
+    return stated.crossJoin(derived).select(F.coalesce("stated", "derived").alias("opening_li"))
 
 
 def running(side: DataFrame, opening_li: int = 0) -> DataFrame:

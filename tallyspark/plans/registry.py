@@ -23,7 +23,7 @@ AMOUNT_TEXTS = [
     "USD 1,000,000.10", "0.005", "-0.005", " 42 ",
 ]
 AMOUNT_VALUES = [
-    "1234.56", None, "-100.00", "-100.00", "100.00", "1234.50", "88.01", "0.00", "0.00", None, "-5.00", "1000.00", "-5.00", "7.00", "-8.50",
+    "1234.56", None, "-100.00", "-100.00", "100.00", "1234.50", "88.01", "0.00", "0.00", None, "-5.00", "1000.00", "-5.00", "7.00", None,
     "1000000.10", "0.01", "-0.01", "42.00",
 ]
 DATE_TEXTS = ["2024-01-05", "2024/1/5", "20240105", "05-01-2024", "05/01/2024", "2024.1.5", "5.1.2024", "2024年1月5日", "45296", "2024", "13/25/2024", "12/25/2024", "x", ""]

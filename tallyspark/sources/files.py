@@ -99,7 +99,13 @@ def xlsx_rows(path: str, expand: bool = True) -> list[list[str | None]]:
     return rows
 
 
-def preview(path: str, rows: int = headers.SCANNED_ROWS + headers.DEEPEST) -> list[list]:
+def structure_of(path: str) -> headers.TableStructure:
+    """The header found in a file."""
+    plain = xlsx_rows(path, expand=False)[: headers.SCANNED_ROWS] if check(path) == ".xlsx" else None
+    return headers.detect(preview(path), plain)
+
+
+def preview(path: str, rows: int = headers.SCANNED_ROWS) -> list[list]:
     """The first rows, for header detection."""
     if check(path) == ".xlsx":
         return xlsx_rows(path)[:rows]
@@ -114,7 +120,7 @@ def preview(path: str, rows: int = headers.SCANNED_ROWS + headers.DEEPEST) -> li
 def load(spark: SparkSession, path: str, structure: headers.TableStructure | None = None) -> DataFrame:
     """A statement file as text columns with row ordinals; blank lines are not rows."""
     kind = check(path)
-    structure = structure or headers.detect(preview(path))
+    structure = structure or structure_of(path)
     names, first = list(structure.columns), structure.skiprows + structure.header_rows
     rows = xlsx_rows(path, expand=False)[first:] if kind == ".xlsx" else _after(csv_rows(path), first)
     schema = T.StructType([T.StructField("__source_row__", T.LongType()), T.StructField("__file_row__", T.LongType()), *[T.StructField(n, T.StringType()) for n in names]])

@@ -23,6 +23,14 @@ def test_clean_amount(spark):
     assert [x for (x,) in got] == want
 
 
+def test_brackets_come_in_one_pair(spark):
+    cells = {"1(00": None, "(100": None, "（8.5）": None, "(-5)": Decimal("5.00"), "(100)": Decimal("-100.00"), "(100CR)": Decimal("100.00"), "(100)CR": None, "((1))": None, "()": None, "(1,234.5)": Decimal("-1234.50"), "5 cr": Decimal("-5.00")}
+    got = values(spark, [(x,) for x in cells], "v string", F.col("v"), money.clean_amount(F.col("v")))
+    assert dict(got) == cells
+    numbers = values(spark, [("1,234.565",), ("x",), ("",), ("12",)], "v string", money.round_decimal(F.replace(F.col("v"), F.lit(","), F.lit(""))), money.restored_number(F.col("v")))
+    assert numbers == [(1234.57, 1234.565), (0.0, None), (0.0, None), (12.0, 12.0)]
+
+
 def test_suffixes_follow_the_source(spark):
     rows = [("100CR",), ("100DR",), ("5贷",), ("5借",), ("7",)]
     bank = [x for (x,) in values(spark, rows, "v string", money.source_amount(F.col("v"), "bank"))]

@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import json
 import random
 from decimal import Decimal
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.config import ReconConfig
-from tallyspark.operators import balances, pools, precheck, selection, standardize, subset_sum
+from tallyspark.operators import balances, pools, precheck, selection, semantic, standardize, subset_sum
 from tallyspark.operators import candidates as c
 from tallyspark.plans import reconcile
 from tallyspark.sources import files, headers, sinks
@@ -117,10 +118,11 @@ def test_balances(spark):
     got = balances.continuity(side).collect()
     assert [(str(r["date"]), r["expected_li"], r["stated_li"]) for r in got] == [("2024-01-20", 1_068_500_000, 1_069_000_000)]
     assert balances.opening_balance(side).first()["opening_li"] == 1_090_000_000
-    stated = ledger(spark, [(None, 0, "上年结转", 5), *rows])
-    assert balances.opening_balance(stated).first()["opening_li"] == 50_000
+    raw = spark.createDataFrame([(1, "x", "月初余额 转入", ""), (2, "", "上年 月初余额", "5.00"), (3, "2024-01-05", "月初余额", "7")], "__source_row__ long, d string, s string, b string")
+    assert balances.opening_balance(side, balances.stated_opening(raw, "d", "s", "b")).first()["opening_li"] == 50_000
+    assert balances.opening_balance(side, balances.stated_opening(raw.where("__source_row__ <> 2"), "d", "s", "b")).first()["opening_li"] == 1_090_000_000
     assert balances.running(side, 10).count() == 16
-    assert balances.opening_balance(side.limit(0)).count() <= 1
+    assert balances.opening_balance(side.limit(0)).collect() == [(None,)]
 
 
 def brute(items, target, most):
@@ -188,7 +190,7 @@ def test_standardize(spark):
 def test_debit_and_credit_depend_on_the_side(spark):
     raw = spark.createDataFrame([(1, 2, "2024-01-05", "10", None), (2, 3, "2024-01-05", None, "4")], "__source_row__ long, __file_row__ long, `日期` string, `借方` string, `贷方` string")
     mapping = standardize.ColumnMapping(date="日期", debit="借方", credit="贷方", mode="debit_credit")
-    sums = {s: [r["amount_li"] for r in standardize.standardize(raw, mapping, s)[0].orderBy("rec_id").collect()] for s in ("bank", "journal")}
+    sums = {s: [r["amount_li"] for r in standardize.standardize(raw, mapping, s)[0].orderBy("original_idx").collect()] for s in ("bank", "journal")}
     assert sums == {"bank": [-100_000, 40_000], "journal": [100_000, -40_000]}
 
 
@@ -234,20 +236,50 @@ def test_precheck(spark, tmp_path):
     status = {r["item"]: r["status"] for r in items.collect()}
     assert len(status) == 8 and status["收支合计"] == "通过" and status["非交易行"] == "提示" and status["辅助列完整度"] == "通过"
     precheck.require(items)
-    other = side([("2025-01-05", "5", None)])
+    other = side([("x", "5", None)])
     with pytest.raises(precheck.Blocked):
         precheck.require(precheck.checks(spark, {"bank": good, "journal": other}))
 
 
-def test_semantic_scores_can_fail(spark):
-    rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "candidate_id string, component string")
-
-    def scorer(group):
-        if len(group) > 1:
-            raise RuntimeError
-        return group[["candidate_id"]].assign(model_score=80)
-
-    assert {r["candidate_id"]: r["model_score"] for r in selection.semantic_scores(rows, scorer).collect()} == {"a": None, "b": None, "c": 80}
+def _request(rows):
+    return [(c, f"k{c}", i, datetime.date(2024, 1, 1), datetime.date(2024, 1, 2), 10_000, 20_000, {"摘要": "tel 13800138000", "账号": "1"}, {"备注": " ", "帐号": "2"}) for c, i in rows]
+
+
+def test_semantic_decisions_are_checked_and_recorded(spark):
+    fields = "component string, candidate_id string, __place int, first_date date, last_date date, b_gross long, j_gross long, b_fields map<string,string>, j_fields map<string,string>"
+    rows = spark.createDataFrame(_request([("a", 1), ("b", 1), ("c", 1), ("d", 1)]), fields)
+
+    def scorer(request):
+        (own,) = request["candidates"]
+        if own["candidate_id"] == "ka":
+            raise RuntimeError("no answer")
+        assert own["bank_fields"] == {"摘要": "tel ********"} and own["journal_fields"] == {} and own["local_signals"] == ["账号:不同"]
+        good = {k: "" for k in semantic.REPLY_KEYS} | {"selected_candidate_id": own["candidate_id"], "semantic_score": 80, "supporting_evidence": [], "conflicting_evidence": []}
+        if own["candidate_id"] == "kb" and "problem" not in request:
+            return good | {"semantic_score": "80"}
+        if own["candidate_id"] == "kc":
+            return good | {"selected_candidate_id": "other"}
+        return "```json\n" + json.dumps(good) + "\n```"
+
+    got = {r["component"]: r for r in semantic.numbered(semantic.decisions(rows, scorer)).collect()}
+    assert {k: r["fallback"] for k, r in got.items()} == {"a": True, "b": False, "c": True, "d": False}
+    assert got["a"]["error"] == "no answer" and "not asked about" in got["c"]["error"] and got["b"]["semantic_score"] == 80 and got["c"]["selected"] is None
+    assert [got[k]["request_id"] for k in "abcd"] == ["LLM000001", "LLM000002", "LLM000003", "LLM000004"] and "本机敏感字段一致性信号" in got["d"]["sent_fields"]
+    for bad in ("x", "[]", "{}"):
+        with pytest.raises(semantic.BadReply):
+            semantic.checked(bad, ["k"])
+
+
+def test_ambiguity_compares_sets_of_records(spark):
+    """The day's total and the combination of the same records are one option, whatever they are called."""
+    bank, journal = ledger(spark, [("2024-01-05", 30_000)]), ledger(spark, [("2024-01-05", 10_000), ("2024-01-05", 20_000)], "journal")
+    found, members = reconcile.generated(bank, journal, CONFIG)
+    got = {r["ctype"]: r["ambiguous"] for r in selection.ambiguity(found, members).collect()}
+    assert got["combination_dfs"] is False and got["daily_total"] is False
+    other = ledger(spark, [("2024-01-05", 10_000), ("2024-01-05", 20_000), ("2024-01-06", 30_000)], "journal")
+    found, members = reconcile.generated(bank, other, CONFIG)
+    got = {(r["ctype"], r["j_n"]): r["ambiguous"] for r in selection.ambiguity(found, members).collect()}
+    assert got["tolerance_date", 1] is True
 
 
 def test_streamed_days(spark, tmp_path):
