@@ -42,7 +42,7 @@ from tallyspark.llm import packed
 from tallyspark.llm.common import checkpoints, partitions
 from tallyspark.llm.jaccard_join import Words
 
-CHUNK_BYTES = 9_000_000
+CHUNK_BYTES = 6_500_000
 BUCKETS = 40
 STEPS = 80
 STEP_SIZE = 4  # cells for each doubling of a ratio of estimates

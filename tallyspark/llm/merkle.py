@@ -110,18 +110,27 @@ def _parents(hashes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Tree:
     """Levels from the sections down: `hashes` (32 bits), `children` of all levels but the last, `sizes` of the leaves."""
 
-    __slots__ = ("children", "hashes", "length", "root", "sizes")
+    __slots__ = ("children", "hashes", "length", "root", "sizes", "words")
 
-    def __init__(self, text: str | None) -> None:
+    def __init__(self, text: str | None, like: Tree | None = None, upto: int = 0) -> None:
+        """like: the tree of a text with the same first `upto` characters, whose words there need not be hashed again."""
         self.hashes, self.children, self.sizes = [], [], np.zeros(0, np.int64)
         text = text or ""
         self.length = len(text)
-        tokens = _TOKEN.findall(text)
-        if not tokens:
+        known = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if like is not None and like.words is not None:
+            ends = np.cumsum(like.words[1])
+            same = int(np.searchsorted(ends, upto))  # the word that reaches upto may go on otherwise
+            known = like.words[0][:same], like.words[1][:same]
+        tokens = _TOKEN.findall(text, int(known[1].sum()))
+        n = len(known[0]) + len(tokens)
+        self.words = None
+        if not n:
             self.root = hashlib.blake2b(b"", digest_size=16).hexdigest()
             return
-        words = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        words = np.concatenate([known[0], np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))])
+        sizes = np.concatenate([known[1], np.fromiter(map(len, tokens), np.int64, len(tokens))])
+        self.words = words, sizes
         paragraph, section = (words & _PARAGRAPH) != 0, (words & _SECTION) != 0
         run = paragraph | (_mixed(words) % np.uint64(RUN) == 0)
         run[-1] = paragraph[-1] = section[-1] = True
@@ -132,7 +141,8 @@ class Tree:
         self.root = hashlib.blake2b(sections.tobytes() + struct.pack("<q", self.length), digest_size=16).hexdigest()
         levels, children = [sections, paragraphs, runs], [section_paragraphs, paragraph_runs]
         leaves = np.add.reduceat(sizes, np.concatenate([[0], np.flatnonzero(run)[:-1] + 1]))
-        if len(tokens) <= SMALL:
+        if n <= SMALL:
+            tokens = _TOKEN.findall(text)
             levels.append(words)
             children.append(run_words)
             leaves = sizes
@@ -155,7 +165,7 @@ class Tree:
     def loads(cls, fingerprint: str) -> Tree:
         out = cls.__new__(cls)
         out.root, _, body = fingerprint.partition(":")
-        out.hashes, out.children, out.sizes = [], [], np.zeros(0, np.int64)
+        out.hashes, out.children, out.sizes, out.words = [], [], np.zeros(0, np.int64), None
         data = base64.b64decode(body)
         if data:
             counts, at = np.frombuffer(data, np.uint32, data[0], 1).tolist(), 1 + 4 * data[0]
@@ -357,7 +367,7 @@ def _row(own: tuple, following: tuple) -> tuple:
     """A row of the result.  A tree and the one that its fingerprint is read back to are the same."""
     doc_id, text, tree = own
     new = edited(text, following[1])
-    changed = tree if new == text else Tree(new)
+    changed = tree if new == text else Tree(new, tree, len(text) - len(text) // 3)
     match = Match(tree, changed)
     return (
         None if pd.isna(doc_id) else int(doc_id), len(text), hashlib.sha256(_bytes(new)).hexdigest(), tree.dumps(), changed.dumps(),

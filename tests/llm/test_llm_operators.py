@@ -589,6 +589,8 @@ def test_likeness_is_that_of_what_stays():
         tree, same = merkle.Tree(text), merkle.Tree.loads(merkle.fingerprint(text))
         assert (tree.root, tree.length) == (same.root, same.length) == (same.root, len(text)) and all((p == q).all() for p, q in zip(tree.hashes, same.hashes, strict=True))
         cut = len(text) * 2 // 3
+        again = text[:cut] + rng.choice(("", "x y", " z\n\n", "\n"))
+        assert merkle.Tree(again, merkle.Tree(text), cut).dumps() == merkle.fingerprint(again)
         other = merkle.fingerprint(text[:cut] + "".join(rng.choice("0123456789 ") for _ in range(len(text) - cut)))
         assert 2 / 3 - 260 / len(text) <= merkle.likeness(merkle.fingerprint(text), other) <= 2 / 3 + 20 / len(text)
         assert merkle.likeness(other, merkle.fingerprint(text)) == merkle.likeness(merkle.fingerprint(text), other)
