@@ -14,14 +14,18 @@ Two sets can only be similar if they share a token among the first n - ceil(t n)
    and a hash, and by a coarser logarithm and another hash.  Sets that share prefix tokens
    under the first order, transitively, are a cluster; clusters are dealt out in units of
    about UNIT_TOKENS tokens, a larger cluster as all pairs of its blocks.  In a unit, pairs
-   whose prefixes meet under all three orders are verified on the whole sets, pairs already
-   connected left out.  Units return links that connect what is similar, not all pairs.
+   whose prefixes meet under all three orders are verified on the whole sets.  Units return how
+   many documents each class is linked with, and links enough to connect all that are similar,
+   but not all pairs.
 
-Components of these links, with the classes' rows, are the result.
+Components of these links, with the classes' rows and each document's number of links (the
+other documents of its class and those of all similar classes), are the result.  A caller that
+needs components alone can leave the numbers out: then pairs already connected in a unit are
+not verified.
 
 Cases: null or empty texts have empty sets and are linked with nothing.  Repeated rows are
 rows of one class.  component_id is the least non-null doc_id; null only if all are null.
-Empty tables give empty results.
+Empty tables give empty results.  Columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -271,15 +275,16 @@ def _clusters(sets: DataFrame) -> DataFrame:
     return components(held.join(least, "token").select(F.col("cls").alias("a"), "b").where("a <> b").distinct())
 
 
-def _verified(rows: pd.DataFrame, per_cent: int) -> list[tuple[int, int]]:
-    """Links among the sets of a unit that connect all that are similar; between blocks only, if it has two."""
+def _verified(rows: pd.DataFrame, per_cent: int, numbers: bool) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Of the sets of a unit (between its blocks only, if it has two): links that connect all that are similar, and with
+    numbers, how many documents each class is linked with."""
     rows = rows.sort_values(["n", "cls"], kind="stable")
     cls, n = rows["cls"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    copies = rows["copies"].to_numpy(np.int64)
     block, two = rows["block"].to_numpy(np.int64), rows["block"].nunique() > 1
     sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
     every, code = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum([len(s) for s in sets])
-    coded = np.split(code, ends[:-1])
+    starts_of = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     orders = []
     for name in ("p1", "p2", "p3"):
         parts = [np.searchsorted(every, np.frombuffer(x, np.uint64)) for x in rows[name]]
@@ -290,13 +295,14 @@ def _verified(rows: pd.DataFrame, per_cent: int) -> list[tuple[int, int]]:
         orders.append((parts, doc[by], starts))
     mark = np.zeros(len(every), dtype=bool)
     component = np.arange(len(sets))
-    links = []
+    links, linked = [], np.zeros(len(sets), np.int64)
     for x in range(len(sets)):
         from_ = int(np.searchsorted(n, -(-n[x] * per_cent // 100)))  # shorter sets can't be similar
         if from_ >= x:
             continue
         met = np.ones(x - from_, dtype=bool)
-        met &= component[from_:x] != component[x]
+        if not numbers:
+            met &= component[from_:x] != component[x]
         if two:
             met &= block[from_:x] != block[x]
         for parts, docs, starts in orders:
@@ -311,20 +317,28 @@ def _verified(rows: pd.DataFrame, per_cent: int) -> list[tuple[int, int]]:
         candidates = np.flatnonzero(met) + from_
         if not len(candidates):
             continue
-        mark[coded[x]] = True
-        while len(candidates):
-            y, candidates = candidates[0], candidates[1:]
-            common = int(np.count_nonzero(mark[coded[y]]))
-            if (100 + per_cent) * common >= per_cent * int(n[x] + n[y]):
+        mark[code[starts_of[x] : starts_of[x + 1]]] = True
+        if 2 * len(candidates) > x - from_:  # most of them: all sets in between at once
+            common = np.add.reduceat(mark[code[starts_of[from_] : starts_of[x]]].astype(np.int32), starts_of[from_:x] - starts_of[from_])[candidates - from_]
+        else:
+            sizes = n[candidates]
+            at = np.repeat(starts_of[candidates] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            common = np.add.reduceat(mark[code[at]].astype(np.int32), np.cumsum(sizes) - sizes)
+        mark[code[starts_of[x] : starts_of[x + 1]]] = False
+        alike = candidates[(100 + per_cent) * common.astype(np.int64) >= per_cent * (n[x] + n[candidates])]
+        if not len(alike):
+            continue
+        linked[alike] += copies[x]
+        linked[x] += copies[alike].sum()
+        for y in alike[np.unique(component[alike], return_index=True)[1]]:
+            if component[y] != component[x]:
                 links.append((int(cls[x]), int(cls[y])))
                 component[component == component[y]] = component[x]
-                candidates = candidates[component[candidates] != component[x]]
-        mark[coded[x]] = False
-    return links
+    return links, {int(c): int(k) for c, k in zip(cls, linked, strict=True) if k} if numbers else {}
 
 
-def _links(sets: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b): similar classes, enough of them to connect all that are similar."""
+def _links(sets: DataFrame, per_cent: int, numbers: bool) -> DataFrame:
+    """(a, b, linked): similar classes, enough of them to connect all that are similar; and with a null b, a number of documents that class a is linked with."""
     checkpoints(sets.sparkSession)
     clusters = _clusters(sets)
     rows = sets.join(clusters, F.col("cls") == F.col("v")).drop("v")
@@ -335,36 +349,49 @@ def _links(sets: DataFrame, per_cent: int) -> DataFrame:
     rows = rows.join(sizes, F.col("root") == F.col("r")).drop("r")
     whole = rows.where("blocks = 1").select(
         F.lit(None).cast("long").alias("cluster"), F.pmod(F.xxhash64("root"), F.lit(units)).alias("i"), F.lit(0).cast("long").alias("j"),
-        F.lit(0).alias("block"), "cls", "n", "tokens", "p1", "p2", "p3",
+        F.lit(0).alias("block"), "cls", "n", "copies", "tokens", "p1", "p2", "p3",
     )
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     parted = rows.where("blocks > 1").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     parted = parted.select(
         F.col("root").alias("cluster"), F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"),
-        "block", "cls", "n", "tokens", "p1", "p2", "p3",
+        "block", "cls", "n", "copies", "tokens", "p1", "p2", "p3",
     )
 
     def verify(unit: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_verified(unit, per_cent), columns=["a", "b"]).astype("int64")
+        links, linked = _verified(unit, per_cent, numbers)
+        a, b = [x for x, _ in links] + list(linked), [y for _, y in links] + [None] * len(linked)
+        whole = lambda x: pd.array(x, dtype="Int64")  # noqa: E731  64 bits don't fit a float
+        return pd.DataFrame({"a": whole(a), "b": whole(b), "linked": whole([None] * len(links) + list(linked.values()))})
+
+    return whole.unionByName(parted).groupBy("cluster", "i", "j").applyInPandas(verify, "a long, b long, linked long")
 
-    return whole.unionByName(parted).groupBy("cluster", "i", "j").applyInPandas(verify, "a long, b long")
 
+def join(docs: DataFrame, n: int = N, per_cent: int = SIMILARITY, numbers: bool = True) -> DataFrame:
+    """(doc_id, t, n_shingles, cls, component_id, n_links) of each row of docs (doc_id, text); t is the hash of the text.
 
-def join(docs: DataFrame, n: int = N, per_cent: int = SIMILARITY) -> DataFrame:
-    """(doc_id, t, n_shingles, cls, component_id) of each row of docs (doc_id, text); t is the hash of the text."""
+    numbers: whether n_links is worked out; else it is null.
+    """
     spark = docs.sparkSession
     checkpoints(spark)
     docs = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     found = _live(docs, n, per_cent)
     again = _live(_only(docs, _representatives(found)), n, per_cent)
+    classes = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     sets = _prefixes(_only(docs, _representatives(again)), n, per_cent)
-    roots = components(_links(sets, per_cent)).select(F.col("v").alias("c"), "root")
-    least = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    least = least.join(roots, F.col("cls") == F.col("c"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    linked = least.join(roots.select("root").distinct(), "root", "left_semi")
-    tops = linked.groupBy("root").agg(F.min("least").alias("top")).withColumnRenamed("root", "r")
-    least = least.join(tops, F.col("root") == F.col("r"), "left").select(F.col("cls").alias("k"), F.coalesce("top", "least").alias("component"))
+    sets = sets.join(classes.select(F.col("cls").alias("c"), "copies"), F.col("cls") == F.col("c")).drop("c")
+    links = _links(sets, per_cent, numbers).checkpoint()
+    roots = components(links.where("b is not null")).select(F.col("v").alias("c"), "root")
+    linked = links.where("linked is not null").groupBy(F.col("a").alias("l")).agg(F.sum("linked").alias("linked"))
+    least = classes.join(roots, F.col("cls") == F.col("c"), "left").select("cls", "least", "copies", F.coalesce("root", "cls").alias("root"))
+    joined = least.join(roots.select("root").distinct(), "root", "left_semi")
+    tops = joined.groupBy("root").agg(F.min("least").alias("top")).withColumnRenamed("root", "r")
+    least = least.join(tops, F.col("root") == F.col("r"), "left").join(linked, F.col("cls") == F.col("l"), "left")
+    number = F.col("copies") - 1 + F.coalesce("linked", F.lit(0)) if numbers else F.lit(None).cast("long")
+    least = least.select(F.col("cls").alias("k"), F.coalesce("top", "least").alias("component"), number.alias("number"))
     out = found.join(least, (F.col("cls") == F.col("k")) & (F.col("n") > 0), "left")
+    has = F.col("n") > 0
     return out.select(
-        "doc_id", "t", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+        "doc_id", "t", F.col("n").alias("n_shingles"), "cls", F.when(has, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(has, F.col("number")).otherwise(F.lit(0) if numbers else F.lit(None)).cast("long").alias("n_links"),
+    )

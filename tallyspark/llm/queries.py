@@ -33,7 +33,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return jaccard_join.join(docs, n=4, per_cent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.join(docs, n=4, per_cent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ def brute_components(rows, n, per_cent):
         return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
     sets = [shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while root[x] != x:
@@ -193,11 +193,12 @@ def brute_components(rows, n, per_cent):
         for b in range(a):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= per_cent * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
+                links[a], links[b] = links[a] + 1, links[b] + 1
     least = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[find(k)] = min(i, least.get(find(k), i))
-    return sorted(((i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows)), key=str)
+    return sorted(((i, len(sets[k]), least.get(find(k)), links[k]) for k, (i, _) in enumerate(rows)), key=str)
 
 
 @pytest.mark.parametrize(("n", "per_cent"), [(4, 85), (5, 80)])
@@ -211,20 +212,23 @@ def test_jaccard_join_is_exact(spark, corpus, n, per_cent, monkeypatch):
             own[rng.randrange(80)] = prose(rng, 1)
         rows.append((1000 + k, " ".join(own)))
     docs = docs_of(spark, [(i, t, None) for i, t in rows])
-    got = sorted((tuple(r) for r in jaccard_join.join(docs, n, per_cent).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    columns = ["doc_id", "n_shingles", "component_id", "n_links"]
+    got = sorted((tuple(r) for r in jaccard_join.join(docs, n, per_cent).select(*columns).collect()), key=str)
     assert got == brute_components(rows, n, per_cent)
     monkeypatch.setattr(jaccard_join, "UNIT_TOKENS", 500)  # large clusters in blocks
     monkeypatch.setattr(jaccard_join, "CHUNK_DOCS", 7)
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
-    again = sorted((tuple(r) for r in jaccard_join.join(docs, n, per_cent).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    again = sorted((tuple(r) for r in jaccard_join.join(docs, n, per_cent).select(*columns).collect()), key=str)
     assert again == got
+    alone = sorted((tuple(r) for r in jaccard_join.join(docs, n, per_cent, numbers=False).select(*columns).collect()), key=str)
+    assert [r[:3] for r in alone] == [r[:3] for r in got] and {r[3] for r in alone} == {None}
 
 
 def test_jaccard_join_of_nothing(spark):
     empty = docs_of(spark, [])
-    assert jaccard_join.join(empty).count() == 0
+    assert jaccard_join.join(empty.withColumn("n", F.lit(1))).count() == 0
     only = docs_of(spark, [(1, None, None), (2, "", None), (None, "", None)])
-    assert sorted((tuple(r) for r in jaccard_join.join(only).select("doc_id", "n_shingles", "component_id").collect()), key=str) == [(1, 0, 1), (2, 0, 2), (None, 0, None)]
+    assert sorted((tuple(r) for r in jaccard_join.join(only).select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str) == [(1, 0, 1, 0), (2, 0, 2, 0), (None, 0, None, 0)]
 
 
 def test_components(spark):
