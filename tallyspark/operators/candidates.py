@@ -75,20 +75,28 @@ def exact_pairs(bank: DataFrame, journal: DataFrame, config: ReconConfig, scored
     return _pairs(_top(joined, order, config.max_candidates), F.lit("exact_1to1"), "精确")
 
 
+def _cells(at: Column, tolerance: int, spread: bool) -> Column:
+    """The cell of a number, cells being twice as wide as the tolerance; with spread, the one or two cells within the tolerance of it."""
+    width = max(1, 2 * tolerance)
+    cell = lambda x: F.floor(x / F.lit(width)).cast("long")
+    return F.array_distinct(F.array(cell(at - tolerance), cell(at + tolerance))) if spread else cell(at)
+
+
 def band_join(bank: DataFrame, journal: DataFrame, config: ReconConfig, *extra: str) -> DataFrame:
     """Pairs of one sign, near in amount and date but not exact.
 
-    Amounts fall into bands as wide as the tolerance; the journal is put into its band and
-    both neighbours, so the join is on equality of (sign, band) and no product is formed.
+    Amounts and days fall into cells twice as wide as their tolerances.  A journal row is put
+    into the cells that it reaches, four at most, so the join is on equality of (sign, amount
+    cell, day cell): a pair meets in one cell only, and rows of other years don't meet at all.
     """
     b, j = _sides(bank, journal, *extra)
-    width = max(1, config.trivial_li)
-    band = lambda c: F.floor(F.col(c) / F.lit(width))
-    near = F.explode(F.array(*[band("j_amount_li") + F.lit(k) for k in (-1, 0, 1)])) if config.trivial_li else band("j_amount_li")
-    b = b.withColumn("__band", band("b_amount_li")).withColumn("__sign", F.signum("b_amount_li"))
-    j = j.withColumn("__band", near).withColumn("__sign", F.signum("j_amount_li"))
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    b = b.withColumn("__sign", F.signum("b_amount_li")).withColumn("__band", _cells(F.col("b_amount_li"), config.trivial_li, False))
+    b = b.withColumn("__days", _cells(day("b_date"), config.tolerance_days, False))
+    j = j.withColumn("__sign", F.signum("j_amount_li")).withColumn("__band", F.explode(_cells(F.col("j_amount_li"), config.trivial_li, True)))
+    j = j.withColumn("__days", F.explode(_cells(day("j_date"), config.tolerance_days, True)))
     gap, days = F.abs(F.col("b_amount_li") - F.col("j_amount_li")), F.abs(F.datediff("b_date", "j_date"))
-    joined = b.join(j, ["__sign", "__band"]).withColumn("gap", gap).withColumn("days", days)
+    joined = b.join(j, ["__sign", "__band", "__days"]).withColumn("gap", gap).withColumn("days", days)
     return joined.where((F.col("gap") <= config.trivial_li) & (F.col("days") <= config.tolerance_days) & ((F.col("gap") > 0) | (F.col("days") > 0)))
 
 

@@ -6,7 +6,7 @@ the same row; 8 twice; 4 some days later; 5 with 1 to 40 yuan more; 6 in two row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,16 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, d, cents, segment, priority) of all orders."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    return rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
+        F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"),
+    )
+
+
 def _ledger(rows: DataFrame, source: str, balance: bool = True) -> DataFrame:
     """rows (src_row, date, amount_li, summary, counterparty) as a standardised ledger."""
     stated = F.when(F.col("src_row") % 50 == 0, F.col("src_row") * 1000).cast("bigint") if balance else F.lit(None).cast("bigint")
@@ -56,14 +66,36 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(rows, "journal")
 
 
-def clean(side: DataFrame) -> DataFrame:
-    """Only the rows that balance between the two sides: last digit 0-3 or 6 (6: one row against two of its sum)."""
-    return side.where(F.floor(F.col("rec_id") / 10.0) % 10 <= 3)
+def _split(rows: DataFrame, cents: Column, several: Column) -> DataFrame:
+    """(src_row, date, amount_li, ...) journal rows of base rows with date: one each, or two that sum to it."""
+    third = F.floor(cents / 3.0).cast("bigint")
+    row = lambda n, part: F.struct((F.col("k") * 10 + n).alias("src_row"), (F.col("sgn") * part * 100).alias("amount_li"))
+    parts = F.when(several, F.array(row(0, third), row(1, cents - third))).otherwise(F.array(row(0, cents)))
+    return rows.select(F.explode(parts).alias("x"), "date", "summary", "counterparty").select("x.*", "date", "summary", "counterparty")
+
+
+def _whole(rows: DataFrame, cents: Column) -> DataFrame:
+    return rows.select((F.col("k") * 10).alias("src_row"), "date", (F.col("sgn") * cents * 100).alias("amount_li"), "summary", "counterparty")
+
+
+def balanced(spark: SparkSession, sf_dir: str, turn: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All orders on both sides, every third as two journal rows, so that days and months agree, but for the 5th of March, June, September and December.
 
+    turn: the bank's rows in the last five days of their months, the journal's in the first five of the next.
+    """
+    rows, day = _base(spark, sf_dir), F.dayofmonth("d")
+    off = F.when((F.month("d") % 3 == 0) & (day == 5), 100).otherwise(0)
+    b = rows.withColumn("date", F.date_sub(F.last_day("d"), day % 5) if turn else F.col("d"))
+    j = rows.withColumn("date", F.date_add(F.last_day("d"), 1 + day % 5) if turn else F.col("d"))
+    return _ledger(_whole(b, F.col("cents")), "bank"), _ledger(_split(j, F.col("cents") + off, F.col("k") % 3 == 0), "journal")
 
-def shifted(side: DataFrame, days: int) -> DataFrame:
-    """A few rows of three months moved so that neighbouring months agree."""
-    return side.withColumn("date", F.date_add("date", days))
+
+def large_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All orders on both sides; those of a key that ends in 006 or 506 are a hundred times as large, and two rows in the journal."""
+    large = F.col("k") % 500 == 6
+    rows = _base(spark, sf_dir).withColumn("date", F.col("d"))
+    cents = F.col("cents") * F.when(large, 100).otherwise(1)
+    return _ledger(_whole(rows, cents), "bank"), _ledger(_split(rows, cents, large), "journal")
 
 
 def payroll(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -121,6 +153,18 @@ journal AS (
   SELECT *, CASE WHEN rec_id % 50 = 0 THEN rec_id * 1000 END AS balance_li, rec_id AS original_idx FROM jraw)
 """
 
+BALANCED_SQL = """
+base AS (
+  SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, CAST(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END AS BIGINT) AS sgn,
+         CAST(round(o_totalprice * 100) AS BIGINT) AS cents
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+moved AS (
+  SELECT k, sgn, cents, cents + CASE WHEN month(d) % 3 = 0 AND day(d) = 5 THEN 100 ELSE 0 END AS other, d, last_day(d) - CAST(day(d) % 5 AS INT) AS late, last_day(d) + CAST(1 + day(d) % 5 AS INT) AS early FROM base),
+halves AS (
+  SELECT k * 10 AS rec_id, d, early, sgn * (CASE WHEN k % 3 = 0 THEN CAST(floor(other / 3.0) AS BIGINT) ELSE other END) * 100 AS amount_li FROM moved
+  UNION ALL SELECT k * 10 + 1, d, early, sgn * (other - CAST(floor(other / 3.0) AS BIGINT)) * 100 FROM moved WHERE k % 3 = 0)
+"""
+
 PAYROLL_SQL = """
 pay AS (SELECT o_orderkey AS k, o_orderkey % 40 AS g FROM orders JOIN customer ON o_custkey = c_custkey),
 bank AS (SELECT k AS rec_id, DATE '2024-01-05' + CAST(g AS INT) AS date, CAST(-(5000 + g * 10) * 10000 AS BIGINT) AS amount_li FROM pay),

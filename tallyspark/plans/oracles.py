@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from tallyspark.plans import fixtures, registry
+from tallyspark.plans import fixtures
 
 INC, EXP = "CASE WHEN amount_li > 0 THEN amount_li ELSE 0 END", "CASE WHEN amount_li < 0 THEN -amount_li ELSE 0 END"
 
 
-def _values(values: list, name: str) -> str:
-    rows = ", ".join(f"({i}, {'NULL' if v is None else repr(v)})" for i, v in enumerate(values))
-    return f"SELECT CAST(id AS INT) AS id, CAST(v AS VARCHAR) AS {name} FROM (VALUES {rows}) t(id, v)"
+#: All orders, as the queries on cells read them.
+_CELLS = """WITH o AS (
+  SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, c_mktsegment AS segment, o_orderpriority AS priority
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
 def _daily(side: str) -> str:
@@ -31,29 +32,25 @@ _PAIRS = f"""WITH {fixtures.SQL},
 pairs AS (
   SELECT b.rec_id AS b_min, j.rec_id AS j_min, abs(b.amount_li - j.amount_li) AS gap, abs(date_diff('day', b.date, j.date)) AS days,
          greatest(abs(b.amount_li), abs(j.amount_li)) AS size, greatest(b.date, j.date) AS last_date, b.amount_li AS b_li, j.amount_li AS j_li
-  FROM bank b JOIN journal j ON sign(b.amount_li) = sign(j.amount_li) AND abs(b.amount_li - j.amount_li) <= 500000 AND abs(date_diff('day', b.date, j.date)) <= 31),
+  FROM bank b JOIN journal j ON sign(b.amount_li) = sign(j.amount_li) AND abs(b.amount_li - j.amount_li) <= 50000000 AND abs(date_diff('day', b.date, j.date)) <= 31),
 kept AS (
   SELECT *, row_number() OVER (PARTITION BY b_min, gap = 0 AND days = 0 ORDER BY gap, days, j_min) AS r FROM pairs),
 cand AS (SELECT * FROM kept WHERE r <= 30),
 flags AS (
   SELECT *, count(*) OVER (PARTITION BY b_min) > 1 OR count(*) OVER (PARTITION BY j_min) > 1 AS ambiguous FROM cand),
 scored AS (
-  SELECT *, CASE WHEN gap = 0 THEN 40 ELSE greatest(20, CAST(round_even(40 - 20.0 * gap / 500000, 0) AS INT)) END AS amount_score,
+  SELECT *, CASE WHEN gap = 0 THEN 40 ELSE greatest(20, CAST(round_even(40 - 20.0 * gap / 50000000, 0) AS INT)) END AS amount_score,
     CASE WHEN days = 0 THEN 15 WHEN days >= 31 THEN 0 ELSE CAST(round_even(15.0 * (1 - days / 31), 0) AS INT) END AS date_score,
     CASE WHEN ambiguous THEN 10 ELSE 15 END AS s0 FROM flags),
 rated AS (
   SELECT *, CASE WHEN ambiguous THEN greatest(s0 - greatest(amount_score + date_score + s0 - 69, 0), 0) ELSE s0 END AS structure_score FROM scored),
 final AS (SELECT *, amount_score + date_score + structure_score AS score FROM rated)"""
 
-_CLEAN = f"""WITH {fixtures.SQL},
-bc AS (SELECT * FROM bank WHERE floor(rec_id / 10.0) % 10 <= 3), jc AS (SELECT * FROM journal WHERE floor(rec_id / 10.0) % 10 <= 3)"""
-
-
 def _totals(key: str, unit: str) -> str:
     def side(s: str, p: str) -> str:
         return f"""SELECT {key} AS p, count(*) AS {p}_n, CAST(sum({INC}) AS BIGINT) AS {p}_income, CAST(sum({EXP}) AS BIGINT) AS {p}_expense, min(date) AS {p}_first, max(date) AS {p}_last FROM {s} GROUP BY 1"""
 
-    return f"""{_CLEAN}, b AS ({side('bc', 'b')}), j AS ({side('jc', 'j')})
+    return f"""WITH {fixtures.BALANCED_SQL}, bc AS (SELECT d AS date, sgn * cents * 100 AS amount_li FROM moved), jc AS (SELECT d AS date, amount_li FROM halves), b AS ({side('bc', 'b')}), j AS ({side('jc', 'j')})
 SELECT 'B:{unit}:' || b.p AS b_key, b_n, j_n, b_income, b_expense, least(b_first, j_first) AS first_date, greatest(b_last, j_last) AS last_date
 FROM b JOIN j ON b.p = j.p AND b_income = j_income AND b_expense = j_expense WHERE NOT (b_n = 1 AND j_n = 1) AND b_income + b_expense > 0"""
 
@@ -91,9 +88,15 @@ def sql() -> dict[str, str]:
     f = f"WITH {fixtures.SQL}"
     buckets = [(0, 100), (100, 1000), (1000, 10000), (10000, 100000), (100000, None)]
     return {
-        "standardize_amounts": _values(registry.AMOUNT_VALUES, "amount"),
-        "standardize_dates": _values(registry.DATE_VALUES, "date"),
-        "normalize_text": _values(registry.SUMMARY_VALUES, "norm"),
+        "standardize_amounts": f"""{_CELLS} SELECT k, CASE WHEN k % 12 IN (8, 9) THEN NULL WHEN k % 12 = 10 THEN '0.00'
+  ELSE CAST(CAST(CASE WHEN k % 12 IN (2, 3, 7) THEN -cents ELSE cents END / 100.0 AS DECIMAL(20, 2)) AS VARCHAR) END AS amount FROM o""",
+        "standardize_dates": f"{_CELLS} SELECT k, CASE WHEN k % 11 < 10 THEN CAST(d AS VARCHAR) END AS date FROM o",
+        "normalize_text": f"""{_CELLS} SELECT k, CASE k % 6 WHEN 0 THEN lower(segment) WHEN 1 THEN lower(segment) || '有限' WHEN 2 THEN lower(segment)
+  WHEN 3 THEN lower(segment || ' ' || priority) WHEN 4 THEN '' ELSE lower(segment) || ' x' END AS norm FROM o""",
+        "standardized_columns": f"{f} SELECT row_number() OVER (ORDER BY date, amount_li, original_idx) - 1 AS rec_id, original_idx, date, amount_li FROM journal",
+        "standardized_signed": f"""{f}, x AS (SELECT original_idx, amount_li, last_value(CASE WHEN original_idx % 10 <> 1 THEN date END IGNORE NULLS) OVER (ORDER BY original_idx) AS date FROM journal)
+SELECT row_number() OVER (ORDER BY date, amount_li, original_idx) - 1 AS rec_id, original_idx, date, amount_li FROM x""",
+        "subset_sums": f"""WITH {fixtures.BALANCED_SQL} SELECT k * 10 AS rec_id, sgn * cents * 10000 AS amount_li, (k * 10) || '+' || (k * 10 + 1) AS ids FROM base WHERE k % 500 = 6""",
         "amount_li": f"{f} SELECT rec_id, amount_li, amount_li / 10000.0 AS yuan FROM bank",
         "standardized_ledger": f"{f} SELECT original_idx, date, amount_li, summary FROM bank",
         "daily_stats": f"{_DAYS} SELECT * FROM table_",
@@ -125,7 +128,7 @@ SELECT b_min, j_min, first_date, CASE WHEN li > 0 THEN li ELSE 0 END AS b_income
         "tolerance_top": f"""{f}, p AS (SELECT b.rec_id AS b_min, j.rec_id AS j_min, abs(b.amount_li - j.amount_li) AS gap, abs(date_diff('day', b.date, j.date)) AS days
   FROM bank b JOIN journal j ON sign(b.amount_li) = sign(j.amount_li) AND abs(b.amount_li - j.amount_li) <= 50000000 AND abs(date_diff('day', b.date, j.date)) <= 31),
 t AS (SELECT *, row_number() OVER (PARTITION BY b_min ORDER BY gap, days, j_min) AS r FROM p WHERE gap > 0 OR days > 0)
-SELECT CASE WHEN gap = 0 THEN 'tolerance_date' ELSE 'amount_difference' END AS ctype, b_min, j_min FROM t WHERE r <= 2""",
+SELECT CASE WHEN gap = 0 THEN 'tolerance_date' ELSE 'amount_difference' END AS ctype, b_min, j_min FROM t WHERE r <= 30""",
         "rule_candidates": _rules(),
         "batch_groups": f"""WITH {fixtures.PAYROLL_SQL}, g AS (SELECT date, amount_li, count(*) AS n FROM bank GROUP BY 1, 2 HAVING count(*) >= 10)
 SELECT n AS b_n, -n * g.amount_li AS b_expense, -j.amount_li AS j_expense, least(g.date, j.date) AS first_date, greatest(g.date, j.date) AS last_date, j.rec_id AS j_min
@@ -133,7 +136,7 @@ FROM g JOIN journal j ON j.amount_li = n * g.amount_li AND abs(date_diff('day',
         "summary_islands": _islands(),
         "daily_total": _totals("CAST(date AS VARCHAR)", "day"),
         "monthly_total": _totals("strftime(date, '%Y-%m')", "month"),
-        "cross_month_total": f"""{_CLEAN}, bl AS (SELECT * FROM bc WHERE day(date) >= 25), jl AS (SELECT * REPLACE (date + 8 AS date) FROM jc WHERE day(date) >= 25),
+        "cross_month_total": f"""WITH {fixtures.BALANCED_SQL}, bl AS (SELECT late AS date, sgn * cents * 100 AS amount_li FROM moved), jl AS (SELECT early AS date, amount_li FROM halves),
 b AS (SELECT year(date) * 12 + month(date) AS m, count(*) AS b_n, CAST(sum({INC}) AS BIGINT) AS b_income, CAST(sum({EXP}) AS BIGINT) AS b_expense, min(date) AS a, max(date) AS z FROM bl GROUP BY 1 HAVING count(*) > 1),
 j AS (SELECT year(date) * 12 + month(date) AS m, count(*) AS j_n, CAST(sum({INC}) AS BIGINT) AS j_income, CAST(sum({EXP}) AS BIGINT) AS j_expense, min(date) AS a, max(date) AS z FROM jl GROUP BY 1 HAVING count(*) > 1)
 SELECT 'B:monthno:' || b.m AS b_key, 'J:monthno:' || j.m AS j_key, b_n, j_n, b_income, b_expense, least(b.a, j.a) AS first_date, greatest(b.z, j.z) AS last_date
@@ -157,9 +160,11 @@ g AS (SELECT c_custkey, list_distinct(list_transform(range(1, length(a)), lambda
 SELECT c_custkey, round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 9) AS dice FROM g""",
         "parse_error_counts": f"""{f}, x AS (SELECT CASE WHEN k % 17 = 0 THEN '被丢弃的汇总行' WHEN k % 11 = 0 THEN '日期解析失败' WHEN k % 7 = 0 THEN '金额解析失败' WHEN k % 13 = 0 THEN '方向解析失败' END AS kind
   FROM (SELECT rec_id // 10 AS k FROM bank)) SELECT 'bank' AS source, kind, count(*) AS n FROM x WHERE kind IS NOT NULL GROUP BY kind""",
-        "masked_texts": "SELECT CAST(id AS INT) AS id, masked, url, cell FROM (VALUES "
-        + ", ".join(f"({i}, " + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for i, row in enumerate(registry.MASKED))
-        + ") t(id, masked, url, cell)",
+        "masked_texts": f"""{_CELLS}, x AS (SELECT k, k % 6 AS v, CAST(k AS VARCHAR) AS t,
+    CASE k % 6 WHEN 0 THEN 'Bearer a' || k || '.X-1' WHEN 1 THEN 'k=v&token=t' || k || '&a=1' WHEN 2 THEN 'acct ' || lpad(CAST(k AS VARCHAR), 12, '7') || ' ok'
+      WHEN 3 THEN 'https://u:p@host:8443/a/' || k || '?key=1#f' WHEN 4 THEN '=SUM(A' || k || ')' ELSE 'plain ' || k END AS raw FROM o)
+SELECT k, CASE v WHEN 0 THEN 'Bearer ***' WHEN 1 THEN 'k=v&token=***&a=1' WHEN 2 THEN 'acct ******** ok' WHEN 3 THEN 'https://u:p@host:8443/a/' || t || '?key=***#f' ELSE raw END AS masked,
+  CASE v WHEN 3 THEN 'https://host:8443/a/' || t ELSE '' END AS url, CASE v WHEN 4 THEN '''' || raw ELSE raw END AS cell FROM x""",
         "ledger_labels": f"""{f} SELECT rec_id, strftime(date, '%Y-%m') AS month, CAST(year(date) * 12 + month(date) AS BIGINT) AS month_no,
   CASE WHEN rec_id % 101 >= 85 THEN '高' WHEN rec_id % 101 >= 70 THEN '中' ELSE '低' END AS confidence, CAST(sign(amount_li - rec_id) AS INT) AS compared, rec_id % 101 <= 100 AS same,
   CASE WHEN rec_id % 101 % 3 = 0 THEN '账号' WHEN rec_id % 101 % 3 = 1 THEN '对方户名' END AS category FROM bank""",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +14,8 @@ from tallyspark.operators import candidates as c
 from tallyspark.plans import fixtures, reconcile, reports
 
 CONFIG = ReconConfig()
-#: A band of 50 yuan, for the queries whose SQL has that band; all others have the 5,000 yuan of CONFIG.
-NARROW = ReconConfig(clearly_trivial_threshold=Decimal("50.00"))
 
+#: Cells with known answers, for tests of the functions alone.
 AMOUNT_TEXTS = [
     "1,234.56", "12,34.5", "(100)", "100CR", "100 DR", "￥１，２３４．５０", "CNY 88.005", "", "nan", "abc", "-5", "1e3", "5贷", "7借", "（8.5）",
     "USD 1,000,000.10", "0.005", "-0.005", " 42 ",
@@ -32,32 +30,47 @@ SUMMARY_TEXTS = ["收到 ＡＢＣ公司 货款12345678", "转账  项目 一",
 SUMMARY_VALUES = ["abc 货款", "项目 一", "", "有限责任甲", "手续费 2024", ""]
 
 
-MASK_TEXTS = ["Bearer abc.DEF-1", "k=v&token=xyz&a=1", "acct 6222021234567890 ok", "https://u:p@host:8443/a/b?key=1#f", "=SUM(A1)", "plain"]
-MASKED = [
-    ("Bearer ***", "", "Bearer abc.DEF-1"), ("k=v&token=***&a=1", "", "k=v&token=xyz&a=1"), ("acct ******** ok", "", "acct 6222021234567890 ok"),
-    ("https://u:p@host:8443/a/b?key=***#f", "https://host:8443/a/b", "https://u:p@host:8443/a/b?key=1#f"), ("=SUM(A1)", "", "'=SUM(A1)"), ("plain", "", "plain"),
-]
-
-
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return fixtures.bank(spark, sf_dir), fixtures.journal(spark, sf_dir)
 
 
-def _literals(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(texts)), "id int, raw string")
+def _by_key(key, forms: list):
+    """The form of a key: one after another."""
+    return F.get(F.array(*forms), (key % len(forms)).cast("int"))
 
 
 def standardize_amounts(spark, sf_dir):
-    own = _literals(spark, AMOUNT_TEXTS)
-    return own.select("id", money.clean_amount(F.col("raw")).cast("string").alias("amount"))
+    """Every order's price as an amount cell in one of twelve forms, three of them unreadable or empty, read back."""
+    rows = fixtures.orders(spark, sf_dir)
+    plain, commas = F.format_string("%d.%02d", F.floor(F.col("cents") / 100).cast("long"), F.col("cents") % 100), F.format_number(F.col("cents") / 100.0, 2)
+    wide = F.translate(commas, money.HALF_WIDTH, money.FULL_WIDTH)
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    forms = [
+        plain, commas, put("(", plain, ")"), put(plain, "CR"), put(plain, " DR"), put("￥", wide), put("USD ", commas), put(plain, "贷"), put("(", plain), put("1(", plain),
+        F.lit(""), put("(", plain, "CR)"),
+    ]
+    return rows.select("k", money.clean_amount(_by_key(F.col("k"), forms)).cast("string").alias("amount"))
 
 
 def standardize_dates(spark, sf_dir):
-    return _literals(spark, DATE_TEXTS).select("id", dates.parse_date(F.col("raw")).cast("string").alias("date"))
+    """Every order's date as a cell in one of eleven forms, one of them unreadable, read back."""
+    rows = fixtures.orders(spark, sf_dir)
+    shapes = ["yyyy-MM-dd", "yyyy/M/d", "yyyyMMdd", "dd-MM-yyyy", "d/M/yyyy", "yyyy.M.d", "d.M.yyyy", "yyyy年M月d日"]
+    serial = F.datediff("d", F.lit("1899-12-30").cast("date")).cast("string")
+    forms = [F.date_format("d", x) for x in shapes] + [serial, F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit(" 13:05:00")), F.lit("x")]
+    return rows.select("k", dates.parse_date(_by_key(F.col("k"), forms)).cast("string").alias("date"))
 
 
 def normalize_text(spark, sf_dir):
-    return _literals(spark, SUMMARY_TEXTS).select("id", text.normalize_summary(F.col("raw")).alias("norm"))
+    """Every order's segment and priority as a summary with noise words, wide letters and serial numbers, normalised."""
+    rows = fixtures.orders(spark, sf_dir)
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    segment, priority = F.col("segment"), F.col("priority")
+    forms = [
+        put("收到 ", segment), put(segment, "有限公司"), F.translate(segment, text.HALF_WIDTH, text.FULL_WIDTH), put(segment, " 123456789 ", priority), F.lit("nan"),
+        put("  ", segment, "   转账   x"),
+    ]
+    return rows.select("k", text.normalize_summary(_by_key(F.col("k"), forms)).alias("norm"))
 
 
 def amount_li(spark, sf_dir):
@@ -90,8 +103,38 @@ def parse_error_counts(spark, sf_dir):
 
 
 def masked_texts(spark, sf_dir):
-    own = _literals(spark, MASK_TEXTS)
-    return own.select("id", text.redact_sensitive(F.col("raw")).alias("masked"), text.sanitize_url(F.col("raw")).alias("url"), text.clean_excel_string(F.col("raw")).alias("cell"))
+    """Texts with account numbers, tokens, addresses and formulas of every order's key, masked in three ways."""
+    rows = fixtures.orders(spark, sf_dir)
+    key = F.col("k").cast("string")
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    forms = [put("Bearer a", key, ".X-1"), put("k=v&token=t", key, "&a=1"), put("acct ", F.lpad(key, 12, "7"), " ok"), put("https://u:p@host:8443/a/", key, "?key=1#f"), put("=SUM(A", key, ")"), put("plain ", key)]
+    raw = _by_key(F.col("k"), forms)
+    return rows.select("k", text.redact_sensitive(raw).alias("masked"), text.sanitize_url(raw).alias("url"), text.clean_excel_string(raw).alias("cell"))
+
+
+def standardized_columns(spark, sf_dir):
+    """The journal written out with debit and credit columns, and standardised again, numbered by date and amount."""
+    li = F.col("amount_li")
+    raw = fixtures.journal(spark, sf_dir).select(
+        F.col("original_idx").alias("__source_row__"), F.col("original_file_row").alias("__file_row__"), F.date_format("date", "yyyyMMdd").alias("记账日期"),
+        F.when(li > 0, F.format_number(li / 10000.0, 2)).alias("借方"), F.when(li <= 0, F.format_number(-li / 10000.0, 2)).alias("贷方"), F.col("summary").alias("摘要"), F.lit("1").alias("凭证号"),
+    )
+    mapping = standardize.ColumnMapping(date="记账日期", debit="借方", credit="贷方", summary="摘要", voucher="凭证号", mode="debit_credit")
+    return standardize.standardize(raw, mapping, "journal")[0].select("rec_id", "original_idx", "date", "amount_li")
+
+
+def standardized_signed(spark, sf_dir):
+    """The journal written out with signed amounts, every other one by its suffix, with undated rows that go on from the row above, and standardised again."""
+    li, again = F.col("amount_li"), F.col("original_idx") % 10 == 1
+    plain = F.format_number(F.abs(li) / 10000.0, 2)
+    signed = F.when(li < 0, F.concat(F.lit("("), plain, F.lit(")"))).otherwise(plain)
+    suffix = F.concat(plain, F.when(li < 0, F.lit("贷")).otherwise(F.lit("DR")))
+    raw = fixtures.journal(spark, sf_dir).select(
+        F.col("original_idx").alias("__source_row__"), F.col("original_file_row").alias("__file_row__"), F.when(~again, F.date_format("date", "yyyy.M.d")).alias("日期"),
+        F.when(F.floor(F.col("original_idx") / 10.0) % 2 == 0, signed).otherwise(suffix).alias("金额"), F.col("summary").alias("摘要"),
+    )
+    mapping = standardize.ColumnMapping(date="日期", amount="金额", summary="摘要")
+    return standardize.standardize(raw, mapping, "journal")[0].select("rec_id", "original_idx", "date", "amount_li")
 
 
 def ledger_labels(spark, sf_dir):
@@ -143,22 +186,21 @@ def balance_diff(spark, sf_dir):
 
 
 def exact_1to1(spark, sf_dir):
-    return c.exact_pairs(*_two(spark, sf_dir), CONFIG, scored=False).select("b_min", "j_min", "first_date", "b_income", "b_expense")
+    return c.exact_pairs(*_two(spark, sf_dir), CONFIG).select("b_min", "j_min", "first_date", "b_income", "b_expense")
 
 
 def tolerance_band(spark, sf_dir):
-    out = c.band_join(*_two(spark, sf_dir), NARROW)
+    out = c.band_join(*_two(spark, sf_dir), CONFIG)
     return out.select("b_rec_id", "j_rec_id", "gap", "days")
 
 
 def tolerance_top(spark, sf_dir):
-    """Of each bank row, the best pairs in the wide band."""
-    few = ReconConfig(max_candidates=2)
-    return c.tolerance_pairs(*_two(spark, sf_dir), few, scored=False).select("ctype", "b_min", "j_min")
+    """Of each bank row, the nearest pairs."""
+    return c.tolerance_pairs(*_two(spark, sf_dir), CONFIG, scored=False).select("ctype", "b_min", "j_min")
 
 
 def rule_candidates(spark, sf_dir):
-    return c.rule_pairs(*fixtures.fees(spark, sf_dir), CONFIG, scored=False).select("ctype", "b_min", "j_min", "structure_bonus")
+    return c.rule_pairs(*fixtures.fees(spark, sf_dir), CONFIG).select("ctype", "b_min", "j_min", "structure_bonus")
 
 
 def batch_groups(spark, sf_dir):
@@ -170,27 +212,19 @@ def summary_islands(spark, sf_dir):
     return c.island_groups(b, j, CONFIG).select("b_n", "j_n", "b_min", "j_min", "b_income", "first_date", "last_date")
 
 
-def _clean(spark, sf_dir):
-    b, j = _two(spark, sf_dir)
-    return fixtures.clean(b), fixtures.clean(j)
-
-
 _GROUP = ("b_n", "j_n", "b_income", "b_expense", "first_date", "last_date")
 
 
 def daily_total(spark, sf_dir):
-    return c.total_groups(*_clean(spark, sf_dir), monthly=False).select("b_key", *_GROUP)
+    return c.total_groups(*fixtures.balanced(spark, sf_dir), monthly=False).select("b_key", *_GROUP)
 
 
 def monthly_total(spark, sf_dir):
-    return c.total_groups(*_clean(spark, sf_dir), monthly=True).select("b_key", *_GROUP)
+    return c.total_groups(*fixtures.balanced(spark, sf_dir), monthly=True).select("b_key", *_GROUP)
 
 
 def cross_month_total(spark, sf_dir):
-    b, j = _clean(spark, sf_dir)
-    narrow = F.dayofmonth("date") >= 25
-    b, j = b.where(narrow), fixtures.shifted(j.where(narrow), 8)
-    return c.cross_month_groups(b, j, CONFIG).select("b_key", "j_key", *_GROUP)
+    return c.cross_month_groups(*fixtures.balanced(spark, sf_dir, turn=True), CONFIG).select("b_key", "j_key", *_GROUP)
 
 
 def group_metrics(spark, sf_dir):
@@ -218,16 +252,16 @@ def _rated(spark, sf_dir, config):
 
 
 def ambiguity_flags(spark, sf_dir):
-    return _rated(spark, sf_dir, NARROW)[0].select("b_min", "j_min", "ambiguous")
+    return _rated(spark, sf_dir, CONFIG)[0].select("b_min", "j_min", "ambiguous")
 
 
 def score_no_text(spark, sf_dir):
-    return _rated(spark, sf_dir, NARROW)[0].select("b_min", "j_min", "amount_score", "date_score", "structure_score", "score")
+    return _rated(spark, sf_dir, CONFIG)[0].select("b_min", "j_min", "amount_score", "date_score", "structure_score", "score")
 
 
 def routing(spark, sf_dir):
-    rated, _ = _rated(spark, sf_dir, NARROW)
-    return selection.routed(rated, NARROW).select("b_min", "j_min", "route_reason", "status")
+    rated, _ = _rated(spark, sf_dir, CONFIG)
+    return selection.routed(rated, CONFIG).select("b_min", "j_min", "route_reason", "status")
 
 
 def select_matches(spark, sf_dir):
@@ -238,8 +272,8 @@ def select_matches(spark, sf_dir):
 
 
 def difference_pools(spark, sf_dir):
-    rated, _ = _rated(spark, sf_dir, NARROW)
-    return pools.pools(pools.components(rated, NARROW), NARROW)
+    rated, _ = _rated(spark, sf_dir, CONFIG)
+    return pools.pools(pools.components(rated, CONFIG), CONFIG)
 
 
 def unmatched_bank(spark, sf_dir):
@@ -269,8 +303,8 @@ def text_similarity(spark, sf_dir):
 
 
 def subset_sums(spark, sf_dir):
-    """Bank rows as sums of the journal's rows."""
-    found = subset_sum.solutions(*_two(spark, sf_dir), CONFIG)
+    """Bank rows as sums of the journal's rows: of each window's 30 largest, among which are those of the large orders."""
+    found = subset_sum.solutions(*fixtures.large_splits(spark, sf_dir), CONFIG)
     return found.select("rec_id", "amount_li", F.array_join(F.transform("ids", lambda x: x.cast("string")), "+").alias("ids"))
 
 
@@ -319,7 +353,7 @@ _NOT_QUERIES = {"entry", "queries", "oracle_sql"}
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        standardize_amounts, standardize_dates, normalize_text, amount_li, standardized_ledger, daily_stats, monthly_stats, side_totals, running_balance,
+        standardize_amounts, standardize_dates, normalize_text, amount_li, standardized_ledger, standardized_columns, standardized_signed, daily_stats, monthly_stats, side_totals, running_balance,
         opening_balance, balance_continuity, balance_diff, calendar_days, exact_1to1, tolerance_band, tolerance_top, rule_candidates, batch_groups, summary_islands,
         daily_total, monthly_total, cross_month_total, group_metrics, amount_buckets, ambiguity_flags, score_no_text, routing, select_matches,
         difference_pools, unmatched_bank, unmatched_journal, bigram_dice, text_similarity, subset_sums, match_groups, match_members, pending_review,

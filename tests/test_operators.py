@@ -140,17 +140,19 @@ def test_subset_solvers():
     assert subset_sum.depth_first([10000, 5000, 3000, -2000], 8000, 4) is not None
     assert subset_sum.greedy([4, 3, 2], 5, 3, 5, 42) is not None and subset_sum.greedy([5000, 2000], 6000, 2, 3, 0) is None
     rng = random.Random(2)
-    for _ in range(60):
-        items = sorted((rng.randint(1, 60) for _ in range(rng.randint(2, 12))), reverse=True)
+    for k in range(120):
+        low = -40 if k % 3 == 0 else 1
+        items = sorted((rng.randint(low, 60) for _ in range(rng.randint(2, 12))), key=abs, reverse=True)
         target, most = rng.randint(1, 200), rng.randint(2, 5)
         found, exact = subset_sum.depth_first(items, target, most), subset_sum.Halves(items, most).exact(target, most)
-        n = brute(items, target, most)
-        assert (found is None) == (n is None) == (exact is None)
-        assert exact is None or (len(exact) == n and sum(items[i] for i in exact) == target)
         near = subset_sum.Halves(items, most).near(target, most, 10)
-        gaps = [(abs(sum(items[i] for i in p) - target), k, p) for k in range(2, most + 1) for p in itertools.combinations(range(len(items)), k)]
-        best = min((g for g in gaps if g[0] <= 10), default=None)
-        assert (near is None) == (best is None) and (near is None or (abs(sum(items[i] for i in near) - target), len(near)) == best[:2])
+        picks = [(abs(sum(items[i] for i in p) - target), n, list(p)) for n in range(1, most + 1) for p in itertools.combinations(range(len(items)), n)]
+        first = min((p for p in picks if p[0] == 0), default=None)
+        assert exact == (first[2] if first else None) and (first is None or low < 0 or found is not None) and (found is None or sum(items[i] for i in found) == target)
+        best = min((p for p in picks if p[0] <= 10 and p[1] >= 2), default=None)
+        assert near == (best[2] if best else None)
+    many = [1000 - i for i in range(100)]
+    assert subset_sum.Halves(many, 2).exact(1000 + 901, 2) == [0, 99] and subset_sum.Halves([7] * 70, 2).exact(14, 2) == [0, 1]
 
 
 def test_near_subset_is_a_candidate(spark):
