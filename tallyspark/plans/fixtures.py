@@ -91,10 +91,10 @@ def balanced(spark: SparkSession, sf_dir: str, turn: bool = False) -> tuple[Data
 
 
 def large_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All orders on both sides; those of a key that ends in 006 or 506 are a hundred times as large, and two rows in the journal."""
+    """All orders on both sides; those of a key that ends in 006 or 506 are ten million yuan larger, and two rows in the journal."""
     large = F.col("k") % 500 == 6
     rows = _base(spark, sf_dir).withColumn("date", F.col("d"))
-    cents = F.col("cents") * F.when(large, 100).otherwise(1)
+    cents = F.col("cents") + F.when(large, 1_000_000_000).otherwise(0)
     return _ledger(_whole(rows, cents), "bank"), _ledger(_split(rows, cents, large), "journal")
 
 

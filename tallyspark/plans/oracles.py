@@ -96,7 +96,7 @@ def sql() -> dict[str, str]:
         "standardized_columns": f"{f} SELECT row_number() OVER (ORDER BY date, amount_li, original_idx) - 1 AS rec_id, original_idx, date, amount_li FROM journal",
         "standardized_signed": f"""{f}, x AS (SELECT original_idx, amount_li, last_value(CASE WHEN original_idx % 10 <> 1 THEN date END IGNORE NULLS) OVER (ORDER BY original_idx) AS date FROM journal)
 SELECT row_number() OVER (ORDER BY date, amount_li, original_idx) - 1 AS rec_id, original_idx, date, amount_li FROM x""",
-        "subset_sums": f"""WITH {fixtures.BALANCED_SQL} SELECT k * 10 AS rec_id, sgn * cents * 10000 AS amount_li, (k * 10) || '+' || (k * 10 + 1) AS ids FROM base WHERE k % 500 = 6""",
+        "subset_sums": f"""WITH {fixtures.BALANCED_SQL} SELECT k * 10 AS rec_id, sgn * (cents + 1000000000) * 100 AS amount_li, (k * 10) || '+' || (k * 10 + 1) AS ids FROM base WHERE k % 500 = 6""",
         "amount_li": f"{f} SELECT rec_id, amount_li, amount_li / 10000.0 AS yuan FROM bank",
         "standardized_ledger": f"{f} SELECT original_idx, date, amount_li, summary FROM bank",
         "daily_stats": f"{_DAYS} SELECT * FROM table_",

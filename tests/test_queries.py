@@ -78,7 +78,7 @@ def test_whole_run_has_the_production_tolerance(spark, near_amounts):
 
 
 def test_subset_sums_of_all_rows(spark, tmp_path):
-    """Of keys 6 and 506, a hundred times as large as others, each bank row is the sum of two journal rows."""
+    """Of keys 6 and 506, far larger than others, each bank row is the sum of two journal rows."""
     orders = [(k, 1, "O", 40000.0 + k, datetime.datetime(2024, 1, 5), "5-LOW") for k in (1, 2, 6, 17, 506)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, "Customer#1", "AUTO")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
