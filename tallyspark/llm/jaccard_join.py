@@ -47,7 +47,7 @@ CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 2_000
 UNIT_TOKENS = 1_000_000
 BROADCAST_ROWS = 200_000
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 SHARED = 0xFFFF
 
 _A = np.uint64(0x9E3779B97F4A7C15)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MAX_MODEL_BYTES = 64 << 20
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 100_000
 LONGEST_CACHED = 64
 SHORT = 48
 NEVER = float("-inf")
