@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,20 +29,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the session's folder if it names one, else one of our own (tests, local runs)."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
-
+    """Makes checkpoint() usable: the session's folder if it names one, else one of our own in local mode (tests).
 
-def release(spark: SparkSession) -> None:
-    """Lets the session's cleaner drop the shuffle files of steps whose frames are gone.
-
-    The JVM hears of the frames that Python dropped only after a moment, hence the rounds.
+    A cluster has to name a folder that its executors share.
     """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyspark-checkpoint-"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -119,10 +119,19 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = (F.col("d.__t") == F.col("f.__t")) & F.col("d.__id").eqNullSafe(F.col("f.__id"))
     again = rows.alias("d").join(found.alias("f"), same, "left_semi").select("__id", "__t", words(F.col("text")).alias("__w"))
     again = _grams(again)
-    places = again.select("__id", "__t", "__w", F.lit(0).alias("__kind"), F.posexplode_outer("__g").alias("__p", "__v"))
-    if 1 in kinds:
-        places = places.unionByName(again.select("__id", "__t", "__w", F.lit(1).alias("__kind"), F.posexplode_outer("__h").alias("__p", "__v")))
-    tried = places.join(anchors, ["__kind", "__v"]).withColumn("__s", F.col("__p") - F.col("__off"))
+    if n <= BROADCAST_ROWS:  # all anchors come to the words
+        places = again.select("__id", "__t", "__w", F.lit(0).alias("__kind"), F.posexplode_outer("__g").alias("__p", "__v"))
+        if 1 in kinds:
+            places = places.unionByName(again.select("__id", "__t", "__w", F.lit(1).alias("__kind"), F.posexplode_outer("__h").alias("__p", "__v")))
+        tried = places.join(anchors, ["__kind", "__v"]).withColumn("__s", F.col("__p") - F.col("__off"))
+    else:  # hashes and places alone are shuffled; the starts that they give go back to the words, once for each document
+        places = again.select("__id", "__t", F.lit(0).alias("__kind"), F.posexplode_outer("__g").alias("__p", "__v"))
+        if 1 in kinds:
+            places = places.unionByName(again.select("__id", "__t", F.lit(1).alias("__kind"), F.posexplode_outer("__h").alias("__p", "__v")))
+        starts = places.join(anchors, ["__kind", "__v"]).select(F.col("__id").alias("__i"), F.col("__t").alias("__k"), (F.col("__p") - F.col("__off")).alias("s"), F.col("__size").alias("n"))
+        starts = starts.where("s >= 0").groupBy("__i", "__k").agg(F.collect_set(F.struct("s", "n")).alias("__starts"))  # as many as a document has words at most
+        back = again.select("__id", "__t", "__w").distinct().join(starts, (F.col("__t") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i")))
+        tried = back.select("__id", "__t", "__w", F.explode("__starts").alias("__x")).select("__id", "__t", "__w", F.col("__x.s").alias("__s"), F.col("__x.n").alias("__size"))
     tried = tried.where((F.col("__s") >= 0) & (F.col("__s") + F.col("__size") <= F.size("__w"))).select(
         "__id", "__t", "__s", "__size", F.array_join(F.slice("__w", F.greatest(F.col("__s") + 1, F.lit(1)), F.col("__size")), " ").alias("__window")
     )

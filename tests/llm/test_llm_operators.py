@@ -157,7 +157,9 @@ def brute_hits(rows, items):
     return sorted(out, key=str)
 
 
-def test_decontamination_is_exact(spark, corpus):
+@pytest.mark.parametrize("rows_sent", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination_is_exact(spark, corpus, monkeypatch, rows_sent):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows_sent)
     rng = random.Random(7)
     long = [t for _, t, _ in corpus if t and len(t.split()) > 20]
     items = [(k, " ".join(rng.choice(long).split()[3 : 3 + n])) for k, n in enumerate((13, 14, 20, 12, 3, 1, 30))]
@@ -501,6 +503,14 @@ def test_line_dedup(spark):
     assert [c for c in line_dedup.dedup(docs).columns if not c.startswith("__")] == docs.columns
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    own = [f"line {chr(97 + k % 26)}{k} of the text alone" for k in range(4)]
+    rows = [(1, "\n".join(["all rights reserved"] * 30_000 + own)), (2, "\n".join(["all rights reserved", *own[:1]] * 20_000 + own[2:3])), (0, "all rights reserved")]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(docs_of(spark, [(i, t, None) for i, t in rows])).collect()}
+    assert got[0]["text"] == "all rights reserved" and got[1]["text"] == "\n".join(own) and got[1]["__n_dropped"] == 30_000
+    assert got[2]["__n_lines"] == 40_001 and got[2]["text"] == ""
+
+
 def test_line_dedup_of_short_lines(spark):
     rng = random.Random(10)
     own = [prose(rng, 9) for _ in range(8)]

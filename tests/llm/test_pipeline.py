@@ -38,6 +38,19 @@ def test_stages_keep_clean_documents(spark, folder):
     assert left["decontaminate"] == everything - {45}
 
 
+def test_stages_take_nulls_clashing_names_and_empty_tables(spark, folder):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n long, cls long, __x string, fingerprint string"
+    rows = [(None, None, None, None, None, None, None, None, None), (None, "", None, None, 0, 1, 1, "x", "f"), (None, "some words here", "en", None, 15, 1, 1, "x", "f"), (7, None, "en", "s", None, 1, 1, "x", "f")]
+    rows += [(7, "the onthere anonon reerer " * 12, "en", "s", 0, 1, 1, "x", "f")] * 2 + [(k, "anthere onon " * 20 + "erthe " * k, "en", "s", 0, 1, 1, "x", "f") for k in range(10, 14)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns and stage(spark, docs, folder).count() <= len(rows)
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
+    assert {(None, None), (None, ""), (7, None)} <= left
+    assert corpus_pipeline.tokens(spark, docs, folder).count() == len(rows) and corpus_pipeline.tokens(spark, docs.limit(0), folder).count() == 0
+
+
 def test_run_applies_all(spark, folder):
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(got) == set(range(30)) | {44}
