@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from tallyspark.functions.ordinals import ranked
 from tallyspark.sources import headers
 
 ENCODINGS = ("utf-8-sig", "gbk", "latin1")
+LARGE = 64 << 20  # bytes from which on a CSV is read by the executors
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _CELL = re.compile(r"([A-Z]+)(\d+)")
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -35,12 +37,13 @@ def check(path: str) -> str:
 
 
 def sniff(path: str) -> str:
-    """The first encoding that reads the whole file."""
+    """The first encoding that reads the file; of a large one, its first LARGE characters."""
     for name in ENCODINGS:
         try:
             with open(path, encoding=name) as file:
-                while file.read(1 << 20):
-                    pass
+                for _ in range(LARGE >> 20):
+                    if not file.read(1 << 20):
+                        break
             return name
         except UnicodeDecodeError:
             continue
@@ -118,10 +121,15 @@ def preview(path: str, rows: int = headers.SCANNED_ROWS) -> list[list]:
 
 
 def load(spark: SparkSession, path: str, structure: headers.TableStructure | None = None) -> DataFrame:
-    """A statement file as text columns with row ordinals; blank lines are not rows."""
+    """A statement file as text columns with row ordinals; blank lines are not rows.
+
+    A CSV of LARGE bytes or more is read by the executors, see `load_large_csv`.
+    """
     kind = check(path)
     structure = structure or structure_of(path)
     names, first = list(structure.columns), structure.skiprows + structure.header_rows
+    if kind == ".csv" and os.path.getsize(path) >= LARGE:
+        return load_large_csv(spark, path, names, first, sniff(path))
     rows = xlsx_rows(path, expand=False)[first:] if kind == ".xlsx" else _after(csv_rows(path), first)
     schema = T.StructType([T.StructField("__source_row__", T.LongType()), T.StructField("__file_row__", T.LongType()), *[T.StructField(n, T.StringType()) for n in names]])
     data = []
@@ -138,12 +146,28 @@ def _after(rows: Iterator[list], skipped: int) -> list[list]:
     return list(rows)
 
 
-def load_large_csv(spark: SparkSession, path: str, columns: list[str], skipped: int, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV too large for one task: Spark's own reader splits it, and row ordinals come from each row's place in its file."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    # GBK is refused by Spark's readers unless spark.sql.legacy.javaCharsets is on
-    rows = spark.read.csv(path, schema=schema, encoding=encoding, header=False, multiLine=False)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__place"))
-    out = ranked(rows, ["__file", "__block", "__place"], "__source_row__").drop("__file", "__block", "__place")
-    out = out.where(F.col("__source_row__") >= skipped).withColumn("__source_row__", F.col("__source_row__") - skipped + 1)
-    return out.withColumn("__file_row__", F.col("__source_row__") + skipped)
+def load_large_csv(spark: SparkSession, path: str, columns: list[str], skipped: int, encoding: str = "utf-8-sig") -> DataFrame:
+    """A CSV too large for one task: the executors split it by lines, and ordinals come from each line's place in its file.
+
+    Cells can't hold line breaks here.  Lines before the data (skipped) are counted as they are in the file.
+    """
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("__bytes"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__place"))
+    at = ranked(lines, ["__block", "__place"], "__at").where(F.col("__at") >= skipped)
+
+    @F.pandas_udf("string")
+    def decoded(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: bytes(x).decode(encoding, "replace").removesuffix("\r"))
+
+    cells = F.from_csv(decoded("__bytes"), _ddl(columns), {"mode": "PERMISSIVE"})
+    rows = at.select("__at", cells.alias("__c"))
+    for_each = [F.when(F.trim(F.col("__c")[c]) != "", F.col("__c")[c]).alias(c) for c in columns]
+    rows = rows.select((F.col("__at") + 1).alias("__file_row__"), *for_each)
+    filled = F.lit(False)
+    for c in columns:
+        filled = filled | F.col(f"`{c}`").isNotNull()
+    out = ranked(rows.where(filled), ["__file_row__"], "__source_row__")
+    return out.select((F.col("__source_row__") + 1).alias("__source_row__"), "__file_row__", *[F.col(f"`{c}`") for c in columns])
+
+
+def _ddl(columns: list[str]) -> str:
+    return ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)

@@ -208,11 +208,19 @@ def test_headers():
         headers.derive(rows, 4, 3)
 
 
-def test_files(spark, tmp_path):
+def test_files(spark, tmp_path, monkeypatch):
     path = tmp_path / "a.csv"
     path.write_bytes("日期,金额,摘要\n2024-01-05,5,货款\n\n2024-01-06,6,\n".encode("gbk"))
     out = files.load(spark, str(path))
     assert [tuple(r) for r in out.collect()] == [(1, 2, "2024-01-05", "5", "货款"), (2, 4, "2024-01-06", "6", None)]
+    whole = [tuple(r) for r in out.collect()]
+    monkeypatch.setattr(files, "LARGE", 1 << 20)
+    structure = files.structure_of(str(path))
+    assert [tuple(r) for r in files.load_large_csv(spark, str(path), list(structure.columns), 1, "gbk").orderBy("__source_row__").collect()] == whole
+    monkeypatch.setattr(files, "LARGE", 1)
+    (tmp_path / "big.csv").write_text("日期,金额,摘要\r\n2024-01-05,\"1,000\",甲\r\n\r\n2024-01-06,2,\r\n", encoding="utf-8-sig")
+    rows = files.load(spark, str(tmp_path / "big.csv"), structure).orderBy("__source_row__").collect()
+    assert [tuple(r) for r in rows] == [(1, 2, "2024-01-05", "1,000", "甲"), (2, 4, "2024-01-06", "2", None)]
     with pytest.raises(FileNotFoundError):
         files.check(str(tmp_path / "none.csv"))
     with pytest.raises(ValueError):
@@ -288,8 +296,11 @@ def test_streamed_days(spark, tmp_path):
     from tallyspark.streaming import daily
 
     rows = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 5), "a", 1.5), (datetime.datetime(2024, 1, 1, 6), "a", 2.0), (datetime.datetime(2024, 1, 2), "b", 1.0)], "ts timestamp, event_type string, value double")
-    rows.write.parquet(str(tmp_path / "in"))
-    query = daily.start(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "streamed_days")
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(tuple(r) for r in spark.table("streamed_days").collect()) == [("2024-01-01", "a", 2, 350), ("2024-01-02", "b", 1, 100)]
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(tuple(r) for r in daily.event_days(spark, str(tmp_path)).collect()) == [("2024-01-01", "a", 2, 350), ("2024-01-02", "b", 1, 100)]
+    for day in (12, 30):  # later rows close the days before the watermark
+        spark.createDataFrame([(datetime.datetime(2024, 1, day), "c", 1.0)], rows.schema).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        query = daily.start(daily.stream_of(spark, str(tmp_path)), str(tmp_path / "out"), availableNow=True)
+        query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/days")).collect())
+    assert got[:2] == [("2024-01-01", "a", 2, 350), ("2024-01-02", "b", 1, 100)]
