@@ -12,7 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of edges (a, b): the least vertex that it is connected with.
 
     Each round takes the least label among a vertex's neighbours, then the label of its
-    label, so long paths shorten by halves; it ends when a round changes nothing.
+    label, so long paths shorten by halves; it ends when a round changes nothing.  Labels of
+    labels are looked up only where they are other ones: in a star, whose vertices soon have
+    one label, there are next to none, and no task gets all rows of that label.
     """
     checkpoints(edges.sparkSession)
     edges = edges.select("a", "b").where("a <> b")
@@ -21,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("m"))
         step = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = step.select(F.col("v").alias("r"), F.col("root").alias("far"))
+        used = step.select(F.col("root").alias("u")).distinct()
+        jump = step.where("v <> root").join(used, F.col("v") == F.col("u"), "left_semi").select(F.col("v").alias("r"), F.col("root").alias("far"))
         new = step.join(jump, F.col("root") == F.col("r"), "left").select("v", "old", F.least("root", "far").alias("root")).checkpoint()
         labels = new.select("v", "root")
         if new.where("old <> root").isEmpty():

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MAX_MODEL_BYTES = 64 << 20
-CACHED_CHUNKS = 100_000
+CACHED_CHUNKS = 150_000
+KNOWN_PAIRS = 500_000
 LONGEST_CACHED = 64
 SHORT = 48
 NEVER = float("-inf")
@@ -170,7 +171,7 @@ class Model:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether tokens a (-1: none) and b, merged again from characters, stay these two."""
-        if len(self.fits_memo) > CACHED_CHUNKS:
+        if len(self.fits_memo) > KNOWN_PAIRS:
             self.fits_memo.clear()
         pair = [self.text(b)] if a < 0 else [self.text(a), self.text(b)]
         known = self.fits_memo[a << PAIR | b] = self.merged("".join(pair)) == pair
@@ -246,29 +247,39 @@ class Model:
         if not text:
             return "", ""
         spaced = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
+        # no byte run or piece reaches beyond a chunk, so the parts' decoded texts make up that of all ids
         if self.fast and not spaced and SPACE not in text:
             first, *lines = text.split("\n")
-            found = [self.after_space[w] for w in first.split(" ")] if first else [self.bare[SPACE]]
+            after, bare, (end_ids, end_text) = self.after_space, self.bare, self.bare["\n"]
+            if first:
+                found = [after[w] for w in first.split(" ")]
+                ids, shown = [i for i, _ in found], [" ".join([t for _, t in found])]
+            else:
+                (only, only_text) = bare[SPACE]
+                ids, shown = [only], [only_text.removeprefix(" ")]
             for line in lines:
-                found.append(self.bare["\n"])
+                ids.append(end_ids)
                 if line:
                     word, *words = line.split(" ")
-                    found.append(self.bare[word])
-                    found += map(self.after_space.__getitem__, words)
+                    found = [bare[word], *map(after.__getitem__, words)]
+                    ids += [i for i, _ in found]
+                    shown.append(" ".join([t for _, t in found]))
+                else:
+                    shown.append("")
+            joined, decoded = ",".join(ids), end_text.join(shown)
         else:
             found = [self.bare[c] for c in self.chunks(text)]
-        # no byte run or piece reaches beyond a chunk, so the parts' decoded texts make up that of all ids
-        joined, decoded = ",".join([ids for ids, _ in found]), "".join([raw for _, raw in found]).removeprefix(" ")
+            joined, decoded = ",".join([ids for ids, _ in found]), "".join([raw for _, raw in found]).removeprefix(" ")
         for kept in (self.after_space, self.bare):
             kept.age()
         return joined, decoded
 
 
 class Encoded(dict):
-    """Chunk (without its prefix) to its ids in decimal, joined by commas, and the text that these ids decode to; old chunks are let go."""
+    """Chunk (without its prefix) to its ids in decimal, joined by commas, and the text that these ids decode to (without the prefix's); old chunks are let go."""
 
     def __init__(self, model: Model, prefix: str) -> None:
-        self.model, self.prefix = model, prefix
+        self.model, self.prefix, self.shown = model, prefix, prefix.replace(SPACE, " ")
         self.old: dict[str, tuple[str, str]] = {}
 
     def __missing__(self, word: str) -> tuple[str, str]:
@@ -276,7 +287,11 @@ class Encoded(dict):
         if out is None:
             model = self.model
             ids = [i for t in model.tokens(self.prefix + word) for i in ((t,) if t < OUTSIDE else model.token_ids(t))]
-            out = ",".join([model.written[i] for i in ids]), model.raw(ids)
+            shown = model.raw(ids)
+            if not shown.startswith(self.shown):
+                raise AssertionError(f"no prefix in {shown!r}")
+            shown = shown[len(self.shown) :]
+            out = ",".join([model.written[i] for i in ids]), word if shown == word else shown  # one text for both
         if len(word) <= LONGEST_CACHED:
             self[word] = out
         return out
