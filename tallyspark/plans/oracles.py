@@ -46,6 +46,37 @@ rated AS (
   SELECT *, CASE WHEN ambiguous THEN greatest(s0 - greatest(amount_score + date_score + s0 - 69, 0), 0) ELSE s0 END AS structure_score FROM scored),
 final AS (SELECT *, amount_score + date_score + structure_score AS score FROM rated)"""
 
+_KIND = "CASE WHEN gap = 0 AND days = 0 THEN 'exact_1to1' WHEN gap = 0 THEN 'tolerance_date' ELSE 'amount_difference' END"
+_ID = f"{_KIND} || '|B:' || b_min || '|J:' || j_min"
+
+
+def _recursive(query: str) -> str:
+    return query.replace("WITH", "WITH RECURSIVE", 1)
+
+
+#: Labels of records go to their neighbours as long as a smaller one arrives.
+_COMPONENTS = f"""{_recursive(_PAIRS)},
+ids AS (SELECT {_ID} AS c, 'B' || b_min AS b, 'J' || j_min AS j FROM cand),
+edges AS (SELECT b AS x, j AS y FROM ids UNION SELECT j, b FROM ids),
+label(node, least) USING KEY (node) AS (
+  SELECT node, min(c) FROM (SELECT b AS node, c FROM ids UNION ALL SELECT j, c FROM ids) GROUP BY node
+  UNION
+  SELECT e.y, min(l.least) FROM label l JOIN edges e ON l.node = e.x JOIN recurring.label r ON r.node = e.y WHERE l.least < r.least GROUP BY e.y)
+SELECT least AS component, count(*) AS n FROM ids JOIN label ON node = b GROUP BY least"""
+
+#: In each round the candidates that come first at both of their records are taken (1), and those that share a record with them go (2).
+_SELECTED = f"""{_recursive(_PAIRS)},
+ranked AS (SELECT row_number() OVER (ORDER BY score DESC, gap, days, b_min, j_min) AS rk, b_min AS b, j_min AS j FROM final),
+picked(rk, b, j, state) USING KEY (rk) AS (
+  SELECT rk, b, j, 0 FROM ranked
+  UNION
+  SELECT rk, b, j, CASE WHEN wins THEN 1 ELSE 2 END FROM (
+    SELECT *, bool_or(wins) OVER (PARTITION BY b) OR bool_or(wins) OVER (PARTITION BY j) AS settled FROM (
+      SELECT *, rk = min(rk) OVER (PARTITION BY b) AND rk = min(rk) OVER (PARTITION BY j) AS wins FROM recurring.picked WHERE state = 0)) WHERE settled)
+SELECT format('M{{:06d}}', row_number() OVER (ORDER BY p.rk)) AS match_id, {_ID} AS candidate_id, score, gap AS diff_li, days AS span
+FROM picked p JOIN final f ON p.b = f.b_min AND p.j = f.j_min WHERE p.state = 1"""
+
+
 def _totals(key: str, unit: str) -> str:
     def side(s: str, p: str) -> str:
         return f"""SELECT {key} AS p, count(*) AS {p}_n, CAST(sum({INC}) AS BIGINT) AS {p}_income, CAST(sum({EXP}) AS BIGINT) AS {p}_expense, min(date) AS {p}_first, max(date) AS {p}_last FROM {s} GROUP BY 1"""
@@ -150,6 +181,12 @@ SELECT date, bi + be AS b_gross, ji + je AS j_gross, greatest(bi + be, ji + je)
         "score_no_text": f"{_PAIRS} SELECT b_min, j_min, amount_score, date_score, structure_score, score FROM final",
         "routing": f"""{_PAIRS}, w AS (SELECT *, CASE WHEN size > 1000000000 THEN 'over_materiality' WHEN ambiguous THEN 'ambiguity' WHEN gap = 0 THEN 'no_difference' ELSE 'trivial_difference' END AS route_reason FROM final)
 SELECT b_min, j_min, route_reason, CASE WHEN route_reason IN ('no_difference', 'trivial_difference') THEN '自动确认' ELSE '待人工复核' END AS status FROM w""",
+        "select_matches": _SELECTED,
+        "side_components": _COMPONENTS,
+        "input_checks": f"""{f}, e AS (SELECT 'bank' AS s, min(date) AS a, max(date) AS z, sum({INC}) AS i, sum({EXP}) AS x FROM bank UNION ALL SELECT 'journal', min(date), max(date), sum({INC}), sum({EXP}) FROM journal),
+same AS (SELECT count(DISTINCT a) = 1 AND count(DISTINCT z) = 1 AS days, count(DISTINCT i) = 1 AND count(DISTINCT x) = 1 AS sums FROM e)
+SELECT item, CASE WHEN item = '日期范围' AND NOT days OR item = '收支合计' AND NOT sums OR item = '非交易行' THEN '提示' ELSE '通过' END AS status
+FROM same, (VALUES ('文件'), ('表头结构'), ('日期范围'), ('方向'), ('收支合计'), ('非交易行'), ('必需列'), ('辅助列完整度')) t(item)""",
         "difference_pools": f"""{_PAIRS}, x AS (SELECT strftime(last_date, '%Y-%m') AS month, CASE WHEN b_li > 0 THEN CASE WHEN b_li > j_li THEN '收入银行多' ELSE '收入银行少' END ELSE CASE WHEN b_li < j_li THEN '支出银行多' ELSE '支出银行少' END END AS pool, gap
   FROM final WHERE gap > 0 AND size <= 1000000000)
 SELECT month, pool, count(*) AS n, CAST(sum(gap) AS BIGINT) AS total_li, sum(gap) > 1000000000 AS "over" FROM x GROUP BY 1, 2""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.config import ReconConfig
 from tallyspark.functions import dates, money, scoring, text
-from tallyspark.operators import balances, pools, selection, standardize, subset_sum
+from tallyspark.operators import balances, pools, precheck, selection, standardize, subset_sum
 from tallyspark.operators import candidates as c
 from tallyspark.plans import fixtures, reconcile, reports
 
@@ -112,13 +112,35 @@ def masked_texts(spark, sf_dir):
     return rows.select("k", text.redact_sensitive(raw).alias("masked"), text.sanitize_url(raw).alias("url"), text.clean_excel_string(raw).alias("cell"))
 
 
+def _with_totals(raw: DataFrame, date: str) -> DataFrame:
+    """raw with a row of a month's total, which is no transaction, after every hundredth one."""
+    total = raw.where("__source_row__ % 1000 = 0").withColumn("__source_row__", F.col("__source_row__") + 5).withColumn(date, F.lit("本月合计")).withColumn("凭证号", F.lit(None).cast("string"))
+    return raw.unionByName(total)
+
+
+def input_checks(spark, sf_dir):
+    """The eight checks of both ledgers as raw tables."""
+    sides = {}
+    for name, rows in zip(("bank", "journal"), _two(spark, sf_dir), strict=True):
+        raw = rows.select(
+            F.col("original_idx").alias("__source_row__"), F.col("original_file_row").alias("__file_row__"), F.date_format("date", "yyyy-MM-dd").alias("日期"),
+            F.format_number(F.abs("amount_li") / 10000.0, 2).alias("金额"), F.when((F.col("amount_li") < 0) == F.lit(name == "bank"), "借").otherwise("贷").alias("方向"),
+            F.col("summary").alias("摘要"), F.lit("1").alias("凭证号"),
+        )
+        raw = _with_totals(raw, "日期") if name == "journal" else raw
+        mapping = standardize.ColumnMapping(date="日期", amount="金额", direction="方向", summary="摘要", voucher="凭证号", mode="single_amount_with_direction", auxiliary=("摘要",))
+        ledger, errors = standardize.standardize(raw, mapping, name)
+        sides[name] = {"path": sf_dir, "mapping": mapping, "raw": raw, "ledger": ledger, "errors": errors}
+    return precheck.checks(spark, sides).select("item", "status")
+
+
 def standardized_columns(spark, sf_dir):
-    """The journal written out with debit and credit columns, and standardised again, numbered by date and amount."""
+    """The journal written out with debit and credit columns and totals in between, and standardised again, numbered by date and amount."""
     li = F.col("amount_li")
-    raw = fixtures.journal(spark, sf_dir).select(
+    raw = _with_totals(fixtures.journal(spark, sf_dir).select(
         F.col("original_idx").alias("__source_row__"), F.col("original_file_row").alias("__file_row__"), F.date_format("date", "yyyyMMdd").alias("记账日期"),
         F.when(li > 0, F.format_number(li / 10000.0, 2)).alias("借方"), F.when(li <= 0, F.format_number(-li / 10000.0, 2)).alias("贷方"), F.col("summary").alias("摘要"), F.lit("1").alias("凭证号"),
-    )
+    ), "记账日期")
     mapping = standardize.ColumnMapping(date="记账日期", debit="借方", credit="贷方", summary="摘要", voucher="凭证号", mode="debit_credit")
     return standardize.standardize(raw, mapping, "journal")[0].select("rec_id", "original_idx", "date", "amount_li")
 
@@ -353,7 +375,7 @@ _NOT_QUERIES = {"entry", "queries", "oracle_sql"}
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
-        standardize_amounts, standardize_dates, normalize_text, amount_li, standardized_ledger, standardized_columns, standardized_signed, daily_stats, monthly_stats, side_totals, running_balance,
+        standardize_amounts, standardize_dates, normalize_text, amount_li, standardized_ledger, standardized_columns, standardized_signed, input_checks, daily_stats, monthly_stats, side_totals, running_balance,
         opening_balance, balance_continuity, balance_diff, calendar_days, exact_1to1, tolerance_band, tolerance_top, rule_candidates, batch_groups, summary_islands,
         daily_total, monthly_total, cross_month_total, group_metrics, amount_buckets, ambiguity_flags, score_no_text, routing, select_matches,
         difference_pools, unmatched_bank, unmatched_journal, bigram_dice, text_similarity, subset_sums, match_groups, match_members, pending_review,
