@@ -146,6 +146,7 @@ def _live(docs: DataFrame, n: int, per_cent: int) -> DataFrame:
                 size += len(s)
         if sets:
             yield from close()
+        _WORDS.clear()  # the worker lives on for other stages
 
     schema = "bucket int, chunk long, size int, tokens binary, owner binary, ids array<long>, keys array<long>, cls array<long>, local array<long>"
 
@@ -223,6 +224,7 @@ def _prefixes(docs: DataFrame, n: int, per_cent: int) -> DataFrame:
         for batch in batches:
             own = [shingles(t, n) for t in batch["text"]]
             yield pd.DataFrame({"cls": [class_of(s) for s in own], "n": [len(s) for s in own], "tokens": [s.tobytes() for s in own]})
+        _WORDS.clear()
 
     classes = docs.mapInPandas(sets, "cls long, n long, tokens binary").dropDuplicates(["cls"]).checkpoint()
     size = classes.agg(F.sum("n")).first()[0] or 0
