@@ -214,6 +214,12 @@ class Model:
                 at -= sizes[last] if last < OUTSIDE else 1
                 before, trial = out[-1] if out else -1, shorter[last] if last < OUTSIDE else -1
 
+    def forget(self) -> None:
+        """Lets the kept chunks go at the end of a task: the worker lives on for other stages."""
+        for kept in (self.after_space, self.bare):
+            kept.clear()
+            kept.old = {}
+
     def token_ids(self, token: int) -> list[int]:
         if token < OUTSIDE:
             return [token]
@@ -369,5 +375,6 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
+        model.forget()
 
     return docs.select("doc_id", "text").mapInPandas(run, ENCODED_SCHEMA)
