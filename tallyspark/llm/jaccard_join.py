@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import packed
-from tallyspark.llm.common import checkpoints, partitions
+from tallyspark.llm.common import checkpoints, hand_back, partitions
 from tallyspark.llm.graph import components
 
 N = 5
@@ -146,7 +146,8 @@ def _live(docs: DataFrame, n: int, per_cent: int) -> DataFrame:
                 size += len(s)
         if sets:
             yield from close()
-        _WORDS.clear()  # the worker lives on for other stages
+        _WORDS.clear()
+        hand_back()
 
     schema = "bucket int, chunk long, size int, tokens binary, owner binary, ids array<long>, keys array<long>, cls array<long>, local array<long>"
 
@@ -225,6 +226,7 @@ def _prefixes(docs: DataFrame, n: int, per_cent: int) -> DataFrame:
             own = [shingles(t, n) for t in batch["text"]]
             yield pd.DataFrame({"cls": [class_of(s) for s in own], "n": [len(s) for s in own], "tokens": [s.tobytes() for s in own]})
         _WORDS.clear()
+        hand_back()
 
     classes = docs.mapInPandas(sets, "cls long, n long, tokens binary").dropDuplicates(["cls"]).checkpoint()
     size = classes.agg(F.sum("n")).first()[0] or 0

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import hand_back
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MAX_MODEL_BYTES = 64 << 20
@@ -376,5 +378,6 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
         model.forget()
+        hand_back()
 
     return docs.select("doc_id", "text").mapInPandas(run, ENCODED_SCHEMA)
