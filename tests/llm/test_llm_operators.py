@@ -545,6 +545,26 @@ def test_line_dedup_of_full_leaves(spark, monkeypatch, held):
     assert sum(i < 100 and a != i for i, a in want.items()) > 6
 
 
+@pytest.mark.parametrize("held", [500, 0])
+def test_line_dedup_compares_a_line_with_each_leader(spark, monkeypatch, held):
+    """A line that shares a block with two leaders and agrees with the second alone joins that one, however its leaf is settled."""
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", held)
+    first, second, line = "the same start a b c d e f g", "the same start p q r s t u v", "the same start a b r s t u v"
+    rows = [(i, first) for i in range(1, 5)] + [(i, second) for i in range(11, 14)] + [(21, line)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, [(i, t, None) for i, t in rows])).collect()}
+    assert got == {i: {1: first, 11: second}.get(i, "") for i, _ in rows}
+
+
+def test_line_dedup_with_any_filter(spark, monkeypatch):
+    """The bitmap of leaves only saves work: with one row of bits nearly all lines pass it."""
+    rows = [(i, f"one two three four five six seven eight nine {w}\nother {w}{i} words of number {w} here") for i, w in enumerate("abcdefgh")]
+    docs, got = docs_of(spark, [(i, t, None) for i, t in rows]), []
+    for bits in (1 << 26, 1 << 10):
+        monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
+        got.append({r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()})
+    assert got[0] == got[1] and all((i == 0) == t.startswith("one two") for i, t in got[0].items())
+
+
 # --- 9
 
 
