@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.config import ReconConfig
-from tallyspark.operators import balances, pools, precheck, selection, semantic, standardize, subset_sum
+from tallyspark.operators import balances, nearest, pools, precheck, selection, semantic, standardize, subset_sum
 from tallyspark.operators import candidates as c
 from tallyspark.plans import reconcile
 from tallyspark.sources import files, headers, sinks
@@ -165,6 +165,24 @@ def test_near_subset_is_a_candidate(spark):
     assert subset_sum.solutions(b, one, CONFIG).count() == 0  # a single row already matches
 
 
+@pytest.mark.parametrize(("k", "yuan", "days", "step"), [(3, "5000", 31, 1), (30, "5000", 31, 64), (2, "0", 0, 1), (4, "7.5", 2, 2)])
+def test_nearest_pairs_are_those_of_the_joins(spark, monkeypatch, k, yuan, days, step):
+    """The pairs, their ambiguity and their components, as the joins over all pairs give them; pairs are not all formed."""
+    monkeypatch.setattr(nearest, "STEP", step)
+    monkeypatch.setattr(nearest, "AT_ONCE", 50)
+    config, rng = ReconConfig(max_candidates=k, clearly_trivial_threshold=Decimal(yuan), tolerance_days=days), random.Random(k)
+    row = lambda: (f"2024-{rng.randint(1, 4):02}-{rng.randint(1, 28):02}", rng.choice([-1, 1]) * rng.choice([0, 10, 10, 17.5, 20, 3000, 9000, 70_000, rng.randint(1, 60_000)]))
+    b, j = ledger(spark, [row() for _ in range(150)] + [(None, 5)]), ledger(spark, [row() for _ in range(170)], "journal")
+    want = c.exact_pairs(b, j, config, scored=False).unionByName(c.tolerance_pairs(b, j, config, scored=False))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s.lower()}_min").alias("rec_id")) for s in "BJ"])
+    members = want.select("candidate_id", F.explode(sides).alias("m")).select("candidate_id", "m.*")
+    rows = selection.ambiguity(want, members)
+    got = nearest.with_ambiguity(b, j, config).select(rows.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect())) and got.count() > 0
+    parts = selection.components(want, members).groupBy("component").agg(F.count("*").alias("n"))
+    assert sorted(nearest.component_sizes(b, j, config).collect()) == sorted(parts.collect())
+
+
 RAW = "__source_row__ long, __file_row__ long, `日期` string, `金额` string, `方向` string, `摘要` string"
 
 
