@@ -165,6 +165,19 @@ def test_near_subset_is_a_candidate(spark):
     assert subset_sum.solutions(b, one, CONFIG).count() == 0  # a single row already matches
 
 
+def test_copies_take_no_other_amounts_place_in_subsets(spark):
+    """Three equal bank rows, each of two journal rows of their own, where two amounts are on offer."""
+    b = ledger(spark, [("2024-01-05", 100000)] * 3)
+    j = ledger(spark, [("2024-01-06", 70000)] * 3 + [("2024-01-07", 30000)] * 3, "journal")
+    found = subset_sum.solutions(b, j, ReconConfig(max_candidates=2)).collect()
+    assert {r["rec_id"]: r["ids"] for r in found} == {0: [0, 3], 1: [1, 4], 2: [2, 5]}
+    assert {(*r["lis"], r["first"].day, r["last"].day) for r in found} == {(700_000_000, 300_000_000, 6, 7)}
+    # an amount is taken twice, and rows are taken anew after the last
+    assert subset_sum.solve([70, 30], [3, 3], 140, ReconConfig(max_candidates=2, clearly_trivial_threshold=Decimal(0))) == [70, 70]
+    again = subset_sum.solutions(b, ledger(spark, [("2024-01-06", 50000)] * 4, "journal"), CONFIG).collect()
+    assert {r["rec_id"]: r["ids"] for r in again} == {0: [0, 1], 1: [2, 3], 2: [0, 1]}
+
+
 @pytest.mark.parametrize(("k", "yuan", "days", "step"), [(3, "5000", 31, 1), (30, "5000", 31, 64), (2, "0", 0, 1), (4, "7.5", 2, 2)])
 def test_nearest_pairs_are_those_of_the_joins(spark, monkeypatch, k, yuan, days, step):
     """The pairs, their ambiguity and their components, as the joins over all pairs give them; pairs are not all formed."""
