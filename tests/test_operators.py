@@ -178,6 +178,20 @@ def test_copies_take_no_other_amounts_place_in_subsets(spark):
     assert {r["rec_id"]: r["ids"] for r in again} == {0: [0, 1], 1: [2, 3], 2: [0, 1]}
 
 
+def test_texts_of_copies_are_compared_once(spark, monkeypatch):
+    """Pairs are formed between classes of equal rows, and each bank row still has its best ones."""
+    formed, local = [], c._local
+    monkeypatch.setattr(c, "_local", lambda joined: formed.append(joined.count()) or local(joined))
+    b = ledger(spark, [("2024-01-05", 100, "abc")] * 4)
+    j = ledger(spark, [("2024-01-05", 100, "abc")] * 5 + [("2024-01-06", 100, "abd")] * 5 + [("2024-01-06", 100, "abc")], "journal")
+    config = ReconConfig(max_candidates=3)
+    exact = sorted((r["b_min"], r["j_min"]) for r in c.exact_pairs(b, j, config).collect())
+    near = sorted((r["b_min"], r["j_min"]) for r in c.tolerance_pairs(b, j, config).collect())
+    assert exact == [(x, y) for x in range(4) for y in range(3)]
+    assert near == [(x, y) for x in range(4) for y in (5, 6, 10)]
+    assert formed == [1, 2]
+
+
 @pytest.mark.parametrize(("k", "yuan", "days", "step"), [(3, "5000", 31, 1), (30, "5000", 31, 64), (2, "0", 0, 1), (4, "7.5", 2, 2)])
 def test_nearest_pairs_are_those_of_the_joins(spark, monkeypatch, k, yuan, days, step):
     """The pairs, their ambiguity and their components, as the joins over all pairs give them; pairs are not all formed."""
