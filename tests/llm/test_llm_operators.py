@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, decontaminate, graph, html_extract, jaccard_join, language_id, line_dedup, lm_score, merkle, packed, sentencepiece_bpe, toxicity
+from tallyspark.llm import chat, common, decontaminate, graph, html_extract, jaccard_join, language_id, line_dedup, lm_score, merkle, packed, sentencepiece_bpe, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, fp int, words string, chunk string"
@@ -555,6 +555,34 @@ def test_line_dedup_compares_a_line_with_each_leader(spark, monkeypatch, held):
     assert got == {i: {1: first, 11: second}.get(i, "") for i, _ in rows}
 
 
+def test_a_bitmap_sent_to_the_tasks_is_small(spark):
+    """The driver holds a bitmap several times over: 2 MB at most, and of 200,000 leaves' bits it still keeps 2 % of other rows at most."""
+    assert max(line_dedup.FILTER_BITS, jaccard_join.FILTER_BITS) // 8 <= 2 << 20 and jaccard_join.BROADCAST_ROWS <= 50_000
+    rows = spark.range(-100_000, 300_000).select(F.xxhash64("id").alias("h"), "id")
+    for bits in (line_dedup.FILTER_BITS, 64, 1024):
+        found = common.among(rows, F.col("h"), rows.where("id < 100000").select("h"), bits).groupBy((F.col("id") < 100000).alias("in")).count()
+        n = {r["in"]: r["count"] for r in found.collect()}
+        assert n[True] == 200_000 and (bits < 2048 or n[False] <= 4_000)
+
+
+@pytest.mark.parametrize("held", [50_000, 0])
+def test_only_keeps_the_wanted_rows(spark, monkeypatch, held):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", held)
+    docs = spark.createDataFrame([(1, 5, "a"), (2, 5, "a"), (None, 5, "a"), (1, -6, "b"), (3, 7, "c"), (3, 7, "c")], "doc_id long, t long, text string")
+    wanted = spark.createDataFrame([(None, 5), (1, -6), (3, 7)], "doc_id long, t long")
+    got = jaccard_join._only(docs, wanted)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()[2:]))
+
+
+def test_line_dedup_keeps_its_plan_short(spark, monkeypatch):
+    """However many rounds a leaf takes, the last plan reads the places and the recurring lines, once each."""
+    rng = random.Random(12)
+    docs = docs_of(spark, [(k, f"the same start {prose(rng, 6)} {'ab'[k % 2]}", None) for k in range(12)])
+    for held in (500, 0):
+        monkeypatch.setattr(line_dedup, "LEAF_LINES", held)
+        assert line_dedup.dropped(docs)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
 def test_line_dedup_with_any_filter(spark, monkeypatch):
     """The bitmap of leaves only saves work: with one row of bits nearly all lines pass it."""
     rows = [(i, f"one two three four five six seven eight nine {w}\nother {w}{i} words of number {w} here") for i, w in enumerate("abcdefgh")]
