@@ -54,6 +54,21 @@ def test_adjacent_months(spark):
     assert kinds(c.cross_month_groups(b, j, CONFIG)) == [("cross_month_total", 2, 2)]
 
 
+@pytest.mark.parametrize("held", [1000, 2])
+def test_band_pairs_of_copies(spark, monkeypatch, held):
+    """Copies meet as one class in a cell, and all their pairs are there, also those of rows without an id."""
+    monkeypatch.setattr(c, "CLASS_ROWS", held)
+    rng = random.Random(13)
+    rows = [(f"2024-0{rng.randint(1, 3)}-{rng.randint(10, 28)}", rng.choice([-1, 1]) * rng.randint(1, 12) * 1_000) for _ in range(25)]
+    b = ledger(spark, rows * 5)
+    j = ledger(spark, rows[5:] * 7, "journal").withColumn("rec_id", F.expr("nullif(rec_id, 11)"))
+    got = sorted(map(str, c.band_pairs(b, j, CONFIG).collect()))
+    want = c.band_join(b, j, CONFIG).select("b_rec_id", "j_rec_id", "gap", "days")
+    assert len(got) > 500 and any("j_rec_id=None" in x for x in got) and got == sorted(map(str, want.collect()))
+    if held == 1000:
+        assert c._classes(b).count() == len(set(rows))
+
+
 def test_opposite_signs_never_match(spark):
     b, j = ledger(spark, [("2024-01-05", 100, "手续费")]), ledger(spark, [("2024-01-05", -100, "手续费")], "journal")
     found, _ = reconcile.generated(b, j, CONFIG)
