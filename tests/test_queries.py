@@ -84,3 +84,12 @@ def test_subset_sums_of_all_rows(spark, tmp_path):
     spark.createDataFrame([(1, "Customer#1", "AUTO")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     found = {r["rec_id"]: r["ids"] for r in registry.subset_sums(spark, str(tmp_path)).collect()}
     assert found[60] == "60+61" and found[5060] == "5060+5061"
+
+
+def test_subset_sums_of_many_large_rows(spark, tmp_path):
+    """Twenty large orders on days of one window: forty halves, more than the window's list has."""
+    orders = [(500 * i + 6, 1, "O", 40000.0 + 7 * i * i, datetime.datetime(2024, 1, 1 + i), "5-LOW") for i in range(20)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "Customer#1", "AUTO")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = {r["rec_id"]: r["ids"] for r in registry.subset_sums(spark, str(tmp_path)).collect()}
+    assert found == {10 * k: f"{10 * k}+{10 * k + 1}" for k, *_ in orders}
