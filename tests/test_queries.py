@@ -93,3 +93,13 @@ def test_subset_sums_of_many_large_rows(spark, tmp_path):
     spark.createDataFrame([(1, "Customer#1", "AUTO")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     found = {r["rec_id"]: r["ids"] for r in registry.subset_sums(spark, str(tmp_path)).collect()}
     assert found == {10 * k: f"{10 * k}+{10 * k + 1}" for k, *_ in orders}
+
+
+def test_whole_run_matches_all_copies(spark, tmp_path):
+    """Forty equal orders, more than max_candidates, and one without a journal row: each copy goes with one of its own."""
+    orders = [(10 * i, 1, "O", 9000.0, datetime.datetime(2024, 1, 5), "5-LOW") for i in range(1, 41)] + [(7, 1, "O", 12.5, datetime.datetime(2024, 1, 5), "5-LOW")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "Customer#1", "AUTO")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    done = registry._reconciled(spark, str(tmp_path))
+    assert done.candidates.where("ctype = 'exact_1to1'").count() == 1600
+    assert sorted((r["b_min"], r["j_min"]) for r in done.selected.collect()) == [(100 * i, 100 * i) for i in range(1, 41)]
